@@ -4,7 +4,7 @@ Each source has a target of words. Its documents get the inclusion rate target /
 is that many sure copies, the fraction is an inclusion probability. The flight phase moves the fractions along
 directions that leave the source's number of documents and number of words as they are, until they are 0 or 1.
 It runs in blocks of bounded size; the two fractions that a block may keep go to blocks of the next level, and
-only the last two of a source remain for landing.
+only a dozen of a source remain for landing, which rounds them all at once.
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0. Repeated rows are units of
 their own. Ties in the order within a block are between equal units. Empty tables give empty results.
@@ -23,6 +23,8 @@ from tessera.session import cut
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Units in a block of the flight phase, and blocks whose rests meet in one of the next level.
 BLOCK, FAN = 4096, 1024
+#: Fractions that are left for landing, besides the two that the flight leaves.
+LANDING = 12
 
 
 def size_of(text: Column) -> Column:
@@ -78,11 +80,21 @@ def _move(p: np.ndarray, units: list[int], u: tuple, draw: np.random.Generator)
 
 
 def land(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.ndarray:
-    """Landing: give up the number of documents and keep the words as long as possible; round the last fraction."""
-    live = np.flatnonzero((p > 0) & (p < 1)).tolist()
-    if len(live) == 2 and size[live[0]] and size[live[1]]:
-        _move(p, live, (1.0 / size[live[0]], -1.0 / size[live[1]]), draw)
-    return np.where((p > 0) & (p < 1), np.round(p), p)
+    """Landing of a source: LANDING fractions of spread sizes stay out of the flight; of the ways to round these and
+    the two that the flight leaves, take the one nearest to the source's words, then to its number of documents."""
+    live = np.flatnonzero((p > 0) & (p < 1))
+    order = live[np.argsort(size[live], kind="stable")]
+    spared = order[np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).round().astype(int))]
+    held = p[spared]
+    out = p.copy()
+    out[spared] = 0
+    out = fly(out, size, draw)
+    out[spared] = held
+    live = np.flatnonzero((out > 0) & (out < 1))
+    ways = (np.arange(1 << len(live))[:, None] >> np.arange(len(live))) & 1
+    words, units = ways @ size[live] - out[live] @ size[live], ways.sum(axis=1) - out[live].sum()
+    out[live] = ways[np.lexsort((np.abs(units), np.abs(words)))[0]]
+    return out
 
 
 def _flight(seed: int, level: int, last: bool):
@@ -92,8 +104,7 @@ def _flight(seed: int, level: int, last: bool):
         group = group.sort_values(["unit", "size"], kind="stable").reset_index(drop=True)
         name = f"{seed}/{level}/{group['source'].iloc[0]}/{group['block'].iloc[0]}"
         draw, size = np.random.default_rng(zlib.crc32(name.encode("utf-8", "surrogatepass"))), group["size"].to_numpy(float)
-        p = fly(group["p"].to_numpy(float), size, draw)
-        return group.assign(p=land(p, size, draw) if last else p)
+        return group.assign(p=(land if last else fly)(group["p"].to_numpy(float), size, draw))
 
     return run
 
