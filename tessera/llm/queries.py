@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, language_id, media, mixing, secrets, token_counts
+from tessera.llm import decontaminate, jaccard_join, language_id, media, mixing, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_media_sniffing": media.op2_media_sniffing,
     "op3_winnowing": decontaminate.op3_winnowing,
     "op4_cube_mix": mixing.op4_cube_mix,
+    "op5_jaccard_classes": jaccard_join.op5_jaccard_classes,
     "op6_language_mixture": language_id.op6_language_mixture,
     "op7_secret_ledger": secrets.op7_secret_ledger,
 }
