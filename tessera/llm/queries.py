@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard_join, language_id, media, mixing, secrets, token_counts
+from tessera.llm import decontaminate, jaccard_join, language_id, lm_score, media, mixing, secrets, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_classes": jaccard_join.op5_jaccard_classes,
     "op6_language_mixture": language_id.op6_language_mixture,
     "op7_secret_ledger": secrets.op7_secret_ledger,
+    "op8_lattice_score": lm_score.op8_lattice_score,
 }
 
 ORACLE_SQL: dict[str, str] = {}
