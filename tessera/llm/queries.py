@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, jaccard_join, language_id, lm_score, media, mixing, secrets, token_counts
+from tessera.llm import decontaminate, jaccard_join, language_id, licenses, lm_score, media, mixing, secrets, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,10 @@ QUERIES = {
     "op6_language_mixture": language_id.op6_language_mixture,
     "op7_secret_ledger": secrets.op7_secret_ledger,
     "op8_lattice_score": lm_score.op8_lattice_score,
+    "op9_merkle_audit": warc.op9_merkle_audit,
+    "op10_patience_licenses": licenses.op10_patience_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_merkle_audit": warc.ORACLE,
+}
