@@ -20,7 +20,7 @@ from tessera.llm.common import read_documents
 
 WINDOW, GRAM = 13, 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +30,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, SEPARATORS), "")
 
 
+def count_words(text: Column) -> Column:
+    """Number of words; it doesn't depend on the case."""
+    return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, ANY_CASE), ""))).cast("long")
+
+
 def shifted(column: str, by: int) -> Column:
     return F.slice(column, F.lit(by + 1), F.greatest(F.size(column), F.lit(0)))
 
@@ -64,10 +69,10 @@ def with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     return df.select(*keep, "f_0", *(f"f_{t}" for t in short))
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Columns text_key, n_hit, item_ids (sorted as strings) for each distinct text of docs that has a hit.
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Columns text_key, n_words, n_hit, item_ids (sorted as strings) for each distinct text of docs that has a hit.
 
-    text_key is the text's MD5 (16 bytes). The join strategy is left to Spark's size statistics: fingerprints
+    text_key is the text's MD5 (16 bytes). Of the copies of a text, the one with the least id is looked at in full. The join strategy is left to Spark's size statistics: fingerprints
     of a small benchmark are broadcast, those of a large one are shuffled.
     """
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
@@ -82,13 +87,14 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     starts = F.sequence(F.lit(1), F.size("words") - length + 1)
     windows = classes.select("class", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, length), " "))).alias("window")).distinct()
 
-    docs = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    seen = with_fingerprints(docs.select("text_key", words_of(F.col("text")).alias("words")), short)
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    seen = with_fingerprints(docs.select("id", "text_key", words_of(F.col("text")).alias("words")), short)
     lists = [F.array_distinct(F.col(c)) for c in ["f_0", *(f"f_{t}" for t in short)]]
-    seen = seen.select("text_key", F.explode(F.concat(*lists) if short else lists[0]).alias("print"))
-    matched = seen.join(prints, "print").groupBy("text_key").agg(F.collect_set("print").alias("matched"))
+    seen = seen.select("id", "text_key", F.explode(F.concat(*lists) if short else lists[0]).alias("print"))
+    matched = seen.join(prints, "print").groupBy("text_key").agg(F.collect_set("print").alias("matched"), F.min("id").alias("carrier"))
 
-    hit = docs.join(matched, "text_key").select("text_key", "matched", words_of(F.col("text")).alias("words"))
+    mine = (F.col("d.text_key") == F.col("m.text_key")) & F.col("d.id").eqNullSafe(F.col("m.carrier"))
+    hit = docs.alias("d").join(matched.alias("m"), mine).select("d.text_key", "matched", words_of(F.col("text")).alias("words"))
     hit = with_fingerprints(hit, short)
 
     def places(t: int) -> Column:
@@ -99,17 +105,17 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     spans = reduce(lambda a, b: F.concat(a, b), [places(t) for t in [0, *short]])
     hit = hit.select("text_key", "words", F.explode(spans).alias("span"))
-    hit = hit.select("text_key", "span", F.array_join(F.slice("words", F.col("span.at"), F.col("span.n")), " ").alias("window"))
-    hit = hit.join(windows, "window").select("text_key", "span", "class")
+    hit = hit.select("text_key", F.size("words").alias("n_words"), "span", F.array_join(F.slice("words", F.col("span.at"), F.col("span.n")), " ").alias("window"))
+    hit = hit.join(windows, "window").select("text_key", "n_words", "span", "class")
 
-    covered = hit.groupBy("text_key").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    covered = hit.groupBy("text_key").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
     def add(acc, s):
         end = s["at"] + s["n"] - 1
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(end - F.greatest(acc["end"], s["at"] - 1), F.lit(0))).alias("n"))
 
-    covered = covered.select("text_key", F.aggregate("spans", start, add)["n"].cast("long").alias("n_hit"))
+    covered = covered.select("text_key", "n_words", F.aggregate("spans", start, add)["n"].cast("long").alias("n_hit"))
     named = hit.select("text_key", "class").distinct().join(items.select("class", "item").distinct(), "class")
     named = named.groupBy("text_key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     return covered.join(named, "text_key")
@@ -118,8 +124,9 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs with text_key, n_words, n_hit, item_ids and contaminated; columns of these names in docs are replaced."""
     names = [c for c in docs.columns if c not in ("text_key", "n_words", "n_hit", "item_ids", "contaminated")]
-    rows = docs.select(*names, F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
-    rows = rows.join(contamination(docs.select("text"), items), "text_key", "left")
+    found = contamination(docs, items).drop("n_words")
+    rows = docs.select(*names, F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), count_words(F.col("text")).alias("n_words"))
+    rows = rows.join(found, "text_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(*names, "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
@@ -129,3 +136,10 @@ def op3_winnowing(spark, sf_dir: str) -> DataFrame:
     docs, items = read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")
     x = judge(docs.select("doc_id", "text"), items)
     return x.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, one_in: int = 20) -> DataFrame:
+    """The rows of docs, without those of which one word in `one_in` or more stands in the benchmark."""
+    found = contamination(docs, items).where(F.col("n_hit") * one_in >= F.col("n_words")).select("text_key")
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
+    return docs.join(found, key == found["text_key"], "left_anti")

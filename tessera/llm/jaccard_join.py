@@ -1,17 +1,18 @@
 """N-gram Jaccard join by universe-partition pigeonhole.
 
 A document is the set of its distinct word n-grams, hashed to 64 bits. Sizes fall into bands. In a band, two
-sets that are similar enough differ in at most H elements, so if the universe is hashed into H + 1 + SPARE
-segments, 1 + SPARE segments of theirs are equal. The segments of every set are indexed by their content.
+sets that are similar enough differ in at most H elements, so if the universe is hashed into H + 1 + spare
+segments, 1 + spare segments of theirs are equal. The segments of every set are indexed by their content.
 Sets look in their own band and in lower ones that may hold partners.
 
-Of the sets under one index key, the least is the hub: each other set is compared with it, exactly. Where all
-are linked with the hub, nothing is left to compare. Where a few are not, the remaining pairs are compared,
-save those that the distances to the hub rule out. Where many are not, the key is too costly and is skipped; a
-set of which more than SPARE segments are skipped (or empty) is allocated anew: half as many and twice as large
-segments, each indexed with its content and with its one-deletion neighbourhood, so that segments that differ
-in one element meet too. Sets that still lie under costly keys repeat this with other segments, and after
-LEVELS allocations all pairs under their keys are compared.
+Of the sets under one index key, the one with the most keys is the hub: each other set is compared with it,
+exactly. Where all are linked with the hub's class, nothing is left to compare. Where some are not, sets that have
+so many elements of their own, which no other such set has, that no size of partner suits them are done with. If
+few remain apart, they are compared with the others, save where the distances to the hub or the numbers of own
+elements rule it out. If many remain, the key is too costly and is skipped; a set of which more than the spare segments are skipped (or empty) is allocated anew: half
+as many and twice as large segments, each indexed with its content and with its one-deletion neighbourhood, so
+that segments that differ in one element meet too. That is repeated with other segments while it at least halves
+the sets that lie under costly keys; for what is left, all pairs under their keys are compared.
 
 Documents with equal sets are one set. Rows are never paired with rows, and no group is gathered in one place:
 the groups of a key are streamed from sorted partitions.
@@ -27,13 +28,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import STEP, lower_words, read_documents
 from tessera.llm.components import components
 from tessera.session import cut
 
-SPARE, COSTLY, LEVELS = 1, 8, 6
+#: Sets apart from the hub's class that make a key costly; rows of a list of documents that is broadcast.
+COSTLY, LISTED = 16, 1_000_000
+#: Added to a set's excess, to keep it positive in a packed number.
+BIAS = 1 << 19
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -70,6 +74,11 @@ class Bands:
         self.floor = next(n for n in range(1, 10_000) if (2 * n + 1) * (100 - percent) >= 100 + percent)
         self.starts = [self.floor]
 
+    @staticmethod
+    def spare(m: int) -> int:
+        """Segments beyond those that the pigeonhole needs, for m of these: a few may be empty or costly."""
+        return 1 + m // 32
+
     def of(self, n: int) -> list[tuple[int, int]]:
         """(band, most differing elements) of each band in which a set of n elements may have partners of at most its size."""
         while self.starts[-1] <= n:
@@ -84,13 +93,15 @@ class Bands:
 
 
 def keys_of(grams: np.ndarray, bands: Bands, level: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys of a set, the segment of each, and the largest number of its segments that have no key of use in a band.
+    """Index keys of a set, the segment of each, and its excess: segments without a key of use beyond the spare ones, in the worst band.
 
     Level 0: the contents of many segments. Later levels: contents and one-deletion neighbourhoods of fewer segments.
+    A partner shares 1 - excess segments with the set, or more.
     """
-    keys, places, lacking = [], [], 0
+    keys, places, excess = [], [], []
     for band, most in bands.of(len(grams)):
-        m = most + 1 + SPARE if level == 0 else most // 2 + 1 + SPARE
+        least = most + 1 if level == 0 else most // 2 + 1
+        m = least + bands.spare(least)
         salt = np.uint64((level * 1009 + band * 64 + 7) * 0x632BE59BD9B4E019 % 2**64)
         mixed = mix(grams ^ salt)
         segment = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -100,19 +111,29 @@ def keys_of(grams: np.ndarray, bands: Bands, level: int) -> tuple[np.ndarray, np
         total, there = np.add.reduceat(content, starts), segment[starts]
         tag = salt + there.astype(np.uint64) * _M1
         keys.append(mix(total ^ mix(tag)))
-        places.append(there + band * 2**20)
+        places.append(there + (band << 20))
         if level == 0:
-            lacking = max(lacking, m - len(there))
+            excess.append(least - len(there))
         else:
             sizes = np.diff(np.r_[starts, len(segment)])
-            lacking = max(lacking, m - int((sizes > 1).sum()))
+            excess.append(least - int((sizes > 1).sum()))
             each = np.repeat(np.arange(len(starts)), sizes)
             large = sizes[each] > 1
             keys.append(mix((total[each] - content) ^ mix(tag[each]))[large])
-            places.append((there[each] + band * 2**20)[large])
+            places.append((there[each] + (band << 20))[large])
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    return np.concatenate(keys).astype(np.int64), np.concatenate(places), lacking
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), -BIAS
+    return np.concatenate(keys).astype(np.int64), np.concatenate(places), max(excess)
+
+
+def _packed(n: int, excess: int) -> int:
+    """A document's size and excess as a negative number."""
+    return -1 - (n << 20 | min(max(excess + BIAS, 0), 2 * BIAS - 1))
+
+
+def _unpacked() -> tuple[Column, Column]:
+    """Size and excess from the column info."""
+    return F.shiftright(-1 - F.col("info"), 20), F.expr(f"(-1 - info) % {2 * BIAS} - {BIAS}")
 
 
 def _index_texts(n: int, percent: int, id_type: pa.DataType):
@@ -127,11 +148,11 @@ def _index_texts(n: int, percent: int, id_type: pa.DataType):
                 for i, text in enumerate(part.column(1).to_pylist()):
                     grams = shingles(text, n)
                     name = set_id(grams)
-                    k, places, lacking = keys_of(grams, bands, 0)
+                    k, places, excess = keys_of(grams, bands, 0)
                     lone.append((name ^ (i * 0x5851F42D4C957F2D)) % 2**63)
                     keys += [lone[-1:], k]
                     sets.append(np.full(len(k) + 1, name))
-                    infos += [[-1 - (len(grams) << 20 | min(lacking, 2**20 - 1))], places]
+                    infos += [[_packed(len(grams), excess)], places]
                     take += [np.array([i]), np.full(len(k), -1)]
                 take = np.concatenate(take)
                 ids = part.column(0).take(pa.array(take, mask=take < 0))
@@ -148,8 +169,8 @@ def _index_sets(percent: int, level: int):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = np.frombuffer(data, np.uint64)
-                k, places, lacking = keys_of(grams, bands, level)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, name]), pa.array(np.full(len(k) + 1, name)), pa.array(np.r_[places, -1 - (len(grams) << 20 | lacking)].astype(np.int64))], names=["key", "set", "info"])
+                k, places, excess = keys_of(grams, bands, level)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, name]), pa.array(np.full(len(k) + 1, name)), pa.array(np.r_[places, _packed(len(grams), excess)].astype(np.int64))], names=["key", "set", "info"])
 
     return run
 
@@ -214,28 +235,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = rows.mapInArrow(_index_texts(n, percent, to_arrow_type(id_type)), f"key long, set long, info long, id {kind}")
     index = index.repartition("key").sortWithinPartitions("key", "set")
     index = cut(index.mapInArrow(_stars(True), f"key long, info long, hub long, set long, id {kind}"), "jaccard-index")
-    members = index.where("info < 0").select("id", "set", F.shiftright(-1 - F.col("info"), 20).alias("n"), F.expr("(-1 - info) & 1048575").alias("lacking"))
-    names = cut(members.where("n > 0").groupBy("set").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("lacking").alias("lacking")), "jaccard-names")
-    stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", "set")
-
-    # The sets that any later comparison needs, from one row of each. Spark broadcasts the list of rows if it is small.
-    needed = stars.select("set").union(stars.select(F.col("hub").alias("set"))).union(names.where(F.col("lacking") > SPARE).select("set")).distinct()
-    carriers = names.join(needed, "set").select("set", "first")
-    found = rows.join(carriers, rows["id"].eqNullSafe(carriers["first"])).select("set", "text").mapInArrow(_sets(n), "set long, n long, grams binary")
-    sets = cut(found.dropDuplicates(["set"]), "jaccard-sets")
-
-    links, level = None, 0
-    lacking = names.where(F.col("lacking") > 0).select("set", "lacking")
+    size, excess = _unpacked()
+    members = index.where("info < 0").select("id", "set", size.alias("n"), excess.alias("excess"))
+    names = cut(members.where("n > 0").groupBy("set").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("excess").alias("excess")), "jaccard-names")
+    keys = _keys(index, "jaccard-keys-0")
+
+    # The sets that may have a partner, from one row of each.
+    shared = keys.groupBy("set").agg(F.count_distinct("place").alias("shared"))
+    needed = names.join(shared, "set", "left").where((F.coalesce("shared", F.lit(0)) >= 1 - F.col("excess")) | (F.col("excess") > 0))
+    needed = cut(needed.select("set", "first", "excess"), "jaccard-needed")
+    carriers = needed.select("set", "first")
+    # A list of bounded size is sent to the scan of the texts; a longer one is joined by a shuffle.
+    carriers = F.broadcast(carriers) if needed.count() <= LISTED else carriers
+    sets = cut(rows.join(carriers, rows["id"].eqNullSafe(carriers["first"])).select("set", "text").mapInArrow(_sets(n), "set long, n long, grams binary"), "jaccard-sets")
+    if sets.count() > needed.count():  # rows that share an id and a text
+        sets = cut(sets.dropDuplicates(["set"]), "jaccard-sets")
+
+    keys, over, links, level, before = keys.join(needed.select("set"), "set", "left_semi"), needed.select("set", "excess"), None, 0, None
     while True:
-        new, pending = _settle(stars, lacking, sets, percent, level, links)
+        new, pending, waiting = _settle(keys, over, sets, percent, links, before)
         links = new if links is None else links.unionByName(new)
-        if pending is None or pending.isEmpty():
+        if not waiting:
             break
-        level += 1
+        level, before = level + 1, waiting
         index = sets.join(pending, "set", "left_semi").select("set", "grams").mapInArrow(_index_sets(percent, level), "key long, set long, info long")
         index = cut(index.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_stars(False), "key long, info long, hub long, set long"), "jaccard-index")
-        stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", "set")
-        lacking = index.where("info < 0").select("set", F.expr("(-1 - info) & 1048575").alias("lacking")).where("lacking > 0")
+        keys, over = _keys(index, "jaccard-keys-n"), index.where("info < 0").select("set", excess.alias("excess"))
 
     roots = components(links)
     named = names.join(roots, names["set"] == roots["node"], "left").select("set", "first", F.coalesce("root", "set").alias("root"))
@@ -258,38 +283,80 @@ def _sets(n: int):
     return run
 
 
-def _settle(stars: DataFrame, lacking: DataFrame, sets: DataFrame, percent: int, level: int, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Links that the keys of one level show, and the sets that the next level must look at."""
+def _keys(index: DataFrame, name: str) -> DataFrame:
+    """Columns key, place, set: each set under a key that others have too."""
+    stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", "set")
+    return cut(stars.select("key", "place", "set").unionByName(stars.select("key", "place", F.col("hub").alias("set")).distinct()), name)
+
+
+def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, before: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Links that the keys of one level show, the sets that the next level must look at, and their number.
+
+    before is the number that this level was to look at; unless it is halved, all pairs that are left are compared.
+    """
+    degree = keys.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = keys.join(degree, "set").groupBy("key").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
+    stars = keys.join(hubs, "key").where("set <> hub")
     compared = _compare(stars.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets, percent, "jaccard-stars")
     found = compared.where("linked").select("a", "b")
     roots = components(found if links is None else found.unionByName(links))
-    far = compared.select(F.col("a").alias("hub"), F.col("b").alias("set"), "differ", "linked")
+    far = compared.select(F.col("a").alias("hub"), F.col("b").alias("set"), "differ")
     root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     x = stars.join(far, ["hub", "set"], "left").join(root_of("set"), "set", "left").join(root_of("hub"), "hub", "left")
-    x = x.withColumn("set_root", F.coalesce("set_root", "set")).withColumn("hub_root", F.coalesce("hub_root", "hub"))
-    x = cut(x.withColumn("apart", F.col("set_root") != F.col("hub_root")), "jaccard-keys")
+    x = cut(x.withColumn("root", F.coalesce("set_root", "set")).withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).select("key", "place", "hub", "set", "differ", "root", "apart"), "jaccard-apart")
     odd = cut(x.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")), "jaccard-odd")
-    costly = odd.where(F.col("odd") > (COSTLY if level < LEVELS else 2**62)).select("key")
-    cheap = odd.where((F.col("odd") > 1) | (F.col("odd") == 1)).join(costly, "key", "left_anti").select("key")
-
-    # Pairs under cheap keys: one of the two is apart from the hub; the hub itself has been compared with all.
-    rest = x.join(cheap, "key", "left_semi").select("key", "set", F.col("set_root").alias("root"), "apart", "differ").join(sets.select("set", "n"), "set")
-    one = rest.where("apart").select("key", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("differ").alias("d_a"), F.col("n").alias("n_a"))
-    two = rest.select("key", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("differ").alias("d_b"), F.col("n").alias("n_b"), "apart")
-    most = ((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
+
+    crowd = x.join(odd.select("key"), "key", "left_semi")
+    crowd = cut(crowd.join(_open(crowd.select("set").distinct(), sets, percent), "set"), "jaccard-crowd")
+    costly = cut(crowd.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")).where(F.col("odd") > COSTLY).select("key"), "jaccard-costly")
+
+    # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
+    hard = crowd.join(costly, "key", "left_semi").select("set", "place").distinct().groupBy("set").agg(F.count(F.lit(1)).alias("hard"))
+    pending = cut(over.join(hard, "set", "left").where(F.col("excess") + F.coalesce("hard", F.lit(0)) > 0).select("set"), "jaccard-pending")
+    waiting = pending.count()
+    if before is not None and 2 * waiting > before:
+        waiting, rest = 0, crowd
+    else:
+        rest = crowd.join(costly, "key", "left_anti")
+
+    # One of each pair is apart from the hub's class; the hub itself has been compared with all.
+    rest = rest.select("key", "set", "root", "apart", "differ", "own").join(sets.select("set", "n"), "set")
+    one = rest.where("apart").select("key", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("differ").alias("d_a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
+    two = rest.select("key", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("differ").alias("d_b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), "apart")
+    most = (F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent)
     near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= most)
+    near &= F.col("own_a") + F.col("own_b") + F.abs(F.col("n_a") - F.col("own_a") - F.col("n_b") + F.col("own_b")) <= most
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     once = ~F.col("apart") | (F.col("a") < F.col("b"))
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b"))
-
-    # Segments under costly keys, and those without a key, are skipped: who has more than SPARE of them looks again.
-    hard = x.join(costly, "key", "left_semi")
-    hard = hard.select("set", "place").union(hard.select(F.col("hub").alias("set"), "place")).distinct()
-    skipped = hard.groupBy("set").agg(F.count(F.lit(1)).alias("skipped")).unionByName(lacking.withColumnRenamed("lacking", "skipped"))
-    pending = cut(skipped.groupBy("set").agg(F.sum("skipped").alias("skipped")).where(F.col("skipped") > SPARE).select("set"), "jaccard-pending")
-    return found, pending if level < LEVELS else None
+    return found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b")), pending, waiting
+
+
+def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, grams) to a row for each element."""
+    for batch in batches:
+        grams = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if grams:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in grams])), pa.array(np.concatenate(grams))], names=["set", "element"])
+
+
+def _open(names: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Columns set, own: those of the named sets that may have a partner among them, by size and own elements (elements that no other named set has).
+
+    Sets with u and v own elements and sizes n and k differ in u + v + |(n - u) - (k - v)| elements at least. For
+    each class of sizes within about a hundredth, the least v is held against all sets whose partners may have such sizes.
+    """
+    mine = cut(sets.join(names, "set", "left_semi"), "jaccard-named")
+    once = mine.select("set", "grams").mapInArrow(_elements, "set long, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("set").alias("set")).where("sets = 1")
+    own = cut(mine.select("set", "n").join(once.groupBy("set").agg(F.count(F.lit(1)).alias("own")), "set", "left").select("set", "n", F.coalesce("own", F.lit(0)).alias("own")), "jaccard-own")
+    size_class = lambda n: F.floor(F.log(n) * 100).cast("long")
+    classes = own.groupBy(size_class(F.col("n")).alias("class")).agg(F.min("own").alias("v"), F.min("n").alias("least"), F.max("n").alias("most"))
+    reach = F.sequence(size_class(F.col("n") * percent / 100), size_class(F.col("n") * 100 / percent))
+    x = own.select("set", "n", "own", F.explode(reach).alias("class")).join(classes, "class")
+    shared = F.col("n") - F.col("own") + F.col("v")
+    differ = F.col("own") + F.col("v") + F.greatest(F.lit(0), F.col("least") - shared, shared - F.col("most"))
+    return x.where(differ * (100 + percent) <= (F.col("n") + F.col("most")) * (100 - percent)).select("set", "own").distinct()
 
 
 def op5_jaccard_classes(spark, sf_dir: str) -> DataFrame:
