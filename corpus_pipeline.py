@@ -1,14 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+1. Documents without a language that can be told go.
+2. Of each class of near duplicates, one document stays.
+3. Documents of which one word in twenty or more stands in the benchmark go.
+4. Secrets are replaced by a mark.
+5. The rest is mixed by source: documents get their number of copies.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.llm import decontaminate, jaccard_join, language_id, mixing, secrets
+from tessera.llm.common import crc_mod
+from tessera.session import cut
+
+#: No SQL: the language model, the classes and the balanced sample aren't relations that SQL can state.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language can be told. The model learns from the labelled documents that aren't held out."""
+    model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2).select("text", "lang"))
+    return language_id.keep_identified(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of 4-word shingles with a similarity of 85 % or more."""
+    return jaccard_join.one_of_each(docs, n=4, percent=85)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold the benchmark's passages."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in texts; n_chars follows the text."""
+    clean = secrets.redact(docs)
+    n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", n_chars)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: the documents taken, and how many copies of each."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
