@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.common import STEP, lower_words, read_documents
 from tessera.llm.components import components
@@ -363,3 +363,17 @@ def op5_jaccard_classes(spark, sf_dir: str) -> DataFrame:
     """Classes of documents whose 4-word shingles have a Jaccard similarity of 85 % or more, directly or through others."""
     x = jaccard_classes(read_documents(spark, sf_dir), n=4, percent=85)
     return x.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose id is the least of their class. Texts without words are their own classes.
+
+    Rows that share an id become one: the one with the least text.
+    """
+    classes = jaccard_classes(docs, id_col, text_col, n, percent)
+    kept = cut(classes.where(F.col("component").eqNullSafe(F.col(id_col))).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed(id_col, "kept"), "jaccard-kept")
+    out = docs.join(kept.select("kept"), docs[id_col].eqNullSafe(F.col("kept")), "left_semi")
+    if kept.where("rows > 1").isEmpty():
+        return out
+    least = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    return out.withColumn("_row", F.row_number().over(least)).where("_row = 1").drop("_row")

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import crc_mod, map_rows, read_documents
+from tessera.llm.common import STEP, crc_mod, map_rows, read_documents
 
 #: Trigrams are hashed to so many features.
 BITS = 16
@@ -96,32 +98,46 @@ def mixture(table: np.ndarray, found: np.ndarray, counts: np.ndarray, rounds: in
     return out, near / near.sum()
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, lang_pred, score, proportions (array of language and share, those above zero) for each row.
+def predict(text: str | None, languages: list[str], table: np.ndarray) -> tuple[str, float, list[dict]]:
+    """Language, score and proportions of one text. The score is the proportion, times the posterior if there is one language only."""
+    if not text or not languages or not LETTER.search(text):
+        return "und", 0.0, []
+    found, counts = features(text)
+    if not len(found):
+        return "und", 0.0, []
+    share, near = mixture(table, found, counts)
+    best = int(share.argmax())
+    parts = [{"lang": languages[i], "share": float(x)} for i, x in enumerate(share) if x > 0]
+    return languages[best], float(min(1.0, share[best] * (near[best] if share[best] == 1 else 1))), parts
 
-    score is the language's proportion times its posterior among the languages taken alone.
-    """
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns id, lang_pred, score, proportions (array of language and share, those above zero) for each row of docs."""
     languages = model[0]
     table = docs.sparkSession.sparkContext.broadcast(model[1].astype(np.float64))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def per_row():
         probabilities = table.value
+        return lambda key, text: (key, *predict(text, languages, probabilities))
 
-        def run(key, text):
-            if not text or not languages or not LETTER.search(text):
-                return key, "und", 0.0, []
-            found, counts = features(text)
-            if not len(found):
-                return key, "und", 0.0, []
-            share, near = mixture(probabilities, found, counts)
-            best = int(share.argmax())
-            parts = [{"lang": languages[i], "share": float(x)} for i, x in enumerate(share) if x > 0]
-            return key, languages[best], float(min(1.0, share[best] * (near[best] if share[best] == 1 else 1))), parts
+    return map_rows(docs.select(id_col, text_col), per_row, f"`{id_col}` {kind}, lang_pred string, score double, proportions array<struct<lang:string,share:double>>")
 
-        return run
 
-    return map_rows(docs.select(id_col, text_col), per_row, f"`{id_col}` {kind}, lang_pred string, score double, proportions array<struct<lang:string,share:double>>")
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is identified with a score of `least` or more; all columns stay, in one pass without a join."""
+    languages, at = model[0], docs.columns.index(text_col)
+    table = docs.sparkSession.sparkContext.broadcast(model[1].astype(np.float64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probabilities = table.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                said = (predict(text, languages, probabilities) for text in part.column(at).to_pylist())
+                yield part.filter(pa.array([lang != "und" and score >= least for lang, score, _ in said]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_language_mixture(spark, sf_dir: str) -> DataFrame:
