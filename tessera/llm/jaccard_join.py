@@ -217,13 +217,13 @@ def _distance(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """Exact comparison of pairs a, b: a, b, differing elements, linked; written once."""
+    """Exact comparison of pairs a, b: a, b, new (elements of b that a lacks), gone (the reverse), linked; written once."""
     x = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("grams_a"), F.col("n").alias("na")), "a")
     x = x.join(sets.select(F.col("set").alias("b"), F.col("grams").alias("grams_b"), F.col("n").alias("nb")), "b")
     x = x.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     x = x.select("a", "b", "grams_a", "grams_b").mapInArrow(_distance, "a long, b long, n_a long, n_b long, common long")
     union = F.col("n_a") + F.col("n_b") - F.col("common")
-    return cut(x.select("a", "b", (union - F.col("common")).alias("differ"), (F.col("common") * 100 >= union * percent).alias("linked")), name)
+    return cut(x.select("a", "b", (F.col("n_b") - F.col("common")).alias("new"), (F.col("n_a") - F.col("common")).alias("gone"), (F.col("common") * 100 >= union * percent).alias("linked")), name)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -300,36 +300,41 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     compared = _compare(stars.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets, percent, "jaccard-stars")
     found = compared.where("linked").select("a", "b")
     roots = components(found if links is None else found.unionByName(links))
-    far = compared.select(F.col("a").alias("hub"), F.col("b").alias("set"), "differ")
+    far = compared.select(F.col("a").alias("hub"), F.col("b").alias("set"), "new", "gone")
     root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     x = stars.join(far, ["hub", "set"], "left").join(root_of("set"), "set", "left").join(root_of("hub"), "hub", "left")
-    x = cut(x.withColumn("root", F.coalesce("set_root", "set")).withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).select("key", "place", "hub", "set", "differ", "root", "apart"), "jaccard-apart")
+    x = cut(x.withColumn("root", F.coalesce("set_root", "set")).withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).select("key", "place", "hub", "set", "new", "gone", "root", "apart"), "jaccard-apart")
     odd = cut(x.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")), "jaccard-odd")
 
     crowd = x.join(odd.select("key"), "key", "left_semi")
-    crowd = cut(crowd.join(_open(crowd.select("set").distinct(), sets, percent), "set"), "jaccard-crowd")
+    crowd = cut(crowd.join(_open(crowd.select("set").union(crowd.select("hub")).distinct(), sets, percent), "set"), "jaccard-crowd")
     costly = cut(crowd.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")).where(F.col("odd") > COSTLY).select("key"), "jaccard-costly")
 
     # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
     hard = crowd.join(costly, "key", "left_semi").select("set", "place").distinct().groupBy("set").agg(F.count(F.lit(1)).alias("hard"))
     pending = cut(over.join(hard, "set", "left").where(F.col("excess") + F.coalesce("hard", F.lit(0)) > 0).select("set"), "jaccard-pending")
     waiting = pending.count()
+    # The hubs go along, as they tell the others apart well.
+    pending = pending.union(crowd.join(costly, "key", "left_semi").select("hub")).distinct()
     if before is not None and 2 * waiting > before:
         waiting, rest = 0, crowd
     else:
         rest = crowd.join(costly, "key", "left_anti")
 
     # One of each pair is apart from the hub's class; the hub itself has been compared with all.
-    rest = rest.select("key", "set", "root", "apart", "differ", "own").join(sets.select("set", "n"), "set")
-    one = rest.where("apart").select("key", F.col("set").alias("a"), F.col("root").alias("root_a"), F.col("differ").alias("d_a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"))
-    two = rest.select("key", F.col("set").alias("b"), F.col("root").alias("root_b"), F.col("differ").alias("d_b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), "apart")
-    most = (F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent)
-    near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= most)
-    near &= F.col("own_a") + F.col("own_b") + F.abs(F.col("n_a") - F.col("own_a") - F.col("n_b") + F.col("own_b")) <= most
+    rest = rest.join(sets.select("set", "n"), "set")
+    side = lambda x, end: x.select("key", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n")))
+    one, two = side(rest.where("apart"), "a").drop("apart"), side(rest, "b")
+    # Own elements differ. Of the other new ones, and of those gone, the numbers differ; hubs are counted too, so an own element is new to its hub.
+    apart = F.col("own_a") + F.col("own_b")
+    by_hub = F.abs(F.col("new_a") - F.col("own_a") - F.col("new_b") + F.col("own_b")) + F.abs(F.col("gone_a") - F.col("gone_b"))
+    by_size = F.abs(F.col("n_a") - F.col("own_a") - F.col("n_b") + F.col("own_b"))
+    most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    near = (apart + F.greatest(by_size, F.coalesce(by_hub, F.lit(0)))) * (100 + percent) <= most
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    once = ~F.col("apart") | (F.col("a") < F.col("b"))
+    once = ~F.col("apart") | (F.col("set_a") < F.col("set_b"))
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
     return found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b")), pending, waiting
 
 

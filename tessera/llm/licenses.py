@@ -4,7 +4,8 @@ A text is compared with each template word by word. Words that occur once in bot
 increasing subsequence of anchors is kept, and the gaps between its members are aligned in the same way. Matched
 words over the template's words is the coverage.
 
-A text that covers a template by `coverage` lacks at most the rest of its words. So of the template's longest
+A text that covers a template by `coverage` lacks at most the rest of its words; templates of fewer than SHORT words
+must be covered in full. So of the template's longest
 words, one more than may be lacking are cues: a text without a cue is passed over. Around the hits, windows of
 one and a half times the template's length that hold enough of its distinct words are aligned, so that several copies of a
 license in one text are found.
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import LOWER, map_rows, read_documents
 
+#: Templates of fewer words allow no gaps: four of five words of one notice may be those of another.
+SHORT = 20
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 #: License notices and grants by SPDX identifier.
@@ -82,14 +85,13 @@ class Scanner:
     """Templates ready for use."""
 
     def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
         self.templates, self.cues = [], {}
         for name, text in templates.items():
             words = words_of(text)
             if not words:
                 continue
             counts = Counter(words)
-            allowed, cues = int((1 - coverage) * len(words) + 1e-9), []
+            allowed, cues = int((1 - coverage) * len(words) + 1e-9) if len(words) >= SHORT else 0, []
             # Losing all cues must take more words than may be lacking.
             for word in sorted(counts, key=lambda w: (-len(w), w)):
                 cues.append(word)
@@ -97,15 +99,15 @@ class Scanner:
                     break
             for cue in cues:
                 self.cues.setdefault(cue, []).append(len(self.templates))
-            self.templates.append((name, words, set(words)))
+            self.templates.append((name, words, set(words), len(words) - allowed))
 
     def scan(self, text: str | None) -> list[dict]:
         """Matches by place: license, coverage, start and end (words, end exclusive)."""
         words = words_of(text)
         out = []
         for t in sorted({t for cue in self.cues.keys() & set(words) for t in self.cues[cue]}):
-            name, template, distinct = self.templates[t]
-            reach, least = len(template) * 3 // 2 + 1, self.coverage * len(distinct)
+            name, template, distinct, needed = self.templates[t]
+            reach, least = len(template) * 3 // 2 + 1, len(distinct) - (len(template) - needed)
             hits, free = [i for i, w in enumerate(words) if w in distinct], 0
             count: Counter = Counter()
             left = 0
@@ -121,7 +123,7 @@ class Scanner:
                     continue
                 start, end = hits[left], min(len(words), hits[left] + reach)
                 pairs = align(words[start:end], template)
-                if pairs and len(pairs) >= self.coverage * len(template):
+                if pairs and len(pairs) >= needed:
                     first, last = start + pairs[0][0], start + pairs[-1][0] + 1
                     out.append({"license": name, "coverage": len(pairs) / len(template), "start": first, "end": last})
                     free = last

@@ -47,8 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     before, after, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(everything)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    x = x.withColumn("level", level)
-    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everything)["level"])
+    x = x.withColumn("level", level).withColumn("rank", F.row_number().over(order))
+    # The first place whose level keeps it below its cap; all after it stay below theirs.
+    x = x.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("rank", "level"))).over(everything)["level"])
     return x.select("source", "units", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), "cap")).alias("target"))
 
 

@@ -1,0 +1,374 @@
+"""The corpus operators against brute force, and on awkward rows."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tessera.llm import components, decontaminate, jaccard_join, language_id, licenses, lm_score, media, mixing, queries, secrets, token_counts, vocab, warc
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, tmp_path_factory):
+    """A folder with odd documents: nulls, no words, ties, repeated rows, a very long text, columns with clashing names."""
+    item = " ".join(f"w{i}" for i in range(20))
+    data = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n\t", "en", "a", 3), (4, "one", "en", "b", 3), (4, "one", "en", "b", 3), (5, "one", None, "b", 3),
+        (None, "two words", "fr", None, 9), (7, item, "en", "a", 80), (8, "x " + item + " y", "en", "a", 84), (9, item.upper(), "en", None, 80),
+        (10, "word another " * 30_000, "en", "c", 390_000), (11, "12345 !!!", "en", "c", 9), (12, 'password: "abcdefgh1" and token=short', "en", "c", 30), (13, "Été 中文 \U0001f600 " + item, "fr", "c", 90),
+    ]
+    folder = str(tmp_path_factory.mktemp("awkward"))
+    out = spark.createDataFrame(data, SCHEMA)
+    for name in ("text_key", "unit", "copies", "key", "set", "words", "n", "info", "size", "blob", "path", "findings", "id", "word", "matched", "target"):
+        out = out.withColumn(name, F.lit("clash"))
+    out.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, "one"), (2, "one"), (None, "two words"), (4, None), (5, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", ""), (None, None, "x"), (13, "v", "<p>h</p>")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_awkward_rows_and_empty_tables(spark, awkward, empty, name):
+    table = "pages" if name.startswith("op9") else "documents"
+    there = spark.read.parquet(f"{awkward}/{table}.parquet").count()
+    assert queries.QUERIES[name](spark, awkward).count() == there
+    assert queries.QUERIES[name](spark, empty).count() == 0
+
+
+def test_token_counts_are_those_of_the_best_segmentation(spark, docs, rows):
+    scores = vocab.load()
+    longest = max(map(len, scores))
+
+    def best(word):
+        text = b" " + word
+        table = [(0.0, 0)] + [(-1e300, 0)] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                if (s := scores.get(text[start:end])) is not None:
+                    x = (table[start][0] + s, table[start][1] + 1)
+                    if x[0] > table[end][0] or x[0] == table[end][0] and x[1] < table[end][1]:
+                        table[end] = x
+        return table[-1][1]
+
+    memo = {}
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.op1_token_counts(spark, SF).collect()}
+    for doc, text in rows[:60]:
+        words = text.encode().split()
+        for w in words:
+            memo.setdefault(w, best(w))
+        assert got[doc] == (len(words), sum(memo[w] for w in words))
+
+
+def test_token_counts_with_a_full_trie_and_long_words():
+    scores = vocab.load()
+    small, large = token_counts.Trie(scores, max_nodes=50), token_counts.Trie(scores)
+    words = [bytes(random.Random(i).choices(range(97, 123), k=1 + i % 9)) for i in range(300)] * 2
+    assert small.count_words(words) == large.count_words(words)
+    assert token_counts.long_count(b"abc" * 3000, large) == large.insert(b"abc" * 3000)
+
+
+def test_media_round_trip(spark, rows):
+    got = {r.doc_id: r for r in media.op2_media_sniffing(spark, SF).collect()}
+    for doc, text in rows:
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        r = got[doc]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = media.to_wav(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature.startswith("audio/wav;corrected=true")
+
+
+def test_media_carving_and_broken_files(spark):
+    import struct
+
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a\x01\0\x01\0\0\0\0;"
+    data = [(1, png, "image/gif"), (2, b"junk BM PK" + png + gif, "text/plain"), (3, png[:-3], "image/png"), (4, None, "x/y"), (5, b"", None), (6, media.to_wav(png + bytes(1)), None)]
+    out = {r.id: r for r in media.sniff_media(spark.createDataFrame(data, "id long, media binary, said string"), "media", "said").collect()}
+    assert (out[1].media_type, out[1].corrected, out[1].valid_bytes) == ("image/png", True, len(png))
+    assert [(e.offset, e.media_type, e.length) for e in out[2].embedded] == [(10, "image/png", len(png)), (10 + len(png), "image/gif", len(gif))]
+    assert (out[3].media_type, out[3].valid_bytes, out[4].media_type, out[5].media_type) == ("image/png", None, "x/y", None)
+    assert out[6].media_type == "audio/wav" and [e.media_type for e in out[6].embedded] == ["image/png"]
+
+
+def test_contamination(spark, docs, rows, awkward):
+    for folder in (SF, awkward):
+        table = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").collect()
+        items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+        want = brute.contamination([(r.doc_id, r.text) for r in table], items)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.op3_winnowing(spark, folder).collect() if r.doc_id is not None}
+        assert got == want
+    kept = decontaminate.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
+    want = brute.contamination(rows, [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    assert {r.doc_id for r in kept.collect()} == {d for d, x in want.items() if not x[4]}
+
+
+def test_mix_meets_targets(spark, docs):
+    out = mixing.op4_cube_mix(spark, SF).join(docs.select("doc_id", "source"), "doc_id").collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r.source] += r["size"]
+    want, taken = brute.targets(sizes), Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        assert r.source_size == want[r.source][0] and math.isclose(r.target, want[r.source][1], rel_tol=1e-9)
+        assert r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
+    assert sum(abs(taken[s] - want[s][1]) for s in want) < 0.05 * sum(sizes.values())
+    again = {(r.doc_id, r.taken) for r in mixing.op4_cube_mix(spark, SF).collect()}
+    assert again == {(r.doc_id, r.taken) for r in out}
+
+
+def test_targets_with_caps(spark):
+    sizes = {"a": 1, "b": 1000, "c": 2, "d": 3, "e": 0, None: 500}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: (r.source_size, r.target) for r in mixing.targets(rows).collect()}
+    want = brute.targets(sizes)
+    assert got.keys() == want.keys() and all(math.isclose(got[s][1], want[s][1], abs_tol=1e-9) for s in want)
+
+
+def test_flight_keeps_totals():
+    draw = np.random.default_rng(1)
+    size = draw.integers(0, 900, 2000).astype(float)
+    p = draw.random(2000)
+    out = mixing.fly(p, size, np.random.default_rng(2))
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert math.isclose(out.sum(), p.sum(), abs_tol=1e-3) and math.isclose(out @ size, p @ size, rel_tol=1e-6)
+    assert not ((mixing.land(p, size, np.random.default_rng(2)) % 1) > 0).any()
+
+
+def test_blocks_and_levels(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 4)
+    monkeypatch.setattr(mixing, "FAN", 2)
+    out = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in out) == docs.count()
+    assert sum(abs(r.taken - r.target) for r in out) < 0.05 * sum(r.target for r in out)
+
+
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 60)])
+def test_classes(spark, docs, rows, n, percent):
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(docs, n=n, percent=percent).collect()}
+    assert got == brute.classes(rows, n, percent)
+
+
+def family(seed, copies, base_words, edits):
+    """Near copies of a base with different numbers of edits, and strangers that share a passage."""
+    draw = random.Random(seed)
+    base = [f"b{i}" for i in range(base_words)]
+    passage = [f"p{i}" for i in range(30)]
+    out = []
+    for i in range(copies):
+        words = list(base)
+        for _ in range(draw.choice(edits)):
+            words[draw.randrange(len(words))] = f"e{draw.randrange(10**9)}"
+        out.append((2 * i, " ".join(words)))
+        out.append((2 * i + 1, " ".join(f"s{draw.randrange(10**9)}" for _ in range(draw.randrange(5, 60))) + " " + " ".join(passage)))
+    return out
+
+
+@pytest.mark.parametrize("costly", [16, 0])
+def test_classes_of_a_hot_family(spark, monkeypatch, costly):
+    monkeypatch.setattr(jaccard_join, "COSTLY", costly)
+    data = family(3, 120, 120, [0, 1, 2, 3, 4, 5, 8])
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert got == brute.classes(data)
+
+
+def test_classes_without_a_broadcast_and_with_repeated_rows(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LISTED", 0)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(docs.union(docs), n=4, percent=85).collect()}
+    assert got == brute.classes(rows)
+    kept = jaccard_join.one_of_each(docs.union(docs), n=4, percent=85).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute.classes(rows).values()})
+
+
+def test_one_deletion_level_finds_all_pairs():
+    """Sets that differ in no more than the bound share 1 - excess segments' keys or more, on each level."""
+    draw = np.random.default_rng(5)
+    bands = jaccard_join.Bands(85)
+    for level in (0, 1, 2):
+        for n in (6, 7, 9, 20, 60, 300):
+            for _ in range(20):
+                a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+                b = np.unique(np.r_[a[: len(a) - draw.integers(0, max(1, n // 14) + 1)], draw.integers(0, 2**63, draw.integers(0, max(1, n // 14) + 1)).astype(np.uint64)])
+                common = len(np.intersect1d(a, b))
+                if 100 * common < 85 * (len(a) + len(b) - common):
+                    continue
+                ka, pa_, ea = jaccard_join.keys_of(a, bands, level)
+                kb, _, eb = jaccard_join.keys_of(b, bands, level)
+                shared = len(set(pa_[np.isin(ka, kb)]))
+                assert shared >= 1 - min(ea, eb) or max(ea, eb) > 0 or min(len(a), len(b)) < bands.floor
+
+
+def test_components(spark):
+    draw = random.Random(7)
+    links = [(i, i + 1) for i in range(0, 40)] + [(draw.randrange(100, 400), draw.randrange(100, 400)) for _ in range(250)] + [(5, 5)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        p, q = find(a), find(b)
+        parent[max(p, q)] = min(p, q)
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+
+
+def test_language_on_held_out_documents(spark, docs):
+    out = language_id.op6_language_mixture(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert len(out) > 200 and sum(r.lang_pred == r.lang for r in out) / len(out) > 0.98
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_mixture_of_two(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    languages, model = language_id.train(table.select("text", "lang"))
+    text = {lang: table.where((F.col("lang") == lang) & (F.length("text") > 3000)).first().text[:2000] for lang in ("en", "de")}
+    said, score, parts = language_id.predict(text["en"] + " " + text["de"][:1000], languages, model)
+    assert said == "en" and {p["lang"] for p in parts} == {"en", "de"} and 0.5 < score < 0.8
+
+
+def test_secrets(spark, rows, awkward):
+    for folder in (SF, awkward):
+        table = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+        for r in secrets.op7_secret_ledger(spark, folder).collect():
+            assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute.secrets(table[r.doc_id])
+
+
+def test_only_unseen_blobs_are_scanned(spark):
+    schema = "path string, version long, text string"
+    first = spark.createDataFrame([("a", 1, "token=aaaaaaaaaa"), ("b", 1, "nothing"), ("c", 1, "token=aaaaaaaaaa")], schema)
+    found, ledger = secrets.scan(first)
+    assert ledger.count() == 2 and {r.path: len(r.findings) for r in found.collect()} == {"a": 1, "b": 0, "c": 1}
+    second = first.union(spark.createDataFrame([("a", 2, "secret: bbbbbbbbbb"), ("d", 1, "nothing")], schema))
+    found, fresh = secrets.scan(second, ledger=ledger)
+    assert fresh.count() == 1 and Counter((r.path, len(r.findings)) for r in found.collect()) == Counter({("a", 1): 2, ("b", 0): 1, ("c", 1): 1, ("d", 0): 1})
+    _, other = secrets.scan(second, ledger=ledger.withColumn("rules", F.lit("older rules")))
+    assert other.count() == 3
+
+
+def test_redaction(spark):
+    data = [(1, "x password=abcdefgh1 y", "k"), (2, None, "k"), (3, "clean", "k"), (4, "token=" + "0" * 40 + "!", "k")]
+    out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(data, "doc_id long, text string, extra string")).collect()}
+    assert out == {1: "x [SECRET] y", 2: None, 3: "clean", 4: "[SECRET]!"}
+
+
+def test_word_model_and_score(spark, rows):
+    got = {r.doc_id: r for r in lm_score.op8_lattice_score(spark, SF).collect()}
+    for doc, want in brute.word_model(rows).items():
+        r = got[doc]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[:4] and math.isclose(r.base_score, want[4], rel_tol=1e-9)
+        assert r.score < 0
+
+
+def test_lattice_sums_all_segmentations():
+    scores = {b" ": -1.0, b"a": -1.5, b"b": -2.0, b" a": -1.2, b"ab": -0.7, b" ab": -3.0, b"ba": -2.5}
+    lattice = lm_score.Lattice(scores)
+
+    def all_ways(text):
+        return 1.0 if not text else sum(math.exp(scores[text[:i]]) * all_ways(text[i:]) for i in range(1, len(text) + 1) if text[:i] in scores)
+
+    for word in (b"", b"a", b"abab", b"baab", b"aabba"):
+        assert math.isclose(lattice.log_probability(word), math.log(all_ways(b" " + word)))
+        into = Counter()
+        lattice.expect(word, 2.0, into)
+        assert math.isclose(sum(len(p) * x for p, x in into.items()), 2.0 * (len(word) + 1))
+
+
+def test_scores_with_rare_words_joined(spark, rows, monkeypatch):
+    one = {r.doc_id: r.score for r in lm_score.op8_lattice_score(spark, SF).collect()}
+    monkeypatch.setattr(lm_score, "FREQUENT", 10)
+    other = {r.doc_id: r.score for r in lm_score.op8_lattice_score(spark, SF).collect()}
+    assert all(math.isclose(one[d], other[d], rel_tol=1e-9) for d in one)
+
+
+def test_audit_finds_the_damage(spark, awkward):
+    con = duckdb.connect()
+    con.sql(f"create view pages as from '{SF}/pages.parquet'")
+    columns = 'page_id, file, record, "offset", length, record_sha256, root_sha256, status, replica_sha256'
+    want = Counter(con.sql(f"select {columns} from ({warc.ORACLE})").fetchall())
+    out = warc.op9_merkle_audit(spark, SF)
+    assert Counter(map(tuple, out.select(*(c.strip().strip('"') for c in columns.split(","))).collect())) == want
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    whole, lost = warc.leaves(pages, per_file=20), warc.leaves(pages.where("page_id <> 39"), per_file=20)
+    levels = warc.depth(20)
+    bad = warc.audit(warc.tree(whole, levels), warc.tree(lost, levels), levels).collect()
+    assert [(r.file, r.record, r.status) for r in bad] == [(1, 19, "missing")]
+    assert warc.audit(warc.tree(whole, levels), warc.tree(whole, levels), levels).count() == 0
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    body = "héllo\r\n\r\nWARC/1.1"
+    record = spark.range(1).select(warc.record_bytes(F.lit("http://x/"), F.lit(body)).alias("b")).first().b.encode()
+    (tmp_path / "a.warc").write_bytes(record * 2 + record[:-6])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
+    out = warc.read_warc(spark, str(tmp_path)).collect()
+    assert Counter((r.path[-1], r.intact) for r in out) == Counter({("c", True): 2, ("c", False): 1, ("z", True): 2})
+    assert all(r.body.decode() == body and r.uri == "http://x/" for r in out if r.intact)
+
+
+def test_licenses():
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8).scan
+    filler = "the under released of work " * 200
+    text = filler + "Released under the MIT License. " + filler + "LICENSED under the  Apache License,\nVersion 2.0! " + filler + "Released under the MIT License."
+    assert [m["license"] for m in scan(text)] == ["MIT", "Apache-2.0", "MIT"]
+    for name, template in licenses.TEMPLATES.items():
+        assert [(m["license"], m["coverage"]) for m in scan("before " + template + " after") if m["license"] == name] == [(name, 1.0)]
+        words = template.split()
+        cut_words = [w for i, w in enumerate(words) if i % 12 != 5]
+        assert any(m["license"] == name and m["coverage"] < 1 for m in scan(" ".join(cut_words))) or len(words) < 20
+    assert scan(filler) == [] and scan(None) == []
+
+
+def test_alignment_is_a_common_subsequence():
+    draw = random.Random(3)
+    for _ in range(200):
+        a, b = ([draw.choice("abcdefgh") for _ in range(draw.randrange(25))] for _ in range(2))
+        pairs = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert licenses.align(a, a) == [(i, i) for i in range(len(a))]
+
+
+def test_licenses_in_documents(spark, rows):
+    got = {r.doc_id: r.n_matches for r in licenses.op10_patience_licenses(spark, SF).collect()}
+    for doc, text in rows:
+        notices = sum(text.count(licenses.TEMPLATES[k]) for k in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0"))
+        assert got[doc] == notices
