@@ -35,7 +35,7 @@ from tessera.llm.components import components
 from tessera.session import cut
 
 #: Sets apart from the hub's class that make a key costly; rows of a list of documents that is broadcast.
-COSTLY, LISTED = 16, 1_000_000
+COSTLY, LISTED = 64, 1_000_000
 #: Added to a set's excess, to keep it positive in a packed number.
 BIAS = 1 << 19
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -322,15 +322,19 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
         rest = crowd.join(costly, "key", "left_anti")
 
     # One of each pair is apart from the hub's class; the hub itself has been compared with all.
-    rest = rest.join(sets.select("set", "n"), "set")
-    side = lambda x, end: x.select("key", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n")))
+    pivots = _pivots(compared, degree, rest.select("set").distinct())
+    profile = _compare(pivots, sets, percent, "jaccard-pivots").select(F.col("b").alias("set"), F.col("a").alias("pivot"), F.col("new").alias("pivot_new"), F.col("gone").alias("pivot_gone"))
+    rest = rest.join(sets.select("set", "n"), "set").join(profile, "set", "left")
+    side = lambda x, end: x.select("key", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n", "pivot", "pivot_new", "pivot_gone")))
     one, two = side(rest.where("apart"), "a").drop("apart"), side(rest, "b")
     # Own elements differ. Of the other new ones, and of those gone, the numbers differ; hubs are counted too, so an own element is new to its hub.
     apart = F.col("own_a") + F.col("own_b")
-    by_hub = F.abs(F.col("new_a") - F.col("own_a") - F.col("new_b") + F.col("own_b")) + F.abs(F.col("gone_a") - F.col("gone_b"))
+    counts = lambda new, gone: F.abs(F.col(f"{new}_a") - F.col("own_a") - F.col(f"{new}_b") + F.col("own_b")) + F.abs(F.col(f"{gone}_a") - F.col(f"{gone}_b"))
+    by_hub = counts("new", "gone")
+    by_pivot = F.when(F.col("pivot_a") == F.col("pivot_b"), counts("pivot_new", "pivot_gone"))
     by_size = F.abs(F.col("n_a") - F.col("own_a") - F.col("n_b") + F.col("own_b"))
     most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    near = (apart + F.greatest(by_size, F.coalesce(by_hub, F.lit(0)))) * (100 + percent) <= most
+    near = (apart + F.greatest(by_size, by_hub, by_pivot)) * (100 + percent) <= most
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     once = ~F.col("apart") | (F.col("set_a") < F.col("set_b"))
     pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
@@ -338,6 +342,15 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     return found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b")), pending, waiting
 
 
+def _pivots(compared: DataFrame, degree: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs a, b of a pivot and a named set: of the set's hubs and their hubs, the one with the most keys. So most of a family have one pivot in common."""
+    rank = degree.select(F.col("set").alias("hub"), F.struct("degree", F.col("set").alias("hub")).alias("rank"))
+    ranked = compared.select(F.col("a").alias("hub"), F.col("b").alias("set")).join(rank, "hub")
+    above = ranked.groupBy(F.col("set").alias("hub")).agg(F.max("rank").alias("above"))
+    best = ranked.join(above, "hub", "left").join(names, "set", "left_semi").groupBy("set").agg(F.max(F.greatest("rank", "above")).alias("p"))
+    return best.select(F.col("p.hub").alias("a"), F.col("set").alias("b")).where("a <> b")
+
+
 def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(set, grams) to a row for each element."""
     for batch in batches:
