@@ -307,7 +307,10 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     odd = cut(x.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")), "jaccard-odd")
 
     crowd = x.join(odd.select("key"), "key", "left_semi")
-    crowd = cut(crowd.join(_open(crowd.select("set").union(crowd.select("hub")).distinct(), sets, percent), "set"), "jaccard-crowd")
+    named = crowd.select("set").union(crowd.select("hub")).distinct()
+    # Pivots may lie outside the crowd; they are named too, so that an own element is new to its pivot as well.
+    pivots = cut(_pivots(compared, degree, named), "jaccard-pivot")
+    crowd = cut(crowd.join(_open(named.union(pivots.select("a")).distinct(), sets, percent), "set"), "jaccard-crowd")
     costly = cut(crowd.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")).where(F.col("odd") > COSTLY).select("key"), "jaccard-costly")
 
     # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
@@ -322,12 +325,11 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
         rest = crowd.join(costly, "key", "left_anti")
 
     # One of each pair is apart from the hub's class; the hub itself has been compared with all.
-    pivots = _pivots(compared, degree, rest.select("set").distinct())
-    profile = _compare(pivots, sets, percent, "jaccard-pivots").select(F.col("b").alias("set"), F.col("a").alias("pivot"), F.col("new").alias("pivot_new"), F.col("gone").alias("pivot_gone"))
+    profile = _compare(pivots.join(rest.select(F.col("set").alias("b")), "b", "left_semi").select("a", "b"), sets, percent, "jaccard-pivots").select(F.col("b").alias("set"), F.col("a").alias("pivot"), F.col("new").alias("pivot_new"), F.col("gone").alias("pivot_gone"))
     rest = rest.join(sets.select("set", "n"), "set").join(profile, "set", "left")
     side = lambda x, end: x.select("key", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n", "pivot", "pivot_new", "pivot_gone")))
     one, two = side(rest.where("apart"), "a").drop("apart"), side(rest, "b")
-    # Own elements differ. Of the other new ones, and of those gone, the numbers differ; hubs are counted too, so an own element is new to its hub.
+    # Own elements differ. Of the other new ones, and of those gone, the numbers differ; hubs and pivots are counted too, so an own element is new to them.
     apart = F.col("own_a") + F.col("own_b")
     counts = lambda new, gone: F.abs(F.col(f"{new}_a") - F.col("own_a") - F.col(f"{new}_b") + F.col("own_b")) + F.abs(F.col(f"{gone}_a") - F.col(f"{gone}_b"))
     by_hub = counts("new", "gone")

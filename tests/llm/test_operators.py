@@ -214,6 +214,20 @@ def test_classes_without_a_broadcast_and_with_repeated_rows(spark, docs, rows, m
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute.classes(rows).values()})
 
 
+def test_bounds_with_a_pivot_outside_the_crowd(spark):
+    """A and B are similar; their pivot P, the hub of their hub H, lies under no key of theirs and holds elements that only A has too."""
+    common, own_a, own_b, gone = (np.arange(k, k + n, dtype=np.uint64) for k, n in ((1, 93), (1001, 7), (2001, 6), (3001, 10)))
+    hub = np.r_[common[:85], gone]
+    grams = {1: np.r_[common, own_a], 2: np.r_[common, own_b], 3: hub, 4: np.r_[hub, own_a], 5: np.r_[hub, own_a, np.array([9], np.uint64)]}
+    sets = spark.createDataFrame([(k, len(g), bytearray(np.sort(g).tobytes())) for k, g in grams.items()], "set long, n long, grams binary")
+    under = {10: (1, 2, 3), 11: (3, 4), 12: (4, 5), 13: (4, 5)}
+    keys = spark.createDataFrame([(k, 0, s) for k, members in under.items() for s in members], "key long, place long, set long")
+    over = spark.createDataFrame([(s, -9) for s in grams], "set long, excess long")
+    links, _, waiting = jaccard_join._settle(keys, over, sets, 85, None, None)
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()}
+    assert {(3, 4), (4, 5), (1, 2)} <= found and waiting == 0
+
+
 def test_one_deletion_level_finds_all_pairs():
     """Sets that differ in no more than the bound share 1 - excess segments' keys or more, on each level."""
     draw = np.random.default_rng(5)
