@@ -28,7 +28,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm.common import STEP, lower_words, read_documents
 from tessera.llm.components import components
@@ -36,6 +37,8 @@ from tessera.session import cut
 
 #: Sets apart from the hub's class that make a key costly; rows of a list of documents that is broadcast.
 COSTLY, LISTED = 64, 1_000_000
+#: A character of a word, for Spark's regular expressions.
+WORD = r"[^\x20\x09-\x0D]"
 #: Added to a set's excess, to keep it positive in a packed number.
 BIAS = 1 << 19
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -228,6 +231,15 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Columns id, set (its name), n_shingles, component (the least id that links reach) for each row of docs."""
+    members, named = _classes(docs, id_col, text_col, n, percent)
+    least = named.groupBy("root").agg(F.min("first").alias("component"))
+    named = named.join(least, "root").select(F.col("set").alias("name"), "component")
+    out = members.join(named, members["set"] == named["name"], "left")
+    return out.select(F.col("id").alias(id_col), "set", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Columns id, set, n (its size) for each row of docs; columns set, first (its least id), root (of its class) for each set that isn't empty."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type, kind = docs.schema[id_col].dataType, docs.schema[id_col].dataType.simpleString()
@@ -247,7 +259,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     carriers = needed.select("set", "first")
     # A list of bounded size is sent to the scan of the texts; a longer one is joined by a shuffle.
     carriers = F.broadcast(carriers) if needed.count() <= LISTED else carriers
-    sets = cut(rows.join(carriers, rows["id"].eqNullSafe(carriers["first"])).select("set", "text").mapInArrow(_sets(n), "set long, n long, grams binary"), "jaccard-sets")
+    found = rows.join(carriers, rows["id"] == carriers["first"]).select("set", "text")
+    if not needed.where("first is null").isEmpty():
+        # Rows without an id are told by their sets, or each would meet every set that has no id.
+        nameless = rows.where("id is null").mapInArrow(_with_set(n, 1), f"id {kind}, text string, _set long")
+        nameless = nameless.join(carriers.where("first is null").select("set"), F.col("_set") == F.col("set"))
+        found = found.unionAll(nameless.groupBy("set").agg(F.min("text").alias("text")))
+    sets = cut(found.mapInArrow(_sets(n), "set long, n long, grams binary"), "jaccard-sets")
     if sets.count() > needed.count():  # rows that share an id and a text
         sets = cut(sets.dropDuplicates(["set"]), "jaccard-sets")
 
@@ -264,10 +282,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = components(links)
     named = names.join(roots, names["set"] == roots["node"], "left").select("set", "first", F.coalesce("root", "set").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least, "root").select(F.col("set").alias("name"), "component")
-    out = members.join(named, members["set"] == named["name"], "left")
-    return out.select(F.col("id").alias(id_col), "set", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    return members.select("id", "set", "n"), named
 
 
 def _sets(n: int):
@@ -386,14 +401,45 @@ def op5_jaccard_classes(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the least of their class. Texts without words are their own classes.
+    """One row of docs of each class: one with the least id, and of that id's sets in the class the one with the least name.
 
-    Rows that share an id become one: the one with the least text.
+    Rows are told apart by id and set, so rows of different classes never replace each other, whatever ids they share.
+    Of rows with the same id and set, the one with the least text stays. Texts without words are their own classes:
+    only rows with the same id, not null, and the same text become one.
     """
-    classes = jaccard_classes(docs, id_col, text_col, n, percent)
-    kept = cut(classes.where(F.col("component").eqNullSafe(F.col(id_col))).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed(id_col, "kept"), "jaccard-kept")
-    out = docs.join(kept.select("kept"), docs[id_col].eqNullSafe(F.col("kept")), "left_semi")
-    if kept.where("rows > 1").isEmpty():
+    members, named = _classes(docs, id_col, text_col, n, percent)
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "set")).alias("least"))
+    chosen = cut(chosen.select(F.col("least.first").alias("_first"), F.col("least.set").alias("_name")), "jaccard-chosen")
+    of_id = members.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("set").alias("set"), F.max("n").alias("n"))
+    of_id = cut(of_id, "jaccard-ids")
+
+    # An id of one row tells the row; other rows are told by their sets, which are made again.
+    single = of_id.where("id is not null and rows = 1").join(chosen, (F.col("id") == F.col("_first")) & (F.col("set") == F.col("_name")), "left")
+    kept = single.where("_name is not null or n = 0").select(F.col("id").alias("_kept"))
+    out = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi")
+    shared = of_id.where("id is null or rows > 1")
+    if shared.isEmpty():
         return out
-    least = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-    return out.withColumn("_row", F.row_number().over(least)).where("_row = 1").drop("_row")
+    # Texts without words that have no id can't be told to be one document.
+    nameless, words = docs.where(F.col(id_col).isNull()), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    several = nameless.where(words).unionAll(docs.join(shared.select(F.col("id").alias("_kept")), docs[id_col] == F.col("_kept"), "left_semi"))
+    several = several.mapInArrow(_with_set(n, docs.columns.index(text_col)), StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    # Copies meet in an aggregate, not in a window, so that each task reduces its own first.
+    empty = F.col("_set") == set_id(np.zeros(0, np.uint64))
+    alike = several.groupBy(F.col(id_col).alias("_id"), "_set", F.when(empty, F.struct(text_col)).alias("_text"))
+    alike = cut(alike.agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("_row")), "jaccard-alike")
+    of_class = alike.where(~empty).join(chosen, (F.col("_set") == F.col("_name")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
+    return out.unionAll(of_class.select("_row.*")).unionAll(alike.where(empty).select("_row.*")).unionAll(nameless.where(~words))
+
+
+def _with_set(n: int, at: int):
+    """Rows whose column number at is a text, to the same rows with the name of the text's set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                part = batch.slice(start, STEP)
+                names = pa.array([set_id(shingles(text, n)) for text in part.column(at).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, names], names=[*part.schema.names, "_set"])
+
+    return run

@@ -214,6 +214,26 @@ def test_classes_without_a_broadcast_and_with_repeated_rows(spark, docs, rows, m
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in brute.classes(rows).values()})
 
 
+def test_one_of_each_with_shared_and_null_ids(spark):
+    """Rows of different sets never replace each other, and a near copy goes although its id stays with another text."""
+    text = lambda name, k=40, last="": " ".join(f"{name}{i}" for i in range(k)) + last
+    data = [
+        (1, text("a")), (4, text("a", last=" end")), (4, text("b")), (4, text("c")), (5, text("b", last=" end")), (6, text("d")), (6, text("d").upper()), (6, text("d")),
+        (None, text("e")), (None, text("f")), (None, text("g")), (None, text("g", last=" end")), (None, text("g")), (7, text("f", last=" end")),
+        (8, ""), (8, " "), (8, ""), (9, None), (None, None), (None, ""), (None, ""), (10, text("h")),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "doc_id long, text string, n long")
+    out = jaccard_join.one_of_each(docs)
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    g = [t for d, t in kept if d is None and t and t.startswith("g")]
+    assert len(g) == 1 and g[0] in (text("g"), text("g", last=" end"))
+    assert Counter(x for x in kept if x[1] not in g) == Counter([
+        (1, text("a")), (4, text("b")), (4, text("c")), (6, text("d").upper()), (None, text("e")), (7, text("f", last=" end")),
+        (8, ""), (8, " "), (9, None), (None, None), (None, ""), (None, ""), (10, text("h")),
+    ])
+
+
 def test_bounds_with_a_pivot_outside_the_crowd(spark):
     """A and B are similar; their pivot P, the hub of their hub H, lies under no key of theirs and holds elements that only A has too."""
     common, own_a, own_b, gone = (np.arange(k, k + n, dtype=np.uint64) for k, n in ((1, 93), (1001, 7), (2001, 6), (3001, 10)))
