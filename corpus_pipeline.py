@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of 4-word shingles with a similarity of 85 % or more."""
-    return jaccard_join.one_of_each(docs, n=4, percent=85)
+    """Keep one document of each class of 5-word shingles with a similarity of 80 % or more."""
+    return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,14 @@ def test_stages(spark):
     assert set(mixed) <= set(sizes) and all(1 <= c <= 3 for c in mixed.values())
     taken = {s: sum(sizes[d][1] * c for d, c in mixed.items() if sizes[d][0] == s) for s in total}
     assert sum(abs(taken[s] - target[s][1]) for s in total) < 0.06 * sum(total.values())
+
+
+def test_near_duplicates_of_five_words_and_80_percent(spark):
+    """Copies with an appended passage of a fifth of their length go; with one of a third of it, they stay."""
+    words = lambda name, k: [f"{name}{i}" for i in range(k)]
+    texts = [words("a", 104), words("a", 104) + words("x", 22), words("b", 104), words("b", 104) + words("y", 35), words("c", 104)[:84], words("c", 104)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    want = {c for _, c in brute.classes(rows, 5, 80).values()}
+    assert want == {0, 2, 3, 4} and want != {c for _, c in brute.classes(rows).values()}
+    assert {r.doc_id for r in kept.collect()} == want
