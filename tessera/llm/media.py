@@ -10,14 +10,23 @@ Nulls: a null content has no type and no parts. Repeated rows give repeated resu
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import map_rows, read_documents
 
 BLOCK = 64
+#: Start and end of a PDF file, and what the offset in its end leads to: a table or a stream's object.
+PDF_HEADER = re.compile(rb"%PDF-[12]\.")
+PDF_END = re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
+PDF_TABLE = re.compile(rb"\s*(?:xref\s|\d{1,10}\s+\d{1,5}\s+obj)")
+#: Boxes of ISO media files that may have no size of their own and reach to the end.
+LAST_BOXES = frozenset((b"mdat", b"moov", b"meta", b"moof", b"mfra", b"free", b"skip", b"uuid"))
 
 
 def wav(b: bytes, at: int) -> tuple[int, int, int] | None:
@@ -100,22 +109,50 @@ def bmp(b: bytes, at: int) -> tuple[int, int, int] | None:
     return (at + size, at + offset, at + size) if ok else None
 
 
+@lru_cache(maxsize=1)
+def pdf_ends(b: bytes) -> dict[int, int]:
+    """Start of each PDF file to the end of its last end mark: updates, and the first part of a linearised file, have one too.
+
+    A mark is that of the nearest header before it from which its startxref leads to a cross-reference; if there
+    is none, that of the nearest header. So files that follow each other and files stored in others are told apart.
+    """
+    heads, ends = [m.start() for m in PDF_HEADER.finditer(b)], {}
+    for m in PDF_END.finditer(b):
+        before, offset = heads[: bisect_left(heads, m.start())], int(m[1])
+        if before:
+            own = next((h for h in reversed(before) if offset and h + offset < m.start() and PDF_TABLE.match(b, h + offset)), before[-1])
+            if own + offset < m.start():
+                ends[own] = m.end()
+    return ends
+
+
 def pdf(b: bytes, at: int) -> tuple[int, int, int] | None:
-    if b[at + 5 : at + 6] not in (b"1", b"2") or b[at + 6 : at + 7] != b"." or b.find(b"startxref", at) < 0:
+    if not PDF_HEADER.match(b, at):
         return None
-    end = b.find(b"%%EOF", b.find(b"startxref", at))
+    if at in pdf_ends(b):
+        return pdf_ends(b)[at], at, pdf_ends(b)[at]
+    start = b.find(b"startxref", at)
+    end = b.find(b"%%EOF", start) if start >= 0 else -1
     return (end + 5, at, end + 5) if end >= 0 else None
 
 
+@lru_cache(maxsize=1)
+def archive_ends(b: bytes) -> dict[int, tuple[int, int]]:
+    """Start of each ZIP file, as its end record gives it, to (end, start of the directory). A stored ZIP file has an end record too."""
+    ends, end = {}, b.find(b"PK\x05\x06")
+    while 0 <= end <= len(b) - 22:
+        size, offset, note = struct.unpack_from("<IIH", b, end + 12)
+        start = end - size - offset
+        if start >= 0 and end + 22 + note <= len(b) and (not size or b[start + offset : start + offset + 4] == b"PK\x01\x02"):
+            ends.setdefault(start, (end + 22 + note, start + offset))
+        end = b.find(b"PK\x05\x06", end + 4)
+    return ends
+
+
 def archive(b: bytes, at: int) -> tuple[int, int, int] | None:
     """A ZIP file: local entries, then a directory whose end record gives matching offsets."""
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", b, end + 12)
-    if at + offset + size != end or end + 22 + note > len(b) or size and b[at + offset : at + offset + 4] != b"PK\x01\x02":
-        return None
-    return end + 22 + note, at, at + offset
+    found = archive_ends(b).get(at)
+    return (found[0], at, found[1]) if found else None
 
 
 def ogg(b: bytes, at: int) -> tuple[int, int, int] | None:
@@ -136,7 +173,12 @@ def boxes(b: bytes, at: int) -> tuple[int, int, int] | None:
     p, seen = at, set()
     while p + 8 <= len(b):
         n, name = struct.unpack_from(">I4s", b, p)
-        if n < 8 or p + n > len(b) or not name.isalnum():
+        least = 8
+        if n == 1 and p + 16 <= len(b):  # a size of 64 bits
+            n, least = struct.unpack_from(">Q", b, p + 8)[0], 16
+        elif n == 0 and name in LAST_BOXES:  # up to the end
+            n = len(b) - p
+        if n < least or p + n > len(b) or not name.isalnum():
             break
         seen.add(name)
         p += n

@@ -124,6 +124,57 @@ def test_media_carving_and_broken_files(spark):
     assert out[6].media_type == "audio/wav" and [e.media_type for e in out[6].embedded] == ["image/png"]
 
 
+def carved(content):
+    """(offset, type, length) of the files found in the content."""
+    return [(x[0], x[1], x[2] - x[0]) for x in media.sniff(content, media.automaton())]
+
+
+def test_pdf_files_with_several_end_marks():
+    def section(start, body, linear=False):
+        return body + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % (0 if linear else start + len(body))
+
+    one = section(0, b"%PDF-1.4\n1 0 obj <<>> endobj\n")
+    saved = one + section(len(one), b"2 0 obj <<>> endobj\n")
+    linear = section(0, b"%PDF-1.5\n1 0 obj <</Linearized 1>> endobj\n", True)
+    linear += b"2 0 obj <<>> endobj\nxref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % linear.index(b"xref")
+    holder = section(0, b"%PDF-1.7\n1 0 obj stream\n" + one + b"endstream endobj\n")
+    for whole in (one, saved, linear, holder):
+        assert carved(whole)[0] == (0, "application/pdf", len(whole) - 1)
+        assert carved(b"junk" + whole + b"junk") == [(4, "application/pdf", len(whole) - 1)]
+        assert carved(b"junk" + whole + one) == [(4, "application/pdf", len(whole) - 1), (4 + len(whole), "application/pdf", len(one) - 1)]
+    assert carved(holder)[1:] == [(holder.index(one), "application/pdf", len(one) - 1)]
+    assert carved(b"x" + b"%PDF-1.4 startxref ? %%EOF") == [(1, "application/pdf", 26)]
+
+
+def test_archives_that_store_archives():
+    import io
+    import zipfile
+
+    def packed(name, data):
+        with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    inner = packed("a.txt", b"text")
+    outer = packed("b.jar", inner)
+    assert carved(outer) == [(0, "application/zip", len(outer)), (outer.index(inner), "application/zip", len(inner))]
+    assert carved(b"junk" + outer + inner) == [(4, "application/zip", len(outer)), (4 + len(outer), "application/zip", len(inner))]
+    assert carved(outer[:-1])[0][1:] == ("application/zip", len(inner))
+
+
+def test_media_boxes_of_64_bits_and_without_a_size():
+    import struct
+
+    box = lambda name, data: struct.pack(">I4s", 8 + len(data), name) + data
+    large = lambda name, data: struct.pack(">I4sQ", 1, name, 16 + len(data)) + data
+    head, moov, data = box(b"ftyp", b"isom\0\0\0\0"), box(b"moov", b"m" * 20), b"d" * 100
+    open_end = struct.pack(">I4s", 0, b"mdat") + data
+    for whole in (head + moov + large(b"mdat", data), head + large(b"mdat", data) + moov, head + moov + open_end):
+        assert carved(whole) == [(0, "video/mp4", len(whole))] and carved(b"junk" + whole) == [(4, "video/mp4", len(whole))]
+    assert carved(head + moov + b"\0\0\0\0text" + data) == [(0, "video/mp4", len(head + moov))]
+    assert carved(head + open_end) == []
+
+
 def test_contamination(spark, docs, rows, awkward):
     for folder in (SF, awkward):
         table = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").collect()
