@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that cut() has written and drop() hasn't deleted, in order.
+_tables: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the session options that results depend on (UTC, map merging) and adaptive execution."""
@@ -17,18 +21,50 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master, which is
+    one process, gets a folder of its own; on a cluster no folder is known to be shared, so it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: later stages start from the files."""
+    """Write df as a Parquet table in the shared folder and read it back: later stages start from the files.
+
+    The table stays until drop() or release() deletes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _tables.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() returned; nothing may read them any more. Tables that are gone are passed over."""
+    for df in tables:
+        _delete(df.sparkSession, [p for p in [df.cut_path] if p in _tables])
+
+
+def release(docs: DataFrame) -> None:
+    """Delete all tables that cut() has written, save those that docs reads.
+
+    For the start of a job whose input has been written: frames that were made before, but not yet read, are lost.
+    """
+    read = docs.inputFiles()
+    _delete(docs.sparkSession, [p for p in list(_tables) if not any(p.rpartition("/")[2] in f for f in read)])

@@ -1,4 +1,6 @@
-"""A small local session for all tests."""
+"""A small local session for all tests, with a shared folder of its own."""
+
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -12,6 +14,7 @@ def spark():
         SparkSession.builder.master("local[4]")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tessera-test-')}")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
