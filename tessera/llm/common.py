@@ -48,3 +48,15 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 def read_documents(spark, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Bytes up to which small() sends a table to all tasks.
+SENT_BYTES = 16 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df with the hint to broadcast it if its rows, counted now, take SENT_BYTES at most; else df, to be joined by a shuffle.
+
+    df must be cheap to read, such as a table that was written.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df

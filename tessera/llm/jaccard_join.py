@@ -6,19 +6,25 @@ segments, 1 + spare segments of theirs are equal. The segments of every set are
 Sets look in their own band and in lower ones that may hold partners.
 
 Of the sets under one index key, the one with the most keys is the hub: each other set is compared with it,
-exactly. Where all are linked with the hub's class, nothing is left to compare. Where some are not, sets that have
-so many elements of their own, which no other such set has, that no size of partner suits them are done with. If
-few remain apart, they are compared with the others, save where the distances to the hub or the numbers of own
-elements rule it out. If many remain, the key is too costly and is skipped; a set of which more than the spare segments are skipped (or empty) is allocated anew: half
-as many and twice as large segments, each indexed with its content and with its one-deletion neighbourhood, so
-that segments that differ in one element meet too. That is repeated with other segments while it at least halves
-the sets that lie under costly keys; for what is left, all pairs under their keys are compared.
+exactly. Where all are linked with the hub's class, nothing is left to compare. Where few are apart from it, they
+are compared with the hub's other sets, save where the distances to the hub rule it out. A hub with many sets apart
+is costly: its keys are skipped, and a set of which more than the spare segments are skipped (or empty) is allocated
+anew, together with the others of that kind, the crowd.
+
+In a crowd, elements that no other set of it has are a set's own. Sets with u and v own elements differ in u + v
+elements at least, so the rest of them may differ in H - u - v only. The rests are indexed by classes of own
+elements, with as few segments as that smaller bound needs: the more a set is edited, the larger its segments
+become, until nobody shares them. Every other level also halves the number of segments and indexes one-deletion
+neighbourhoods, so that segments that differ in one element meet too. Levels follow each other, with other
+segments and smaller crowds, while they at least halve the sets that wait; if one doesn't, what is left under its
+costly hubs is compared within the bounds.
 
 Documents with equal sets are one set. Rows are never paired with rows, and no group is gathered in one place:
-the groups of a key are streamed from sorted partitions.
+the groups of a key are streamed from sorted partitions, to which each task sends a set once.
 
 Nulls and texts without words have the empty set and no links; a null id takes part but names nothing. Repeated
-rows are members of one set. Rows that share an id but not the text are kept apart by their sets.
+rows are members of one set. Rows that share an id but not the text are kept apart by their sets. Sets are named by
+128 bits; the index tells them by half of these, and a name that two sets share there only adds comparisons.
 """
 
 from __future__ import annotations
@@ -29,21 +35,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tessera.llm.common import STEP, lower_words, read_documents
+from tessera.llm.common import STEP, lower_words, read_documents, small
 from tessera.llm.components import components
-from tessera.session import cut
+from tessera.session import cut, drop
 
-#: Sets apart from the hub's class that make a key costly; rows of a list of documents that is broadcast.
-COSTLY, LISTED = 64, 1_000_000
+#: Sets apart from a hub's class that make the hub costly; sets that a task remembers to have sent.
+COSTLY, SENT = 16, 200_000
+#: Classes of own elements in a band.
+CLASSES = 8
 #: A character of a word, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]"
 #: Added to a set's excess, to keep it positive in a packed number.
 BIAS = 1 << 19
+#: A set of which more than one in so many rows is a copy is hot; there are at most so many hot sets.
+HOT = 10_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on each other (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -64,9 +73,14 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def set_id(grams: np.ndarray) -> int:
-    """63-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) >> 1
+def set_name(grams: np.ndarray) -> bytes:
+    """128-bit name of a set."""
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def handle(name: bytes) -> int:
+    """Half of a set's name, as a number above zero, by which the index tells sets."""
+    return int.from_bytes(name[:8], "little") >> 1
 
 
 class Bands:
@@ -95,42 +109,59 @@ class Bands:
         return out
 
 
-def keys_of(grams: np.ndarray, bands: Bands, level: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys of a set, the segment of each, and its excess: segments without a key of use beyond the spare ones, in the worst band.
+def _plans(n: int, own: int, bands: Bands, level: int) -> list[tuple[int, int, int]]:
+    """(tag, elements in which the rests may differ, least segments needed) for each group of partners of a set.
 
-    Level 0: the contents of many segments. Later levels: contents and one-deletion neighbourhoods of fewer segments.
-    A partner shares 1 - excess segments with the set, or more.
+    Level 0 has a group for each band. Later levels have one for each band and class of the partner's own elements.
+    """
+    out = []
+    for band, most in bands.of(n):
+        width = max(1, -(-(most + 1) // CLASSES)) if level else most + 1
+        mine = own // width
+        for other in range(most // width - mine + 1):
+            rest = most - (mine + other) * width
+            low, high = sorted((mine, other))
+            out.append(((level * 64 + band) * 4096 + low * 64 + high, rest, rest // 2 + 1 if level and level % 2 == 0 else rest + 1))
+    return out
+
+
+def keys_of(grams: np.ndarray, bands: Bands, level: int, n: int | None = None, own: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of a set, the segment of each, and its excess: segments without a key of use beyond the spare ones, in the worst group.
+
+    grams are a set's elements but its own; n is the size of the whole set. Level 0 and odd levels index the contents
+    of many segments, even levels contents and one-deletion neighbourhoods of fewer segments.
+    A partner shares 1 - excess segments with the set, or more, in one group.
     """
     keys, places, excess = [], [], []
-    for band, most in bands.of(len(grams)):
-        least = most + 1 if level == 0 else most // 2 + 1
+    deletions = level > 0 and level % 2 == 0
+    for group, (tag, _, least) in enumerate(_plans(len(grams) if n is None else n, own, bands, level)):
         m = least + bands.spare(least)
-        salt = np.uint64((level * 1009 + band * 64 + 7) * 0x632BE59BD9B4E019 % 2**64)
+        salt = np.uint64((tag + 7) * 0x632BE59BD9B4E019 % 2**64)
         mixed = mix(grams ^ salt)
         segment = ((mixed >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
         segment, content = segment[order], mix(mixed[order] + _M1)
-        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-        total, there = np.add.reduceat(content, starts), segment[starts]
-        tag = salt + there.astype(np.uint64) * _M1
-        keys.append(mix(total ^ mix(tag)))
-        places.append(there + (band << 20))
-        if level == 0:
+        starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(segment) else np.zeros(0, np.int64)
+        total, there = (np.add.reduceat(content, starts), segment[starts]) if len(segment) else (content, segment)
+        mark = salt + there.astype(np.uint64) * _M1
+        keys.append(mix(total ^ mix(mark)))
+        places.append(there + (group << 20))
+        if not deletions:
             excess.append(least - len(there))
         else:
             sizes = np.diff(np.r_[starts, len(segment)])
             excess.append(least - int((sizes > 1).sum()))
             each = np.repeat(np.arange(len(starts)), sizes)
             large = sizes[each] > 1
-            keys.append(mix((total[each] - content) ^ mix(tag[each]))[large])
-            places.append((there[each] + (band << 20))[large])
+            keys.append(mix((total[each] - content) ^ mix(mark[each]))[large])
+            places.append((there[each] + (group << 20))[large])
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), -BIAS
     return np.concatenate(keys).astype(np.int64), np.concatenate(places), max(excess)
 
 
 def _packed(n: int, excess: int) -> int:
-    """A document's size and excess as a negative number."""
+    """A set's size (or own elements) and excess as a negative number."""
     return -1 - (n << 20 | min(max(excess + BIAS, 0), 2 * BIAS - 1))
 
 
@@ -140,46 +171,55 @@ def _unpacked() -> tuple[Column, Column]:
 
 
 def _index_texts(n: int, percent: int, id_type: pa.DataType):
-    """(id, text) to rows key, set, info, id: one for the document (info < 0) and one for each key (info: the segment)."""
+    """(id, text) to rows key, set, info, id, name: one for the document (info < 0), and for a set that is new to the task one for each key (info: the segment)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, sent = Bands(percent), set()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                keys, sets, infos, lone, take = [], [], [], [], []
+                keys, sets, infos, names, take = [], [], [], [], []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     grams = shingles(text, n)
-                    name = set_id(grams)
-                    k, places, excess = keys_of(grams, bands, 0)
-                    lone.append((name ^ (i * 0x5851F42D4C957F2D)) % 2**63)
-                    keys += [lone[-1:], k]
-                    sets.append(np.full(len(k) + 1, name))
+                    name = set_name(grams)
+                    if name in sent:
+                        k = places = np.zeros(0, np.int64)
+                        excess = -BIAS  # the set's first row in this task has its excess
+                    else:
+                        k, places, excess = keys_of(grams, bands, 0)
+                        sent.add(name)
+                    told = handle(name)
+                    keys += [np.array([(told ^ (at + i) * 0x5851F42D4C957F2D) % 2**63], np.int64), k]
+                    sets.append(np.full(len(k) + 1, told))
                     infos += [[_packed(len(grams), excess)], places]
+                    names.append(name)
                     take += [np.array([i]), np.full(len(k), -1)]
+                if len(sent) > SENT:
+                    sent.clear()
                 take = np.concatenate(take)
-                ids = part.column(0).take(pa.array(take, mask=take < 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(sets).astype(np.int64)), pa.array(np.concatenate(infos).astype(np.int64)), ids.cast(id_type)], names=["key", "set", "info", "id"])
+                take = pa.array(take, mask=take < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(sets).astype(np.int64)), pa.array(np.concatenate(infos).astype(np.int64)), part.column(0).take(take).cast(id_type), pa.array(names, pa.binary()).take(take)], names=["key", "set", "info", "id", "name"])
 
     return run
 
 
 def _index_sets(percent: int, level: int):
-    """(set, grams) to rows key, set, info as above."""
+    """(set, n, grams, mine: its own elements) to rows key, set (handle), info, name as above; size stands for the number of own elements."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                grams = np.frombuffer(data, np.uint64)
-                k, places, excess = keys_of(grams, bands, level)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, name]), pa.array(np.full(len(k) + 1, name)), pa.array(np.r_[places, _packed(len(grams), excess)].astype(np.int64))], names=["key", "set", "info"])
+            for name, n, data, mine in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = np.array(mine or [], np.int64).astype(np.uint64)
+                k, places, excess = keys_of(np.setdiff1d(np.frombuffer(data, np.uint64), own, assume_unique=True), bands, level, n, len(own))
+                told = handle(name)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, told]), pa.array(np.full(len(k) + 1, told)), pa.array(np.r_[places, _packed(len(own), excess)].astype(np.int64)), pa.array([None] * len(k) + [name], pa.binary())], names=["key", "set", "info", "name"])
 
     return run
 
 
-def _stars(with_id: bool):
-    """From rows sorted by key and set: each document's row, and (key, info, hub, set) for each set under a key but its hub."""
+def _stars(extra: list[str]):
+    """From rows sorted by key and set: each row of a document or set, and (key, info, hub, set) for each set under a key but its hub."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = hub = last_set = None
@@ -202,7 +242,7 @@ def _stars(with_id: bool):
                 continue
             hub_column = pa.array(np.r_[np.zeros(len(docs), np.int64), hubs], mask=np.r_[np.ones(len(docs), bool), np.zeros(len(mine), bool)])
             columns = [pa.array(key[take]), pa.array(info[take]), hub_column, pa.array(name[take])]
-            yield pa.RecordBatch.from_arrays(columns + ([batch.column(3).take(pa.array(take))] if with_id else []), names=["key", "info", "hub", "set"] + ["id"] * with_id)
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(3 + i).take(pa.array(take)) for i in range(len(extra))], names=["key", "info", "hub", "set", *extra])
 
     return run
 
@@ -224,7 +264,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     x = pairs.join(sets.select(F.col("set").alias("a"), F.col("grams").alias("grams_a"), F.col("n").alias("na")), "a")
     x = x.join(sets.select(F.col("set").alias("b"), F.col("grams").alias("grams_b"), F.col("n").alias("nb")), "b")
     x = x.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    x = x.select("a", "b", "grams_a", "grams_b").mapInArrow(_distance, "a long, b long, n_a long, n_b long, common long")
+    x = x.select("a", "b", "grams_a", "grams_b").mapInArrow(_distance, "a binary, b binary, n_a long, n_b long, common long")
     union = F.col("n_a") + F.col("n_b") - F.col("common")
     return cut(x.select("a", "b", (F.col("n_b") - F.col("common")).alias("new"), (F.col("n_a") - F.col("common")).alias("gone"), (F.col("common") * 100 >= union * percent).alias("linked")), name)
 
@@ -232,59 +272,90 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Columns id, set (its name), n_shingles, component (the least id that links reach) for each row of docs."""
     members, named = _classes(docs, id_col, text_col, n, percent)
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = named.join(least, "root").select(F.col("set").alias("name"), "component")
-    out = members.join(named, members["set"] == named["name"], "left")
-    return out.select(F.col("id").alias(id_col), "set", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    # A set of one row without links names itself. Of the others, the hot ones are few and sent to all tasks, so that no key of the join is hot.
+    least = named.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("sets"))
+    named = named.join(least, "root").where("sets > 1 or rows > 1")
+    named = cut(named.select(F.col("set").alias("told"), "component", "rows"), "jaccard-component")
+    hot, out = F.col("rows") * HOT > members.count(), members
+    for part in (F.broadcast(named.where(hot)), named.where(~hot)):
+        part = part.select("told", F.struct("component").alias("found"))
+        out = out.join(part, out["set"] == part["told"], "left")
+        out = out.withColumn("known", F.coalesce("known", "found") if "known" in out.columns else F.col("found")).drop("told", "found")
+    component = F.when(F.col("known").isNull(), F.col("id")).otherwise(F.col("known.component"))
+    return out.select(F.col("id").alias(id_col), "set", F.col("n").alias("n_shingles"), component.alias("component"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Columns id, set, n (its size) for each row of docs; columns set, first (its least id), root (of its class) for each set that isn't empty."""
+    """Columns id, set, n (its size) for each row of docs; columns set, first (its least id), rows, root (of its class) for each set that isn't empty."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type, kind = docs.schema[id_col].dataType, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    index = rows.mapInArrow(_index_texts(n, percent, to_arrow_type(id_type)), f"key long, set long, info long, id {kind}")
+    index = rows.mapInArrow(_index_texts(n, percent, to_arrow_type(id_type)), f"key long, set long, info long, id {kind}, name binary")
     index = index.repartition("key").sortWithinPartitions("key", "set")
-    index = cut(index.mapInArrow(_stars(True), f"key long, info long, hub long, set long, id {kind}"), "jaccard-index")
+    index = cut(index.mapInArrow(_stars(["id", "name"]), f"key long, info long, hub long, set long, id {kind}, name binary"), "jaccard-index")
     size, excess = _unpacked()
-    members = index.where("info < 0").select("id", "set", size.alias("n"), excess.alias("excess"))
-    names = cut(members.where("n > 0").groupBy("set").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("excess").alias("excess")), "jaccard-names")
-    keys = _keys(index, "jaccard-keys-0")
+    members = cut(index.where("info < 0").select("id", F.col("name").alias("set"), F.col("set").alias("handle"), size.alias("n"), excess.alias("excess")), "jaccard-members")
+    names = members.where("n > 0").groupBy("set", "handle").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"), F.max("excess").alias("excess"))
+    names = cut(names, "jaccard-names")
 
     # The sets that may have a partner, from one row of each.
-    shared = keys.groupBy("set").agg(F.count_distinct("place").alias("shared"))
-    needed = names.join(shared, "set", "left").where((F.coalesce("shared", F.lit(0)) >= 1 - F.col("excess")) | (F.col("excess") > 0))
-    needed = cut(needed.select("set", "first", "excess"), "jaccard-needed")
-    carriers = needed.select("set", "first")
-    # A list of bounded size is sent to the scan of the texts; a longer one is joined by a shuffle.
-    carriers = F.broadcast(carriers) if needed.count() <= LISTED else carriers
-    found = rows.join(carriers, rows["id"] == carriers["first"]).select("set", "text")
+    stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", "set")
+    keys = stars.select("key", "place", "set").unionByName(stars.select("key", "place", F.col("hub").alias("set")).distinct())
+    keys = cut(keys.withColumnRenamed("set", "handle"), "jaccard-places")
+    drop(index)
+    shared = keys.groupBy("handle").agg(F.count_distinct("place").alias("shared"))
+    needed = names.join(shared, "handle", "left").where((F.coalesce("shared", F.lit(0)) >= 1 - F.col("excess")) | (F.col("excess") > 0))
+    needed = cut(needed.select("set", "handle", "first", "excess"), "jaccard-needed")
+    carriers = needed.select(F.col("set").alias("told"), "first")
+    # A list of a checked size is sent to the scan of the texts; a longer one is joined by a shuffle, which a run-time Bloom filter narrows.
+    mine = carriers.where("first is not null")
+    found = rows.join(small(mine, 40), rows["id"] == mine["first"]).select(F.col("told").alias("set"), "text")
     if not needed.where("first is null").isEmpty():
         # Rows without an id are told by their sets, or each would meet every set that has no id.
-        nameless = rows.where("id is null").mapInArrow(_with_set(n, 1), f"id {kind}, text string, _set long")
-        nameless = nameless.join(carriers.where("first is null").select("set"), F.col("_set") == F.col("set"))
-        found = found.unionAll(nameless.groupBy("set").agg(F.min("text").alias("text")))
-    sets = cut(found.mapInArrow(_sets(n), "set long, n long, grams binary"), "jaccard-sets")
+        nameless = rows.where("id is null").mapInArrow(_with_set(n, 1), f"id {kind}, text string, _set binary")
+        nameless = nameless.join(carriers.where("first is null"), F.col("_set") == F.col("told"))
+        found = found.unionAll(nameless.groupBy("told").agg(F.min("text").alias("text")))
+    sets = cut(found.mapInArrow(_sets(n), "set binary, n long, grams binary"), "jaccard-sets")
     if sets.count() > needed.count():  # rows that share an id and a text
-        sets = cut(sets.dropDuplicates(["set"]), "jaccard-sets")
+        repeated, sets = sets, cut(sets.dropDuplicates(["set"]), "jaccard-sets")
+        drop(repeated)
 
-    keys, over, links, level, before = keys.join(needed.select("set"), "set", "left_semi"), needed.select("set", "excess"), None, 0, None
+    named = cut(keys.join(needed.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
+    drop(keys)
+    over = needed.select("set", "excess", F.lit(0).cast("long").alias("own"))
+    keys, links, level, before = named, None, 0, None
     while True:
-        new, pending, waiting = _settle(keys, over, sets, percent, links, before)
-        links = new if links is None else links.unionByName(new)
+        new, over, waiting = _settle(keys, over, sets, percent, links, before)
+        links = new if links is None else cut(links.unionByName(new), "jaccard-links")
+        drop(keys)
         if not waiting:
             break
         level, before = level + 1, waiting
-        index = sets.join(pending, "set", "left_semi").select("set", "grams").mapInArrow(_index_sets(percent, level), "key long, set long, info long")
-        index = cut(index.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_stars(False), "key long, info long, hub long, set long"), "jaccard-index")
-        keys, over = _keys(index, "jaccard-keys-n"), index.where("info < 0").select("set", excess.alias("excess"))
+        keys, over = _allocate(sets, over, percent, level)
 
+    drop(sets)
     roots = components(links)
-    named = names.join(roots, names["set"] == roots["node"], "left").select("set", "first", F.coalesce("root", "set").alias("root"))
+    named = names.join(roots, names["set"] == roots["node"], "left").select("set", "first", "rows", F.coalesce("root", "set").alias("root"))
     return members.select("id", "set", "n"), named
 
 
+def _allocate(sets: DataFrame, crowd: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Index the sets of a crowd anew, without their own elements: (key, place, set of sets under keys that others have too; set, excess, own)."""
+    mine = cut(sets.join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
+    once = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("set").alias("set")).where("sets = 1")
+    own = once.groupBy("set").agg(F.collect_list("element").alias("mine"))
+    index = mine.join(own, "set", "left").select("set", "n", "grams", "mine").mapInArrow(_index_sets(percent, level), "key long, set long, info long, name binary")
+    index = cut(index.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_stars(["name"]), "key long, info long, hub long, set long, name binary"), "jaccard-index")
+    count, excess = _unpacked()
+    over = cut(index.where("info < 0").select(F.col("name").alias("set"), excess.alias("excess"), count.alias("own"), F.col("set").alias("handle")), "jaccard-over")
+    stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", F.col("set").alias("handle"))
+    keys = stars.select("key", "place", "handle").unionByName(stars.select("key", "place", F.col("hub").alias("handle")).distinct())
+    keys = cut(keys.join(over.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
+    drop(index, mine)
+    return keys, over.drop("handle")
+
+
 def _sets(n: int):
     """(set, text) to set, n, grams, for texts that make that set."""
 
@@ -292,80 +363,60 @@ def _sets(n: int):
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                out = [(name, grams) for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if set_id(grams := shingles(text, n)) == name]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary())], names=["set", "n", "grams"])
+                out = [(name, grams) for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if set_name(grams := shingles(text, n)) == name]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary())], names=["set", "n", "grams"])
 
     return run
 
 
-def _keys(index: DataFrame, name: str) -> DataFrame:
-    """Columns key, place, set: each set under a key that others have too."""
-    stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", "set")
-    return cut(stars.select("key", "place", "set").unionByName(stars.select("key", "place", F.col("hub").alias("set")).distinct()), name)
-
-
 def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, before: int | None) -> tuple[DataFrame, DataFrame, int]:
     """Links that the keys of one level show, the sets that the next level must look at, and their number.
 
-    before is the number that this level was to look at; unless it is halved, all pairs that are left are compared.
+    over has the excess and number of own elements of each set. before is the number that this level was to look at;
+    unless it is halved, the sets of costly hubs are compared too, and only sets with an excess go on.
     """
     degree = keys.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
     hubs = keys.join(degree, "set").groupBy("key").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
-    stars = keys.join(hubs, "key").where("set <> hub")
-    compared = _compare(stars.select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets, percent, "jaccard-stars")
+    placed = cut(keys.join(hubs, "key").select("place", "hub", "set"), "jaccard-hubs")
+    compared = _compare(placed.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets, percent, "jaccard-stars")
     found = compared.where("linked").select("a", "b")
     roots = components(found if links is None else found.unionByName(links))
-    far = compared.select(F.col("a").alias("hub"), F.col("b").alias("set"), "new", "gone")
     root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    x = stars.join(far, ["hub", "set"], "left").join(root_of("set"), "set", "left").join(root_of("hub"), "hub", "left")
-    x = cut(x.withColumn("root", F.coalesce("set_root", "set")).withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).select("key", "place", "hub", "set", "new", "gone", "root", "apart"), "jaccard-apart")
-    odd = cut(x.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")), "jaccard-odd")
-
-    crowd = x.join(odd.select("key"), "key", "left_semi")
-    named = crowd.select("set").union(crowd.select("hub")).distinct()
-    # Pivots may lie outside the crowd; they are named too, so that an own element is new to its pivot as well.
-    pivots = cut(_pivots(compared, degree, named), "jaccard-pivot")
-    crowd = cut(crowd.join(_open(named.union(pivots.select("a")).distinct(), sets, percent), "set"), "jaccard-crowd")
-    costly = cut(crowd.where("apart").groupBy("key").agg(F.count(F.lit(1)).alias("odd")).where(F.col("odd") > COSTLY).select("key"), "jaccard-costly")
-
-    # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
-    hard = crowd.join(costly, "key", "left_semi").select("set", "place").distinct().groupBy("set").agg(F.count(F.lit(1)).alias("hard"))
-    pending = cut(over.join(hard, "set", "left").where(F.col("excess") + F.coalesce("hard", F.lit(0)) > 0).select("set"), "jaccard-pending")
+    # Sets of very different sizes aren't in compared; they can be similar to others of the hub.
+    stars = placed.where("set <> hub").select("hub", "set").distinct().join(compared.select(F.col("a").alias("hub"), F.col("b").alias("set"), "new", "gone"), ["hub", "set"], "left")
+    stars = stars.join(root_of("set"), "set", "left").join(root_of("hub"), "hub", "left")
+    stars = stars.withColumn("root", F.coalesce("set_root", "set")).withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub"))
+    stars = cut(stars.select("hub", "set", "new", "gone", "root", "apart"), "jaccard-apart")
+    odd = cut(stars.where("apart").groupBy("hub").agg(F.count(F.lit(1)).alias("odd")), "jaccard-odd")
+    costly = odd.where(F.col("odd") > COSTLY).select("hub")
+
+    # Segments under costly hubs, and those without a key, are skipped: who has more than the spare ones of them looks again.
+    hard = placed.join(costly, "hub", "left_semi").select("set", "place").distinct()
+    hard = hard.groupBy("set", F.shiftright("place", 20).alias("group")).agg(F.count(F.lit(1)).alias("hard")).groupBy("set").agg(F.max("hard").alias("hard"))
+    pending = over.join(hard, "set", "left").where(F.col("excess") + F.coalesce("hard", F.lit(0)) > 0).select("set", "excess")
+    pending = cut(pending, "jaccard-pending")
     waiting = pending.count()
-    # The hubs go along, as they tell the others apart well.
-    pending = pending.union(crowd.join(costly, "key", "left_semi").select("hub")).distinct()
+    cheap = odd.where(F.col("odd") <= COSTLY).select("hub")
     if before is not None and 2 * waiting > before:
-        waiting, rest = 0, crowd
-    else:
-        rest = crowd.join(costly, "key", "left_anti")
+        cheap, pending = odd.select("hub"), pending.where("excess > 0")
+        waiting = pending.count()
 
     # One of each pair is apart from the hub's class; the hub itself has been compared with all.
-    profile = _compare(pivots.join(rest.select(F.col("set").alias("b")), "b", "left_semi").select("a", "b"), sets, percent, "jaccard-pivots").select(F.col("b").alias("set"), F.col("a").alias("pivot"), F.col("new").alias("pivot_new"), F.col("gone").alias("pivot_gone"))
-    rest = rest.join(sets.select("set", "n"), "set").join(profile, "set", "left")
-    side = lambda x, end: x.select("key", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n", "pivot", "pivot_new", "pivot_gone")))
+    rest = stars.join(cheap, "hub", "left_semi").join(over.select("set", "own"), "set").join(sets.select("set", "n"), "set")
+    side = lambda x, end: x.select("hub", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n")))
     one, two = side(rest.where("apart"), "a").drop("apart"), side(rest, "b")
-    # Own elements differ. Of the other new ones, and of those gone, the numbers differ; hubs and pivots are counted too, so an own element is new to them.
-    apart = F.col("own_a") + F.col("own_b")
-    counts = lambda new, gone: F.abs(F.col(f"{new}_a") - F.col("own_a") - F.col(f"{new}_b") + F.col("own_b")) + F.abs(F.col(f"{gone}_a") - F.col(f"{gone}_b"))
-    by_hub = counts("new", "gone")
-    by_pivot = F.when(F.col("pivot_a") == F.col("pivot_b"), counts("pivot_new", "pivot_gone"))
+    # Own elements differ. Of the other new ones, and of those gone, the numbers differ; the hub is in the crowd, so an own element is new to it.
+    by_hub = F.abs(F.col("new_a") - F.col("own_a") - F.col("new_b") + F.col("own_b")) + F.abs(F.col("gone_a") - F.col("gone_b"))
     by_size = F.abs(F.col("n_a") - F.col("own_a") - F.col("n_b") + F.col("own_b"))
     most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    near = (apart + F.greatest(by_size, by_hub, by_pivot)) * (100 + percent) <= most
+    near = (F.col("own_a") + F.col("own_b") + F.greatest(by_size, by_hub)) * (100 + percent) <= most
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     once = ~F.col("apart") | (F.col("set_a") < F.col("set_b"))
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
+    pairs = one.join(two, (one["hub"] == two["hub"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
     pairs = pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
-    return found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b")), pending, waiting
-
-
-def _pivots(compared: DataFrame, degree: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs a, b of a pivot and a named set: of the set's hubs and their hubs, the one with the most keys. So most of a family have one pivot in common."""
-    rank = degree.select(F.col("set").alias("hub"), F.struct("degree", F.col("set").alias("hub")).alias("rank"))
-    ranked = compared.select(F.col("a").alias("hub"), F.col("b").alias("set")).join(rank, "hub")
-    above = ranked.groupBy(F.col("set").alias("hub")).agg(F.max("rank").alias("above"))
-    best = ranked.join(above, "hub", "left").join(names, "set", "left_semi").groupBy("set").agg(F.max(F.greatest("rank", "above")).alias("p"))
-    return best.select(F.col("p.hub").alias("a"), F.col("set").alias("b")).where("a <> b")
+    new = cut(found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b")), "jaccard-links")
+    drop(placed, compared, stars)
+    return new, pending, waiting
 
 
 def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,25 +424,7 @@ def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         grams = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
         if grams:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in grams])), pa.array(np.concatenate(grams))], names=["set", "element"])
-
-
-def _open(names: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Columns set, own: those of the named sets that may have a partner among them, by size and own elements (elements that no other named set has).
-
-    Sets with u and v own elements and sizes n and k differ in u + v + |(n - u) - (k - v)| elements at least. For
-    each class of sizes within about a hundredth, the least v is held against all sets whose partners may have such sizes.
-    """
-    mine = cut(sets.join(names, "set", "left_semi"), "jaccard-named")
-    once = mine.select("set", "grams").mapInArrow(_elements, "set long, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("set").alias("set")).where("sets = 1")
-    own = cut(mine.select("set", "n").join(once.groupBy("set").agg(F.count(F.lit(1)).alias("own")), "set", "left").select("set", "n", F.coalesce("own", F.lit(0)).alias("own")), "jaccard-own")
-    size_class = lambda n: F.floor(F.log(n) * 100).cast("long")
-    classes = own.groupBy(size_class(F.col("n")).alias("class")).agg(F.min("own").alias("v"), F.min("n").alias("least"), F.max("n").alias("most"))
-    reach = F.sequence(size_class(F.col("n") * percent / 100), size_class(F.col("n") * 100 / percent))
-    x = own.select("set", "n", "own", F.explode(reach).alias("class")).join(classes, "class")
-    shared = F.col("n") - F.col("own") + F.col("v")
-    differ = F.col("own") + F.col("v") + F.greatest(F.lit(0), F.col("least") - shared, shared - F.col("most"))
-    return x.where(differ * (100 + percent) <= (F.col("n") + F.col("most")) * (100 - percent)).select("set", "own").distinct()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(grams)), [len(x) for x in grams]))), pa.array(np.concatenate(grams))], names=["set", "element"])
 
 
 def op5_jaccard_classes(spark, sf_dir: str) -> DataFrame:
@@ -415,17 +448,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # An id of one row tells the row; other rows are told by their sets, which are made again.
     single = of_id.where("id is not null and rows = 1").join(chosen, (F.col("id") == F.col("_first")) & (F.col("set") == F.col("_name")), "left")
-    kept = single.where("_name is not null or n = 0").select(F.col("id").alias("_kept"))
-    out = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi")
+    gone = single.where("_name is null and n > 0").select(F.col("id").alias("_gone"))
+    gone = cut(gone.unionAll(of_id.where("rows > 1").select("id")).where("_gone is not null"), "jaccard-gone")
+    # Those that go are fewer than those that stay.
+    out = docs.where(F.col(id_col).isNotNull()).join(small(gone, 24), docs[id_col] == F.col("_gone"), "left_anti")
     shared = of_id.where("id is null or rows > 1")
     if shared.isEmpty():
         return out
     # Texts without words that have no id can't be told to be one document.
     nameless, words = docs.where(F.col(id_col).isNull()), F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
     several = nameless.where(words).unionAll(docs.join(shared.select(F.col("id").alias("_kept")), docs[id_col] == F.col("_kept"), "left_semi"))
-    several = several.mapInArrow(_with_set(n, docs.columns.index(text_col)), StructType([*docs.schema.fields, StructField("_set", LongType())]))
+    several = several.mapInArrow(_with_set(n, docs.columns.index(text_col)), StructType([*docs.schema.fields, StructField("_set", BinaryType())]))
     # Copies meet in an aggregate, not in a window, so that each task reduces its own first.
-    empty = F.col("_set") == set_id(np.zeros(0, np.uint64))
+    empty = F.col("_set") == F.lit(set_name(np.zeros(0, np.uint64)))
     alike = several.groupBy(F.col(id_col).alias("_id"), "_set", F.when(empty, F.struct(text_col)).alias("_text"))
     alike = cut(alike.agg(F.min_by(F.struct(*docs.columns), F.struct(text_col)).alias("_row")), "jaccard-alike")
     of_class = alike.where(~empty).join(chosen, (F.col("_set") == F.col("_name")) & F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
@@ -439,7 +474,7 @@ def _with_set(n: int, at: int):
         for batch in batches:
             for start in range(0, batch.num_rows, STEP):
                 part = batch.slice(start, STEP)
-                names = pa.array([set_id(shingles(text, n)) for text in part.column(at).to_pylist()], pa.int64())
+                names = pa.array([set_name(shingles(text, n)) for text in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, names], names=[*part.schema.names, "_set"])
 
     return run

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tessera.llm import components, decontaminate, jaccard_join, language_id, licenses, lm_score, media, mixing, queries, secrets, token_counts, vocab, warc
+from tessera.llm import common, components, decontaminate, jaccard_join, language_id, licenses, lm_score, media, mixing, queries, secrets, token_counts, vocab, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -258,7 +258,7 @@ def test_classes_of_a_hot_family(spark, monkeypatch, costly):
 
 
 def test_classes_without_a_broadcast_and_with_repeated_rows(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LISTED", 0)
+    monkeypatch.setattr(common, "SENT_BYTES", -1)
     got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(docs.union(docs), n=4, percent=85).collect()}
     assert got == brute.classes(rows)
     kept = jaccard_join.one_of_each(docs.union(docs), n=4, percent=85).collect()
@@ -285,36 +285,43 @@ def test_one_of_each_with_shared_and_null_ids(spark):
     ])
 
 
-def test_bounds_with_a_pivot_outside_the_crowd(spark):
-    """A and B are similar; their pivot P, the hub of their hub H, lies under no key of theirs and holds elements that only A has too."""
-    common, own_a, own_b, gone = (np.arange(k, k + n, dtype=np.uint64) for k, n in ((1, 93), (1001, 7), (2001, 6), (3001, 10)))
-    hub = np.r_[common[:85], gone]
-    grams = {1: np.r_[common, own_a], 2: np.r_[common, own_b], 3: hub, 4: np.r_[hub, own_a], 5: np.r_[hub, own_a, np.array([9], np.uint64)]}
-    sets = spark.createDataFrame([(k, len(g), bytearray(np.sort(g).tobytes())) for k, g in grams.items()], "set long, n long, grams binary")
-    under = {10: (1, 2, 3), 11: (3, 4), 12: (4, 5), 13: (4, 5)}
-    keys = spark.createDataFrame([(k, 0, s) for k, members in under.items() for s in members], "key long, place long, set long")
-    over = spark.createDataFrame([(s, -9) for s in grams], "set long, excess long")
-    links, _, waiting = jaccard_join._settle(keys, over, sets, 85, None, None)
-    found = {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()}
-    assert {(3, 4), (4, 5), (1, 2)} <= found and waiting == 0
-
-
-def test_one_deletion_level_finds_all_pairs():
-    """Sets that differ in no more than the bound share 1 - excess segments' keys or more, on each level."""
+def test_every_level_finds_all_pairs():
+    """Similar sets share 1 - excess segments' keys or more in a group, on each level, also without elements of their own."""
     draw = np.random.default_rng(5)
-    bands = jaccard_join.Bands(85)
-    for level in (0, 1, 2):
+    bands, seen = jaccard_join.Bands(85), 0
+    for level in (0, 1, 2, 3):
         for n in (6, 7, 9, 20, 60, 300):
             for _ in range(20):
                 a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
                 b = np.unique(np.r_[a[: len(a) - draw.integers(0, max(1, n // 14) + 1)], draw.integers(0, 2**63, draw.integers(0, max(1, n // 14) + 1)).astype(np.uint64)])
                 common = len(np.intersect1d(a, b))
-                if 100 * common < 85 * (len(a) + len(b) - common):
+                if 100 * common < 85 * (len(a) + len(b) - common) or min(len(a), len(b)) < bands.floor:
                     continue
-                ka, pa_, ea = jaccard_join.keys_of(a, bands, level)
-                kb, _, eb = jaccard_join.keys_of(b, bands, level)
-                shared = len(set(pa_[np.isin(ka, kb)]))
-                assert shared >= 1 - min(ea, eb) or max(ea, eb) > 0 or min(len(a), len(b)) < bands.floor
+                # Of the elements that differ, some are own ones, which are left out.
+                own_a, own_b = np.setdiff1d(a, b)[:: 2 - level % 2], np.setdiff1d(b, a)[::2]
+                if level == 0:
+                    own_a, own_b = own_a[:0], own_b[:0]
+                ka, pa_, ea = jaccard_join.keys_of(np.setdiff1d(a, own_a), bands, level, len(a), len(own_a))
+                kb, _, eb = jaccard_join.keys_of(np.setdiff1d(b, own_b), bands, level, len(b), len(own_b))
+                shared = Counter(p >> 20 for p in set(pa_[np.isin(ka, kb)]))
+                assert max(shared.values(), default=0) >= 1 - min(ea, eb) or min(ea, eb) > 0 or max(ea, eb) > 0
+                seen += 1
+    assert seen > 100
+
+
+def test_classes_at_a_stall(spark, monkeypatch):
+    """A family without elements of one set's own, and levels that never halve what waits."""
+    monkeypatch.setattr(jaccard_join, "COSTLY", 0)
+    draw = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    data = []
+    for i in range(60):
+        words = list(base)
+        for at in draw.sample(range(60), draw.choice([1, 2, 3])):
+            words[at] = f"x{at}"
+        data.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string"), n=4, percent=85).collect()}
+    assert got == brute.classes(data)
 
 
 def test_components(spark):
