@@ -5,6 +5,11 @@
 3. Documents of which one word in twenty or more stands in the benchmark go.
 4. Secrets are replaced by a mark.
 5. The rest is mixed by source: documents get their number of copies.
+
+A stage starts when the rows of the one before have been written; it deletes the tables that were needed for them.
+Each stage takes documents with nulls in any column, repeated rows, shared ids and further columns as its operator
+says: null texts and texts without a letter go with the first stage, null ids are documents of their own, a null
+source is a source of its own. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, mixing, secrets
 from tessera.llm.common import crc_mod
-from tessera.session import cut
+from tessera.session import cut, release
 
 #: No SQL: the language model, the classes and the balanced sample aren't relations that SQL can state.
 ORACLE_SQL = None
@@ -21,22 +26,26 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told. The model learns from the labelled documents that aren't held out."""
+    release(docs)
     model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2).select("text", "lang"))
     return language_id.keep_identified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of 5-word shingles with a similarity of 80 % or more."""
+    release(docs)
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold the benchmark's passages."""
+    release(docs)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in texts; n_chars follows the text."""
+    release(docs)
     clean = secrets.redact(docs)
     n_chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
     return clean.withColumn("n_chars", n_chars)
@@ -44,6 +53,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: the documents taken, and how many copies of each."""
+    release(docs)
     return mixing.mixed(docs)
 
 

@@ -23,16 +23,17 @@ def map_rows(df: DataFrame, per_row: Callable[[], Callable], schema: str) -> Dat
     """mapInArrow with a function of one row's values that returns a tuple of output values.
 
     per_row() is called once in each task and returns the function, so tables it needs are built once.
+    Where the function returns None, the row goes.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        function, out_schema = per_row(), None
+        function = per_row()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                rows = [function(*values) for values in zip(*(c.to_pylist() for c in part.columns))]
-                out_schema = out_schema or target
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out_schema.types)], schema=out_schema)
+                rows = [r for r in (function(*values) for values in zip(*(c.to_pylist() for c in part.columns))) if r is not None]
+                columns = zip(*rows) if rows else [()] * len(target)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, target.types)], schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -54,9 +55,10 @@ def read_documents(spark, sf_dir: str, table: str = "documents") -> DataFrame:
 SENT_BYTES = 16 << 20
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df with the hint to broadcast it if its rows, counted now, take SENT_BYTES at most; else df, to be joined by a shuffle.
+def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """df with the hint to broadcast it if its rows, summed up now, take SENT_BYTES at most; else df, to be joined by a shuffle.
 
-    df must be cheap to read, such as a table that was written.
+    row_bytes is a bound for each row. df must be cheap to read, such as a table that was written.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= SENT_BYTES else df
+    total = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0)).cast("long")).first()[0]
+    return F.broadcast(df) if total <= SENT_BYTES else df

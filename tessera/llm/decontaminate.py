@@ -16,7 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import read_documents
+from tessera.llm.common import read_documents, small
+from tessera.session import cut
 
 WINDOW, GRAM = 13, 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -72,8 +73,8 @@ def with_fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Columns text_key, n_words, n_hit, item_ids (sorted as strings) for each distinct text of docs that has a hit.
 
-    text_key is the text's MD5 (16 bytes). Of the copies of a text, the one with the least id is looked at in full. The join strategy is left to Spark's size statistics: fingerprints
-    of a small benchmark are broadcast, those of a large one are shuffled.
+    text_key is the text's MD5 (16 bytes). Of the copies of a text, one with the least id is looked at in full. The join strategy of the benchmark is left to Spark's
+    size statistics: fingerprints of a small benchmark are broadcast, those of a large one are shuffled.
     """
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     # The lengths below 13 that occur; there are 12 at most.
@@ -91,20 +92,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     seen = with_fingerprints(docs.select("id", "text_key", words_of(F.col("text")).alias("words")), short)
     lists = [F.array_distinct(F.col(c)) for c in ["f_0", *(f"f_{t}" for t in short)]]
     seen = seen.select("id", "text_key", F.explode(F.concat(*lists) if short else lists[0]).alias("print"))
-    matched = seen.join(prints, "print").groupBy("text_key").agg(F.collect_set("print").alias("matched"), F.min("id").alias("carrier"))
+    matched = cut(seen.join(prints, "print").groupBy("text_key").agg(F.min("id").alias("carrier")), "hit-texts")
 
+    # Texts stay where they are read: the list of carriers is sent to them, unless it is large.
     mine = (F.col("d.text_key") == F.col("m.text_key")) & F.col("d.id").eqNullSafe(F.col("m.carrier"))
-    hit = docs.alias("d").join(matched.alias("m"), mine).select("d.text_key", "matched", words_of(F.col("text")).alias("words"))
-    hit = with_fingerprints(hit, short)
+    hit = docs.alias("d").join(small(matched, 48).alias("m"), mine).select("d.text_key", words_of(F.col("text")).alias("words")).dropDuplicates(["text_key"])
+    hit = cut(hit, "hit-words")
 
     def places(t: int) -> Column:
-        """Start and length of the document's windows that a matched fingerprint stands for."""
+        """Fingerprint, start and length of each of the document's windows."""
         n = t or WINDOW
-        found = F.transform(F.col(f"f_{t}"), lambda x, i: F.when(F.array_contains("matched", x) & (i + n <= F.size("words")), F.struct((i + 1).alias("at"), F.lit(n).alias("n"))))
-        return F.filter(found, lambda x: x.isNotNull())
+        found = F.transform(F.slice(f"f_{t}", F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(0))), lambda x, i: F.struct(x.alias("print"), (i + 1).alias("at"), F.lit(n).alias("n")))
+        return found
 
-    spans = reduce(lambda a, b: F.concat(a, b), [places(t) for t in [0, *short]])
-    hit = hit.select("text_key", "words", F.explode(spans).alias("span"))
+    placed = with_fingerprints(hit, short).select("text_key", F.explode(reduce(lambda a, b: F.concat(a, b), [places(t) for t in [0, *short]])).alias("span"))
+    placed = placed.select("text_key", F.col("span.print").alias("print"), F.struct("span.at", "span.n").alias("span")).join(prints, "print", "left_semi")
+    placed = placed.groupBy("text_key").agg(F.collect_list("span").alias("spans"))
+    hit = hit.join(placed, "text_key").select("text_key", "words", F.explode("spans").alias("span"))
     hit = hit.select("text_key", F.size("words").alias("n_words"), "span", F.array_join(F.slice("words", F.col("span.at"), F.col("span.n")), " ").alias("window"))
     hit = hit.join(windows, "window").select("text_key", "n_words", "span", "class")
 
@@ -124,7 +128,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def judge(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs with text_key, n_words, n_hit, item_ids and contaminated; columns of these names in docs are replaced."""
     names = [c for c in docs.columns if c not in ("text_key", "n_words", "n_hit", "item_ids", "contaminated")]
-    found = contamination(docs, items).drop("n_words")
+    found = cut(contamination(docs, items).drop("n_words"), "hits")
+    # What was hit is sent to the rows unless it is large, so copies of one text don't meet in one task.
+    found = small(found, 64 + 32 * F.size("item_ids"))
     rows = docs.select(*names, F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), count_words(F.col("text")).alias("n_words"))
     rows = rows.join(found, "text_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -140,6 +146,7 @@ def op3_winnowing(spark, sf_dir: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, one_in: int = 20) -> DataFrame:
     """The rows of docs, without those of which one word in `one_in` or more stands in the benchmark."""
-    found = contamination(docs, items).where(F.col("n_hit") * one_in >= F.col("n_words")).select("text_key")
+    found = cut(contamination(docs, items).where(F.col("n_hit") * one_in >= F.col("n_words")).select("text_key"), "hits")
+    found = small(found, 48)
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     return docs.join(found, key == found["text_key"], "left_anti")

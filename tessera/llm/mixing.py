@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.common import small
 from tessera.session import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def unit_of(id_col: str, text_col: str, source_col: str) -> Column:
+    """128-bit name of what a row's id, source and text are."""
+    marked = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(marked(id_col), marked(source_col), marked(text_col)).cast("binary")))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """Columns source, units, source_size, target: sources in code point order share all words by the repeating weights.
 
@@ -113,15 +120,15 @@ def _flight(seed: int, level: int, last: bool):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 0) -> DataFrame:
     """Columns id, source, unit, size, source_size, target, copies for each row of docs.
 
-    unit is a hash of the row's id, source and text, for joining copies back to the rows.
+    unit is a hash (16 bytes) of the row's id, source and text, for joining copies back to the rows.
     """
-    unit = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    unit = unit_of(id_col, text_col, source_col)
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), unit.alias("unit"), size_of(F.col(text_col)).alias("size")), "mix-sizes")
     plan = cut(targets(sizes, weights, most), "mix-targets")
     largest = plan.agg(F.max("units")).first()[0] or 0
     rows = sizes.alias("s").join(plan.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    block = F.pmod(F.col("unit"), F.ceil(F.col("units") / BLOCK))
+    block = F.pmod(F.xxhash64("unit"), F.ceil(F.col("units") / BLOCK))
     rows = rows.select("id", "s.source", "unit", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"), block.alias("block"))
     schema = rows.schema
     done, open_, blocks, level = [rows.where("p = 0")], rows.where("p > 0"), -(-largest // BLOCK), 0
@@ -140,11 +147,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents that the mix takes, with their number of copies; rows that are alike in id, source and text become one."""
-    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").groupBy("unit").agg(F.sum("copies").alias("copies"))
-    unit = F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col))
+    """The documents that the mix takes, with their number of copies; rows that are alike in id, source and text become one.
+
+    The list of units taken is sent to the documents if it is small; else it is joined by a shuffle.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options).groupBy("unit").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = cut(taken.where("_copies > 0"), "mix-taken")
     keep = [c for c in docs.columns if c not in ("unit", "copies")]
-    return docs.select(*keep).withColumn("unit", unit).join(taken, "unit").select(*keep, "copies")
+    named = docs.select(*keep, unit_of(id_col, text_col, source_col).alias("unit"))
+    out = named.join(small(taken.where("_rows = 1"), 48), "unit")
+    repeated = taken.where("_rows > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(named.join(small(repeated, 48), "unit").dropDuplicates(["unit"]))
+    return out.select(*keep, F.col("_copies").alias("copies"))
 
 
 def op4_cube_mix(spark, sf_dir: str) -> DataFrame:

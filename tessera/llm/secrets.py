@@ -1,8 +1,9 @@
 """Secret scans by an incremental blob ledger.
 
-Every version of every path is content-addressed by the SHA-256 of its text. A ledger records which
-(blob, rule version) pairs have been scanned and what was found. A run scans one carrier row of each
-pair that the ledger lacks, and joins findings back to all paths that hold the blob.
+Every version of every path is content-addressed by the SHA-256 of its text. Rules come in groups, and a group's
+version is a hash of its rules. A ledger records which (blob, version) pairs have been scanned and what was found.
+A run scans the pairs that the ledger lacks, and joins findings back to all paths that hold the blob. Texts are
+scanned where they are read and never shuffled, unless so many blobs, but not all, are new that their list isn't small.
 
 Nulls: a null text is the empty text; a null path is a path of its own. Repeated rows give repeated
 results. An empty table gives an empty result and ledger.
@@ -12,10 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import map_rows, read_documents, small
 from tessera.session import cut
 
 #: Kinds in their order, pattern, whole-match or group whose length counts, least length.
@@ -29,51 +32,91 @@ RULES = [
 ]
 #: Kinds of the base rules; the others are added by this operator.
 BASE = ("assign", "access", "hex")
-RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
+#: Groups of rules, each of which is scanned and recorded by itself.
+GROUPS = {"base": [r for r in RULES if r[0] in BASE], "added": [r for r in RULES if r[0] not in BASE]}
 #: A text that has none of these (lower-cased) has no match of the rule.
 HINTS = {"assign": ("password", "passwd", "secret", "token", "apikey", "api_key"), "access": ("akia",), "pem": ("-----begin ",), "forge": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "jwt": ("eyj",)}
 FINDINGS = "array<struct<kind:int,start:int,end:int>>"
-_RULES = [(i, re.compile(pattern), group, least, HINTS.get(kind)) for i, (kind, pattern, group, least) in enumerate(RULES)]
+LEDGER = f"blob binary, version string, findings {FINDINGS}"
+_COMPILED = {kind: (i, re.compile(pattern), group, least, HINTS.get(kind)) for i, (kind, pattern, group, least) in enumerate(RULES)}
+#: Blobs that a task remembers to have scanned.
+SEEN = 200_000
 
 
-def find_secrets(text: str) -> list[tuple[int, int, int]]:
+def version(group: str) -> str:
+    """Version of a group of rules: another pattern, another version."""
+    return hashlib.sha256(repr(GROUPS[group]).encode()).hexdigest()[:16]
+
+
+def find_secrets(text: str, groups: Iterable[str] = tuple(GROUPS)) -> list[tuple[int, int, int]]:
     """Spans (kind, start, end) in code points, by start and then kind."""
-    lower = text.lower()
-    found = []
-    for kind, pattern, group, least, hints in _RULES:
+    lower, found = text.lower(), []
+    for rule in (r for g in groups for r in GROUPS[g]):
+        kind, pattern, group, least, hints = _COMPILED[rule[0]]
         if hints is None or any(h in lower for h in hints):
             found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+
+
 def address(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Columns path, text and blob: each version under its content address (32 bytes)."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return versions.select(F.col(path).alias("path"), body.alias("text"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("blob"))
+    return versions.select(F.col(path).alias("path"), _body(text).alias("text"), F.unhex(F.sha2(_body(text).cast("binary"), 256)).alias("blob"))
+
+
+def _scan_blobs(rows: DataFrame, group: str) -> DataFrame:
+    """Columns blob, version, findings: each blob's scan by a group of rules, once in each task that holds it."""
+
+    def per_row():
+        seen: set[bytes] = set()
+        named = version(group)
+
+        def run(blob, text):
+            if blob in seen:
+                return None
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(blob)
+            return blob, named, [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text, (group,))]
+
+        return run
 
+    return map_rows(rows.select("blob", "text"), per_row, LEDGER)
 
-def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger lacks; returns (findings per row: path, blob, findings; the ledger's new rows: blob, rules, findings).
 
-    The new rows are written to the shared folder once; append them to the ledger for the next run.
+def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: DataFrame | None = None, groups: Iterable[str] = tuple(GROUPS)) -> tuple[DataFrame, DataFrame]:
+    """Scan what the ledger lacks; returns (findings per row: path, blob, findings, n_reused; the ledger's new rows: blob, version, findings).
+
+    n_reused is the number of groups of which the blob's findings come from the ledger. The new rows are written
+    to the shared folder once; append them to the ledger for the next run.
     """
-    rows = address(versions, path, text)
-    # One carrier per unseen blob: the least path. Only slim rows are shuffled to find it.
-    carriers = rows.groupBy("blob").agg(F.min("path").alias("carrier"))
+    rows, fresh = address(versions, path, text), []
+    for group in groups:
+        todo = rows
+        if ledger is not None and not (past := ledger.where(F.col("version") == version(group)).select("blob")).isEmpty():
+            unseen = cut(rows.select("blob").distinct().join(past, "blob", "left_anti"), "secret-unseen")
+            todo = rows.join(small(unseen, 64), "blob", "left_semi")
+        fresh.append(_scan_blobs(todo, group))
+    # Copies in different tasks give equal rows.
+    fresh = cut(reduce(DataFrame.unionAll, fresh).groupBy("blob", "version").agg(F.first("findings").alias("findings")), "secret-ledger")
+    known = fresh.withColumn("reused", F.lit(0))
     if ledger is not None:
-        carriers = carriers.join(ledger.where(F.col("rules") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    mine = F.col("r.path").eqNullSafe(F.col("c.carrier")) & (F.col("r.blob") == F.col("c.blob"))
-    todo = rows.alias("r").join(carriers.alias("c"), mine, "left_semi").select("blob", "text")
+        past = ledger.where(F.col("version").isin([version(g) for g in groups])).select("blob", "version", "findings", F.lit(1).alias("reused"))
+        known = known.unionByName(past)
+    # Only blobs with findings, or of which something is reused, are joined to the rows.
+    known = known.where((F.size("findings") > 0) | (F.col("reused") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings")), _by_place).alias("findings"), F.sum("reused").alias("n_reused"))
+    known = cut(known, "secret-known")
+    found = rows.select("path", "blob").join(small(known, 64 + 16 * F.size("findings")), "blob", "left")
+    return found.select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"), F.coalesce("n_reused", F.lit(0)).cast("int").alias("n_reused")), fresh
 
-    def per_row():
-        return lambda blob, text: (blob, RULE_VERSION, [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text)])
 
-    fresh = map_rows(todo, per_row, f"blob binary, rules string, findings {FINDINGS}").dropDuplicates(["blob"])
-    fresh = cut(fresh, "secret-ledger")
-    known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rules") == RULE_VERSION).select("blob", "rules", "findings"))
-    with_hits = known.where(F.size("findings") > 0).select("blob", "findings")
-    found = rows.select("path", "blob").join(with_hits, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
-    return found, fresh
+def _by_place(x: Column, y: Column) -> Column:
+    """Order of findings: by start, then kind."""
+    sign = lambda f: F.when(x[f] < y[f], -1).when(x[f] > y[f], 1)
+    return F.coalesce(sign("start"), sign("kind"), F.lit(0))
 
 
 def spans_string(findings, names=tuple(r[0] for r in RULES)):
@@ -83,8 +126,14 @@ def spans_string(findings, names=tuple(r[0] for r in RULES)):
 
 
 def op7_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    """Every secret span of documents; doc_id is the path."""
-    found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    """Every secret span of documents; doc_id is the path.
+
+    Two runs, as when rules are added to a corpus that was scanned before: the first one fills the ledger with the base
+    rules, the second one finds those pairs in the ledger and scans only the pairs of the added rules.
+    """
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    _, ledger = scan(docs, "doc_id", "text", groups=("base",))
+    found, fresh = scan(docs, "doc_id", "text", ledger)
     base = F.filter("findings", lambda x: x["kind"] < len(BASE))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
@@ -92,35 +141,26 @@ def op7_secret_ledger(spark, sf_dir: str) -> DataFrame:
         *(count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)),
         F.sha2(spans_string(base).cast("binary"), 256).alias("base_sha256"),
         spans_string(F.col("findings")).alias("spans"),
+        F.col("n_reused").cast("long").alias("n_reused"),
+        (F.lit(len(GROUPS)) - F.col("n_reused")).cast("long").alias("n_scanned"),
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret span replaced by a mark; all columns stay.
 
-    Overlapping spans are replaced as one. The spans come from scan(), by blob.
+    Overlapping spans are replaced as one. The spans come from scan(), by blob. Null texts stay null.
     """
     found, _ = scan(docs.select(id_col, text_col), id_col, text_col, ledger)
-    hits = found.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_spans")).dropDuplicates(["_blob"])
-    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    joined = docs.withColumn("_blob", blob).join(hits, "_blob", "left")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = names.index(text_col)
-    clean = joined.where(F.col("_spans").isNull()).select(*names)
-
-    def per_row():
-        def run(*values):
-            *row, spans = values
-            out, end = [], 0
-            for s in spans:
-                if s["start"] >= end:
-                    out += [row[at][end : s["start"]], mark]
-                end = max(end, s["end"])
-            row[at] = "".join([*out, row[at][end:]])
-            return tuple(row)
-
-        return run
-
-    return clean.unionByName(map_rows(joined.where(F.col("_spans").isNotNull()).select(*names, "_spans"), per_row, schema))
-
+    hits = cut(found.where(F.size("findings") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("findings").alias("_spans")), "secret-hits")
+    blob = F.unhex(F.sha2(_body(text_col).cast("binary"), 256))
+    joined = docs.withColumn("_blob", blob).join(small(hits, 64 + 16 * F.size("_spans")), "_blob", "left")
+    text = F.col(text_col)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("end"))
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.when(s["start"] >= acc["end"], F.concat(acc["out"], F.substring(text, acc["end"] + 1, s["start"] - acc["end"]), F.lit(mark))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["end"], s["end"]).alias("end"))
+
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["end"] + 1, F.char_length(text))))
+    return joined.select(*(F.when(F.col("_spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in docs.columns))
