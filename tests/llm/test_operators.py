@@ -432,11 +432,25 @@ def test_audit_finds_the_damage(spark, awkward):
     out = warc.op9_merkle_audit(spark, SF)
     assert Counter(map(tuple, out.select(*(c.strip().strip('"') for c in columns.split(","))).collect())) == want
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    whole, lost = warc.leaves(pages, per_file=20), warc.leaves(pages.where("page_id <> 39"), per_file=20)
     levels = warc.depth(20)
-    bad = warc.audit(warc.tree(whole, levels), warc.tree(lost, levels), levels).collect()
-    assert [(r.file, r.record, r.status) for r in bad] == [(1, 19, "missing")]
-    assert warc.audit(warc.tree(whole, levels), warc.tree(whole, levels), levels).count() == 0
+
+    def differ(left, right):
+        sides = [(x, warc.tree(x, levels)) for x in (warc.leaves(y, per_file=20) for y in (left, right))]
+        return Counter((r.file, r.id, r.status) for r in warc.audit(*sides, levels).collect())
+
+    # A record that is lost or added in the middle doesn't touch those after it.
+    assert differ(pages, pages.where("page_id <> 25")) == {(1, 25, "missing"): 1}
+    added = pages.where("page_id = 7").select("page_id", "url", F.lit("other").alias("html"))
+    assert differ(pages, pages.unionByName(added)) == {(0, 7, "extra"): 1} and differ(pages, pages) == {}
+    # Equal contents at each other's places are changes.
+    swapped = pages.withColumn("page_id", F.when(F.col("page_id") == 3, 4).when(F.col("page_id") == 4, 3).otherwise(F.col("page_id")))
+    assert differ(pages, swapped) == {(0, 3, "changed"): 1, (0, 4, "changed"): 1}
+    # More records under one id, or none, than a file holds: each is found again.
+    for same in (F.lit(None).cast("long"), F.lit(5).cast("long")):
+        many = spark.range(300).select(same.alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+        assert warc.leaves(many, per_file=20).groupBy("file").count().count() > 8
+        assert sum(differ(many, many.where("html <> '77'")).values()) >= 1
+        assert differ(many.unionAll(many), many.unionAll(many)) == {}
 
 
 def test_warc_files(spark, tmp_path):
@@ -451,8 +465,27 @@ def test_warc_files(spark, tmp_path):
     assert all(r.body.decode() == body and r.uri == "http://x/" for r in out if r.intact)
 
 
+def test_damaged_warc_files():
+    """Cut and corrupt gzip files, lengths that are no numbers, and files in many pieces give what is there."""
+    import gzip
+
+    record = lambda body, length=None: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + (str(len(body)) if length is None else length).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    read = lambda data: [(r["body"], r["intact"]) for r in warc.parse(warc.inflate(data))]
+    plain = record(b"a\r\n\r\nWARC/1.1 b") + record(b"") + record(b"c" * 5000)
+    want = [(b"a\r\n\r\nWARC/1.1 b", True), (b"", True), (b"c" * 5000, True)]
+    assert read(plain) == read(gzip.compress(plain)) == want == [(r["body"], r["intact"]) for r in warc.parse(plain[i : i + 7] for i in range(0, len(plain), 7))]
+    for wrong in ("x", "-5", "", "99999999"):
+        assert read(record(b"one") + record(b"two", wrong) + record(b"three")) == [(b"one", True), (b"two\r\n\r\n", False), (b"three", True)]
+    packed = gzip.compress(record(b"one")) + gzip.compress(record(bytes(range(256)) * 40))
+    assert read(packed)[0] == read(packed[:-20])[0] == (b"one", True) and [x[1] for x in read(packed[:-20])] == [True, False] or len(read(packed[:-20])) == 1
+    broken = bytearray(packed)
+    broken[len(gzip.compress(record(b"one"))) + 40] ^= 0xFF
+    assert read(bytes(broken))[0] == (b"one", True)
+    assert read(b"") == read(b"no archive") == [] and [x[0] for x in read(b"junk\n" + record(b"one"))] == [b"one"]
+
+
 def test_licenses():
-    scan = licenses.Scanner(licenses.TEMPLATES, 0.8).scan
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.COVERAGE).scan
     filler = "the under released of work " * 200
     text = filler + "Released under the MIT License. " + filler + "LICENSED under the  Apache License,\nVersion 2.0! " + filler + "Released under the MIT License."
     assert [m["license"] for m in scan(text)] == ["MIT", "Apache-2.0", "MIT"]
@@ -464,6 +497,50 @@ def test_licenses():
     assert scan(filler) == [] and scan(None) == []
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_coverage_and_places_against_the_longest_common_subsequence():
+    draw, scan = random.Random(5), licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.COVERAGE).scan
+    own = [n for n in licenses.TEMPLATES if n not in licenses.COVERAGE]
+    seen = 0
+    for name in own * 12:
+        template = licenses.words_of(licenses.TEMPLATES[name])
+        edited = [b"q%d" % i if draw.random() < 0.05 else w for i, w in enumerate(template) if draw.random() > 0.06]
+        edited = [x for w in edited for x in ([w, b"inserted"] if draw.random() < 0.1 else [w])]
+        around = [[draw.choice([b"the", b"of", b"and", b"software", b"to", b"word"]) for _ in range(draw.randrange(60))] for _ in range(2)]
+        text = b" ".join(around[0] + edited + around[1]).decode()
+        best = longest_common(edited, template) / len(template)
+        got = [m for m in scan(text) if m["license"] == name]
+        if best >= 0.84:
+            m, seen = got[0], seen + 1
+            assert len(got) == 1 and abs(m["coverage"] - best) < 0.035
+            assert abs(m["start"] - len(around[0])) < 8 and abs(m["end"] - len(around[0]) - len(edited)) < 14
+        elif best < 0.77:
+            assert not got
+    assert seen > 30
+
+
+def test_licenses_far_from_stray_words_and_with_words_between():
+    scan, name = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.COVERAGE).scan, "GPL-3.0-notice"
+    notice, n = licenses.TEMPLATES[name], len(licenses.words_of(licenses.TEMPLATES[name]))
+    for k in (0, 20, 40, 50, 60, 500):
+        filler = " ".join(f"x{i}" for i in range(k))
+        assert scan(f"the of {filler} {notice} the {filler} of") == [{"license": name, "coverage": 1.0, "start": 2 + k, "end": 2 + k + n}]
+    words = notice.split()
+    for between in (["-"], ["a1"], ["a1", "b1", "c1"]):
+        assert [m["coverage"] for m in scan(" ".join(x for w in words for x in [w, *between])) if m["license"] == name] == [1.0]
+    assert [(m["license"], m["coverage"]) for m in scan(f"{notice} and {notice} or {notice}")] == [(name, 1.0)] * 3
+    own = licenses.Scanner({"a": "one two three four five six seven eight nine ten"}, 0.8, {})
+    assert [m["coverage"] for m in own.scan("one two x four five six seven y nine ten")] == [0.8]
+
+
 def test_alignment_is_a_common_subsequence():
     draw = random.Random(3)
     for _ in range(200):
