@@ -27,7 +27,7 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told. The model learns from the labelled documents that aren't held out."""
     release(docs)
-    model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2).select("text", "lang"))
+    model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"), id_col="doc_id")
     return language_id.keep_identified(docs, model)
 
 

@@ -62,3 +62,9 @@ def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     """
     total = df.agg(F.coalesce(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes), F.lit(0)).cast("long")).first()[0]
     return F.broadcast(df) if total <= SENT_BYTES else df
+
+
+def name_of(*columns: str) -> Column:
+    """128-bit name of what is in some columns; null differs from empty."""
+    marked = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(*map(marked, columns)).cast("binary")))

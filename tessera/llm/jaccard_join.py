@@ -6,18 +6,19 @@ segments, 1 + spare segments of theirs are equal. The segments of every set are
 Sets look in their own band and in lower ones that may hold partners.
 
 Of the sets under one index key, the one with the most keys is the hub: each other set is compared with it,
-exactly. Where all are linked with the hub's class, nothing is left to compare. Where few are apart from it, they
-are compared with the hub's other sets, save where the distances to the hub rule it out. A hub with many sets apart
-is costly: its keys are skipped, and a set of which more than the spare segments are skipped (or empty) is allocated
-anew, together with the others of that kind, the crowd.
+exactly. Where all are linked with the hub's class, nothing is left to compare. Where some are apart from it, they are
+compared with the key's other sets, save where a lower bound of the distance, from sketches, sizes and distances to the
+hub, rules it out. A key with more sets apart than that is worth is costly: it is skipped, and a set of which more than
+the spare segments are skipped (or empty) is allocated anew, together with the others of that kind, the crowd.
 
 In a crowd, elements that no other set of it has are a set's own. Sets with u and v own elements differ in u + v
-elements at least, so the rest of them may differ in H - u - v only. The rests are indexed by classes of own
+elements at least, so the rest of them may differ in H - u - v only. Sets that have so many of their own that no size
+and number of a partner suits them are done with. The others' rests are indexed by classes of own
 elements, with as few segments as that smaller bound needs: the more a set is edited, the larger its segments
 become, until nobody shares them. Every other level also halves the number of segments and indexes one-deletion
 neighbourhoods, so that segments that differ in one element meet too. Levels follow each other, with other
 segments and smaller crowds, while they at least halve the sets that wait; if one doesn't, what is left under its
-costly hubs is compared within the bounds.
+costly keys is compared within the bounds.
 
 Documents with equal sets are one set. Rows are never paired with rows, and no group is gathered in one place:
 the groups of a key are streamed from sorted partitions, to which each task sends a set once.
@@ -41,10 +42,13 @@ from tessera.llm.common import STEP, lower_words, read_documents, small
 from tessera.llm.components import components
 from tessera.session import cut, drop
 
-#: Sets apart from a hub's class that make the hub costly; sets that a task remembers to have sent.
-COSTLY, SENT = 16, 200_000
+#: A key is costly if more sets than this are apart from its hub's class, and these times its sets are more than ROOM; sets that a task remembers to have sent.
+COSTLY, ROOM, SENT = 2, 1 << 18, 200_000
+#: Columns of a set's sketch, 64 bits each.
+SKETCH = [f"b{i}" for i in range(8)]
+_BITS = ", ".join(f"{c} long" for c in SKETCH)
 #: Classes of own elements in a band.
-CLASSES = 8
+CLASSES = 24
 #: A character of a word, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]"
 #: Added to a set's excess, to keep it positive in a packed number.
@@ -78,6 +82,13 @@ def set_name(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Bits of which each element turns one: sets of which d bits differ differ in d elements or more."""
+    bits = (mix(grams + _M1) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(bits, minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def handle(name: bytes) -> int:
     """Half of a set's name, as a number above zero, by which the index tells sets."""
     return int.from_bytes(name[:8], "little") >> 1
@@ -204,16 +215,18 @@ def _index_texts(n: int, percent: int, id_type: pa.DataType):
 
 
 def _index_sets(percent: int, level: int):
-    """(set, n, grams, mine: its own elements) to rows key, set (handle), info, name as above; size stands for the number of own elements."""
+    """(set, n, grams, mine: its own elements) to rows key, set (handle), info, name as above, and the sketch of the rest; size stands for the number of own elements."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             for name, n, data, mine in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = np.array(mine or [], np.int64).astype(np.uint64)
-                k, places, excess = keys_of(np.setdiff1d(np.frombuffer(data, np.uint64), own, assume_unique=True), bands, level, n, len(own))
+                rest = np.setdiff1d(np.frombuffer(data, np.uint64), own, assume_unique=True)
+                k, places, excess = keys_of(rest, bands, level, n, len(own))
                 told = handle(name)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, told]), pa.array(np.full(len(k) + 1, told)), pa.array(np.r_[places, _packed(len(own), excess)].astype(np.int64)), pa.array([None] * len(k) + [name], pa.binary())], names=["key", "set", "info", "name"])
+                bits = [pa.array([None] * len(k) + [int(x)], pa.int64()) for x in sketch(rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, told]), pa.array(np.full(len(k) + 1, told)), pa.array(np.r_[places, _packed(len(own), excess)].astype(np.int64)), pa.array([None] * len(k) + [name], pa.binary()), *bits], names=["key", "set", "info", "name", *SKETCH])
 
     return run
 
@@ -316,14 +329,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         nameless = rows.where("id is null").mapInArrow(_with_set(n, 1), f"id {kind}, text string, _set binary")
         nameless = nameless.join(carriers.where("first is null"), F.col("_set") == F.col("told"))
         found = found.unionAll(nameless.groupBy("told").agg(F.min("text").alias("text")))
-    sets = cut(found.mapInArrow(_sets(n), "set binary, n long, grams binary"), "jaccard-sets")
+    sets = cut(found.mapInArrow(_sets(n), f"set binary, n long, grams binary, {_BITS}"), "jaccard-sets")
     if sets.count() > needed.count():  # rows that share an id and a text
         repeated, sets = sets, cut(sets.dropDuplicates(["set"]), "jaccard-sets")
         drop(repeated)
 
     named = cut(keys.join(needed.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
     drop(keys)
-    over = needed.select("set", "excess", F.lit(0).cast("long").alias("own"))
+    over = needed.select("set", "excess", F.lit(0).cast("long").alias("own")).join(sets.select("set", *SKETCH), "set")
     keys, links, level, before = named, None, 0, None
     while True:
         new, over, waiting = _settle(keys, over, sets, percent, links, before)
@@ -342,29 +355,47 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
 
 def _allocate(sets: DataFrame, crowd: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Index the sets of a crowd anew, without their own elements: (key, place, set of sets under keys that others have too; set, excess, own)."""
-    mine = cut(sets.join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
+    mine = cut(sets.select("set", "n", "grams").join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
     once = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("set").alias("set")).where("sets = 1")
     own = once.groupBy("set").agg(F.collect_list("element").alias("mine"))
-    index = mine.join(own, "set", "left").select("set", "n", "grams", "mine").mapInArrow(_index_sets(percent, level), "key long, set long, info long, name binary")
-    index = cut(index.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_stars(["name"]), "key long, info long, hub long, set long, name binary"), "jaccard-index")
+    owned = cut(mine.join(own, "set", "left").withColumn("own", F.coalesce(F.size("mine"), F.lit(0)).cast("long")), "jaccard-owned")
+    index = owned.join(_open(owned, percent), "set", "left_semi").select("set", "n", "grams", "mine").mapInArrow(_index_sets(percent, level), f"key long, set long, info long, name binary, {_BITS}")
+    index = cut(index.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_stars(["name", *SKETCH]), f"key long, info long, hub long, set long, name binary, {_BITS}"), "jaccard-index")
     count, excess = _unpacked()
-    over = cut(index.where("info < 0").select(F.col("name").alias("set"), excess.alias("excess"), count.alias("own"), F.col("set").alias("handle")), "jaccard-over")
+    over = cut(index.where("info < 0").select(F.col("name").alias("set"), excess.alias("excess"), count.alias("own"), F.col("set").alias("handle"), *SKETCH), "jaccard-over")
     stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", F.col("set").alias("handle"))
     keys = stars.select("key", "place", "handle").unionByName(stars.select("key", "place", F.col("hub").alias("handle")).distinct())
     keys = cut(keys.join(over.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
-    drop(index, mine)
+    drop(index, mine, owned)
     return keys, over.drop("handle")
 
 
+def _open(owned: DataFrame, percent: int) -> DataFrame:
+    """The sets of a crowd that may have a partner in it, by size and own elements.
+
+    Sets with u and v own elements and sizes n and k differ in u + v + |(n - u) - (k - v)| elements at least, which
+    doesn't fall as v rises. For each class of sizes within about a hundredth, the least v is held against all sets
+    whose partners may have such sizes.
+    """
+    size_class = lambda n: F.floor(F.log(n) * 100).cast("long")
+    classes = owned.groupBy(size_class(F.col("n")).alias("class")).agg(F.min("own").alias("v"), F.min("n").alias("least"), F.max("n").alias("most"))
+    reach = F.sequence(size_class(F.col("n") * percent / 100), size_class(F.col("n") * 100 / percent))
+    x = owned.select("set", "n", "own", F.explode(reach).alias("class")).join(classes, "class")
+    shared = F.col("n") - F.col("own") + F.col("v")
+    differ = F.col("own") + F.col("v") + F.greatest(F.lit(0), F.col("least") - shared, shared - F.col("most"))
+    return x.where(differ * (100 + percent) <= (F.col("n") + F.col("most")) * (100 - percent)).select("set").distinct()
+
+
 def _sets(n: int):
-    """(set, text) to set, n, grams, for texts that make that set."""
+    """(set, text) to set, n, grams and sketch, for texts that make that set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 out = [(name, grams) for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if set_name(grams := shingles(text, n)) == name]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary())], names=["set", "n", "grams"])
+                bits = np.array([sketch(grams) for _, grams in out], np.int64).reshape(-1, len(SKETCH)).T
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([len(x[1]) for x in out], pa.int64()), pa.array([x[1].tobytes() for x in out], pa.binary()), *(pa.array(c, pa.int64()) for c in bits)], names=["set", "n", "grams", *SKETCH])
 
     return run
 
@@ -373,11 +404,11 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     """Links that the keys of one level show, the sets that the next level must look at, and their number.
 
     over has the excess and number of own elements of each set. before is the number that this level was to look at;
-    unless it is halved, the sets of costly hubs are compared too, and only sets with an excess go on.
+    unless it is halved, the sets under costly keys are compared too, and only sets with an excess go on.
     """
     degree = keys.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
     hubs = keys.join(degree, "set").groupBy("key").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
-    placed = cut(keys.join(hubs, "key").select("place", "hub", "set"), "jaccard-hubs")
+    placed = cut(keys.join(hubs, "key").select("key", "place", "hub", "set"), "jaccard-hubs")
     compared = _compare(placed.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), sets, percent, "jaccard-stars")
     found = compared.where("linked").select("a", "b")
     roots = components(found if links is None else found.unionByName(links))
@@ -387,32 +418,34 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     stars = stars.join(root_of("set"), "set", "left").join(root_of("hub"), "hub", "left")
     stars = stars.withColumn("root", F.coalesce("set_root", "set")).withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub"))
     stars = cut(stars.select("hub", "set", "new", "gone", "root", "apart"), "jaccard-apart")
-    odd = cut(stars.where("apart").groupBy("hub").agg(F.count(F.lit(1)).alias("odd")), "jaccard-odd")
-    costly = odd.where(F.col("odd") > COSTLY).select("hub")
-
-    # Segments under costly hubs, and those without a key, are skipped: who has more than the spare ones of them looks again.
-    hard = placed.join(costly, "hub", "left_semi").select("set", "place").distinct()
+    under = placed.join(stars, ["hub", "set"])
+    odd = cut(under.groupBy("key").agg(F.count_if("apart").alias("odd"), F.count(F.lit(1)).alias("size")).where("odd > 0"), "jaccard-odd")
+    dear = (F.col("odd") > COSTLY) & (F.col("odd") * F.col("size") > ROOM)
+    costly = odd.where(dear).select("key")
+    # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
+    hard = placed.join(costly, "key", "left_semi").select("set", "place").distinct()
     hard = hard.groupBy("set", F.shiftright("place", 20).alias("group")).agg(F.count(F.lit(1)).alias("hard")).groupBy("set").agg(F.max("hard").alias("hard"))
     pending = over.join(hard, "set", "left").where(F.col("excess") + F.coalesce("hard", F.lit(0)) > 0).select("set", "excess")
     pending = cut(pending, "jaccard-pending")
     waiting = pending.count()
-    cheap = odd.where(F.col("odd") <= COSTLY).select("hub")
+    cheap = odd.where(~dear).select("key")
     if before is not None and 2 * waiting > before:
-        cheap, pending = odd.select("hub"), pending.where("excess > 0")
+        cheap, pending = odd.select("key"), pending.where("excess > 0")
         waiting = pending.count()
 
     # One of each pair is apart from the hub's class; the hub itself has been compared with all.
-    rest = stars.join(cheap, "hub", "left_semi").join(over.select("set", "own"), "set").join(sets.select("set", "n"), "set")
-    side = lambda x, end: x.select("hub", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n")))
+    rest = under.join(cheap, "key", "left_semi").join(over.select("set", "own", *SKETCH), "set").join(sets.select("set", "n"), "set")
+    side = lambda x, end: x.select("key", "apart", *(F.col(c).alias(f"{c}_{end}") for c in ("set", "root", "new", "gone", "own", "n", *SKETCH)))
     one, two = side(rest.where("apart"), "a").drop("apart"), side(rest, "b")
     # Own elements differ. Of the other new ones, and of those gone, the numbers differ; the hub is in the crowd, so an own element is new to it.
     by_hub = F.abs(F.col("new_a") - F.col("own_a") - F.col("new_b") + F.col("own_b")) + F.abs(F.col("gone_a") - F.col("gone_b"))
     by_size = F.abs(F.col("n_a") - F.col("own_a") - F.col("n_b") + F.col("own_b"))
+    by_sketch = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH)
     most = (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    near = (F.col("own_a") + F.col("own_b") + F.greatest(by_size, by_hub)) * (100 + percent) <= most
+    near = (F.col("own_a") + F.col("own_b") + F.greatest(by_size, by_hub, by_sketch)) * (100 + percent) <= most
     size = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     once = ~F.col("apart") | (F.col("set_a") < F.col("set_b"))
-    pairs = one.join(two, (one["hub"] == two["hub"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("root_a") != F.col("root_b")) & near & size & once)
     pairs = pairs.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
     new = cut(found.unionByName(_compare(pairs, sets, percent, "jaccard-rest").where("linked").select("a", "b")), "jaccard-links")
     drop(placed, compared, stars)

@@ -1,17 +1,16 @@
 """Language identification as a multilingual mixture.
 
-Each language has a multinomial over hashed character trigrams. A document is a mixture of languages;
+Each language has a multinomial over hashed trigrams of bytes of UTF-8. A document is a mixture of languages;
 expectation-maximisation estimates the proportions. Languages join the mixture one at a time, while the
 penalised log likelihood gains. The prediction is the language with the largest proportion.
 
-Nulls, and texts without a letter, get `und` with score 0; so does every text if nothing was learned. Rows
+Nulls, and texts without a letter (a character of a category L of Unicode), get `und` with score 0; so does every text if nothing was learned. Rows
 without a language teach nothing. Repeated rows give repeated results; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ from tessera.llm.common import STEP, crc_mod, map_rows, read_documents
 BITS = 16
 #: Overlapping trigrams repeat each character; likelihoods count each trigram as this part of one observation.
 WEIGHT = 1 / 3
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that are no letters become spaces.
 PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -42,11 +40,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams, return_counts=True)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 3000) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 3000, id_col: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and a table of probabilities, features by languages.
 
-    The classifier is fitted on about sample_per_language rows of each language, chosen by a hash of the text,
-    so reruns agree. The table's size is 2**BITS by the number of languages, whatever the corpus.
+    The classifier is fitted on about sample_per_language rows of each language, chosen by a hash of the text, and of
+    the id if there is one, so that of many copies a part is chosen. It only chooses rows, so reruns agree. The table's size is 2**BITS by the number of languages, whatever the corpus.
     """
     docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
@@ -54,7 +52,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     if not languages:
         return [], np.zeros((1 << BITS, 0))
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample_per_language / rows[lang]))))
-    picked = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000)
+    picked = docs.where(F.pmod(F.xxhash64(*([text_col, id_col] if id_col else [text_col])), F.lit(1_000_000)) < F.element_at(share, F.col(lang_col)) * 1_000_000)
 
     def per_row():
         def run(lang, text):
@@ -100,7 +98,7 @@ def mixture(table: np.ndarray, found: np.ndarray, counts: np.ndarray, rounds: in
 
 def predict(text: str | None, languages: list[str], table: np.ndarray) -> tuple[str, float, list[dict]]:
     """Language, score and proportions of one text. The score is the proportion, times the posterior if there is one language only."""
-    if not text or not languages or not LETTER.search(text):
+    if not text or not languages or not any(map(str.isalpha, text)):
         return "und", 0.0, []
     found, counts = features(text)
     if not len(found):
@@ -143,5 +141,5 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], least:
 def op6_language_mixture(spark, sf_dir: str) -> DataFrame:
     """Predict the language of every document; learn from those whose crc32 modulo 4 is not 2."""
     docs = read_documents(spark, sf_dir)
-    model = train(docs.where(crc_mod("doc_id", 4) != 2).select("text", "lang"))
+    model = train(docs.where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang"), id_col="doc_id")
     return identify(docs, model).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.to_json("proportions").alias("proportions"))

@@ -17,49 +17,61 @@ from, the vocabulary's scores stand alone.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import vocab
-from tessera.llm.common import STEP, crc_mod, lower_words, map_rows, read_documents
+from tessera.llm.common import STEP, crc_mod, lower_words, map_rows, name_of, read_documents
 from tessera.session import cut
 
 #: Most words sent to the tasks; distinct words of a partition that are counted before they are passed on.
 FREQUENT, FLUSH = 100_000, 250_000
 #: Training pieces that the vocabulary's own scores count as.
 PRIOR = 1000.0
+#: Words of more bytes don't keep their pieces; parts of one in which expected counts, and in which sums of logarithms, are added up.
+LONG, UNIT, FINE = 4096, 1 << 40, 1 << 32
 
 
 class Lattice:
-    """All segmentations of a word into pieces; scores are natural logarithms."""
+    """All segmentations of a word into pieces; scores are natural logarithms.
+
+    The pieces of a word of at most LONG bytes are found once and kept; those of a longer word are found again in each pass, so that
+    it takes a few numbers for each byte.
+    """
 
     def __init__(self, scores: dict[bytes, float]):
         self.next: dict[bytes, float | None] = {p[:i]: None for p in scores for i in range(1, len(p))}
         self.next |= scores
 
-    def edges(self, text: bytes) -> list[list[tuple[int, bytes, float]]]:
-        """Pieces by their start: end, piece, score."""
-        get, out = self.next.get, []
-        for start in range(len(text)):
-            found = []
-            for end in range(start + 1, len(text) + 1):
-                score = get(piece := text[start:end], 0.0)
-                if score:
-                    found.append((end, piece, score))
-                elif score == 0.0:
-                    break
-            out.append(found)
-        return out
-
-    def forward(self, edges: list[list[tuple[int, bytes, float]]]) -> list[float]:
-        a = [0.0] + [-math.inf] * len(edges)
-        for start, found in enumerate(edges):
+    def pieces(self, text: bytes, start: int) -> list[tuple[int, bytes, float]]:
+        """End, piece and score of the pieces that start there."""
+        get, found = self.next.get, []
+        for end in range(start + 1, len(text) + 1):
+            score = get(piece := text[start:end], 0.0)
+            if score:
+                found.append((end, piece, score))
+            elif score == 0.0:
+                break
+        return found
+
+    def edges(self, text: bytes) -> Callable[[int], list[tuple[int, bytes, float]]]:
+        """The pieces by their start."""
+        if len(text) > LONG:
+            return lambda start: self.pieces(text, start)
+        return [self.pieces(text, start) for start in range(len(text))].__getitem__
+
+    def forward(self, n: int, edges: Callable) -> array:
+        """Log sums of all ways to each place of a text of n bytes."""
+        a = array("d", [-math.inf]) * (n + 1)
+        a[0] = 0.0
+        for start in range(n):
             before = a[start]
-            for end, _, score in found:
+            for end, _, score in edges(start):
                 x, y = before + score, a[end]
                 if y < x:
                     x, y = y, x
@@ -67,28 +79,26 @@ class Lattice:
         return a
 
     def log_probability(self, word: bytes) -> float:
-        return self.forward(self.edges(b" " + word))[-1]
-
-    def expect(self, word: bytes, times: float, into: Counter) -> None:
-        """Add the expected number of each piece in the word, times `times`."""
-        edges = self.edges(b" " + word)
-        a = self.forward(edges)
-        n = len(edges)
-        b = [-math.inf] * n + [0.0]
+        return self.forward(len(word) + 1, self.edges(b" " + word))[-1]
+
+    def expect(self, word: bytes, times: int, into: Counter) -> None:
+        """Add the expected number of each piece in the word, times `times`, in units of 1 / UNIT: whole numbers give the same sum in any order."""
+        edges, n = self.edges(b" " + word), len(word) + 1
+        a = self.forward(n, edges)
+        b = array("d", [-math.inf]) * n + array("d", [0.0])
+        total = a[n]
         for start in range(n - 1, -1, -1):
             top = -math.inf
-            for end, _, score in edges[start]:
-                x, y = score + b[end], top
+            before = a[start]
+            for end, piece, score in edges(start):
+                x = score + b[end]
+                if before + x - total > -40:
+                    into[piece] += round(times * math.exp(before + x - total) * UNIT)
+                y = top
                 if y < x:
                     x, y = y, x
                 top = y + math.log1p(math.exp(x - y)) if x > -700 + y else y
             b[start] = top
-        total = a[n]
-        for start, found in enumerate(edges):
-            for end, piece, score in found:
-                x = a[start] + score + b[end] - total
-                if x > -40:
-                    into[piece] += times * math.exp(x)
 
 
 def word_counts(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
@@ -116,7 +126,7 @@ def word_counts(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def piece_scores(words: DataFrame, prior: dict[bytes, float], ends: int) -> tuple[dict[bytes, float], float]:
+def piece_scores(words: DataFrame, prior: dict[bytes, float], ends: int, weight: float = PRIOR) -> tuple[dict[bytes, float], float]:
     """Log probabilities of the pieces and of the end, from the words' counts; the vocabulary bounds their number."""
     shared = words.sparkSession.sparkContext.broadcast(prior)
 
@@ -125,18 +135,21 @@ def piece_scores(words: DataFrame, prior: dict[bytes, float], ends: int) -> tupl
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lattice.expect(word, c, found)
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.float64())], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([n // UNIT for n in found.values()], pa.int64()), pa.array([n % UNIT for n in found.values()], pa.int64())], names=["piece", "n", "parts"])
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    expected = {bytes(r["piece"]): r["n"] for r in rows}
-    total = math.fsum(expected.values()) + PRIOR + ends + 0.5
-    return {p: math.log((expected.get(p, 0.0) + PRIOR * math.exp(s)) / total) for p, s in prior.items()}, math.log((ends + 0.5) / total)
+    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece binary, n long, parts long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("parts").alias("parts")).collect()
+    expected = {bytes(r["piece"]): r["n"] + r["parts"] / UNIT for r in rows}
+    if math.isinf(weight):
+        return {p: s for p, s in prior.items()}, math.log((ends + 0.5) / (ends + 0.5 + sum(expected.values())))
+    total = math.fsum(expected.values()) + weight + ends + 0.5
+    return {p: math.log((expected.get(p, 0.0) + weight * math.exp(s)) / total) for p, s in prior.items()}, math.log((ends + 0.5) / total)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, vocab_path: str | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, vocab_path: str | None = None, weight: float = PRIOR) -> DataFrame:
     """Columns id, n_tokens, n_known, train_tokens, base_score, score (logarithms to base 10) for each row of docs.
 
-    train says which rows to learn from (all, if none). base_score is that of single words with half a count added.
+    train says which rows to learn from (all, if none). weight is the number of pieces that the vocabulary's own scores
+    count as; an infinite one takes the scores as they are. base_score is that of single words with half a count added.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -145,7 +158,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     ends = rows.where("train").count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    pieces, end_score = piece_scores(words, vocab.load(vocab_path), ends)
+    pieces, end_score = piece_scores(words, vocab.load(vocab_path), ends, weight)
     base_of = lambda c: math.log10((c + 0.5) / (n_train + 0.5 * (distinct + 1)))
     shared = spark.sparkContext.broadcast(pieces)
 
@@ -188,25 +201,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
                             base += n * x[1]
                             lp += n * x[2]
                     k = len(rare)
-                    for column, values in zip(out, ([key] * (k + 1), [len(words) + 1] + [0] * k, [there] + [0] * k, [base] + [0.0] * k, [lp] + [0.0] * k, [1] + [0] * k, [None, *rare])):
+                    for column, values in zip(out, ([key] * (k + 1), [len(words) + 1] + [0] * k, [there] + [0] * k, [round(base * FINE)] + [0] * k, [round(lp * FINE)] + [0] * k, [1] + [0] * k, [None, *rare])):
                         column += values
                     take += [i] + [None] * k
                     times += [0, *map(counts.__getitem__, rare)]
-                arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()))]
+                arrays = [pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 ids = part.column(1).take(pa.array(take, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(times, pa.int64()), ids], names=["key", "tokens", "known", "base", "lp", "copies", "word", "n", "id"])
 
-    keyed = rows.select(F.xxhash64("id", "text").alias("key"), "id", "text")
-    parts = cut(keyed.mapInArrow(run, f"key long, tokens long, known long, base double, lp double, copies long, word binary, n long, id {kind}"), "lm-parts")
+    keyed = rows.select(name_of("id", "text").alias("key"), "id", "text")
+    parts = cut(keyed.mapInArrow(run, f"key binary, tokens long, known long, base long, lp long, copies long, word binary, n long, id {kind}"), "lm-parts")
     whole = parts.where("copies > 0").select("key", "tokens", "known", "base", "lp", "copies", "id")
     base = F.log10((F.col("c") + 0.5) / F.lit(n_train + 0.5 * (distinct + 1)))
+    # Sums of whole numbers, so that reruns agree to the last digit.
+    fine = lambda c: F.round(c * FINE).cast("decimal(38,0)")
+    whole = whole.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("base", "lp")})
     rare = parts.where("copies = 0").select("key", "word", "n").join(table.select("word", "c", F.col("lp").alias("each")), "word")
-    rare = rare.select("key", F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known"), (base * F.col("n")).alias("base"), (F.col("each") * F.col("n")).alias("lp"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast(kind).alias("id"))
+    rare = rare.select("key", F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known"), fine(base * F.col("n")).alias("base"), fine(F.col("each") * F.col("n")).alias("lp"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast(kind).alias("id"))
     total = whole.unionByName(rare).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "lp", "copies")), F.min("id").alias("id"))
     # Rows that are alike have one key; their sums are the row's, times their number.
-    per = lambda c: F.col(c) / F.col("copies")
-    total = total.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return total.select(F.col("id").alias(id_col), per("tokens").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), per("base").alias("base_score"), (per("lp") / math.log(10)).alias("score"))
+    per = lambda c: F.col(c).cast("double") / F.col("copies")
+    total = total.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096))))
+    total = total.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.col("copies") - 4096 * F.col("_chunk")))))
+    return total.select(F.col("id").alias(id_col), per("tokens").cast("long").alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (per("base") / FINE).alias("base_score"), (per("lp") / FINE / math.log(10)).alias("score"))
 
 
 def op8_lattice_score(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import zlib
 from bisect import bisect_left
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import map_rows, read_documents
 
@@ -24,7 +24,7 @@ BLOCK = 64
 #: Start and end of a PDF file, and what the offset in its end leads to: a table or a stream's object.
 PDF_HEADER = re.compile(rb"%PDF-[12]\.")
 PDF_END = re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
-PDF_TABLE = re.compile(rb"\s*(?:xref\s|\d{1,10}\s+\d{1,5}\s+obj)")
+PDF_TABLE = re.compile(rb"xref\s|(?<!\d)\d{1,10}\s{1,9}\d{1,5}\s{1,9}obj")
 #: Boxes of ISO media files that may have no size of their own and reach to the end.
 LAST_BOXES = frozenset((b"mdat", b"moov", b"meta", b"moof", b"mfra", b"free", b"skip", b"uuid"))
 
@@ -115,25 +115,32 @@ def pdf_ends(b: bytes) -> dict[int, int]:
 
     A mark is that of the nearest header before it from which its startxref leads to a cross-reference; if there
     is none, that of the nearest header. So files that follow each other and files stored in others are told apart.
+    A header that has no mark of its own ends with the first end of file after a startxref.
     """
     heads, ends = [m.start() for m in PDF_HEADER.finditer(b)], {}
-    for m in PDF_END.finditer(b):
-        before, offset = heads[: bisect_left(heads, m.start())], int(m[1])
-        if before:
-            own = next((h for h in reversed(before) if offset and h + offset < m.start() and PDF_TABLE.match(b, h + offset)), before[-1])
+    known, tables = set(heads), [m.start() for m in PDF_TABLE.finditer(b)] if heads else []
+    starts: dict[int, list[int]] = {}  # by offset: headers from which it leads to a cross-reference
+    for m in PDF_END.finditer(b) if heads else ():
+        offset, near = int(m[1]), bisect_left(heads, m.start())
+        if near:
+            if offset not in starts:
+                starts[offset] = sorted({t - offset for t in tables} & known) if offset else []
+            at = bisect_left(starts[offset], min(m.start(), m.start() - offset))
+            own = starts[offset][at - 1] if at else heads[near - 1]
             if own + offset < m.start():
                 ends[own] = m.end()
+    marks, eofs = ([m.start() for m in re.finditer(x, b)] for x in (b"startxref", b"%%EOF"))
+    for at in heads:
+        k = bisect_left(marks, at)
+        j = bisect_left(eofs, marks[k]) if k < len(marks) else len(eofs)
+        if at not in ends and j < len(eofs):
+            ends[at] = eofs[j] + 5
     return ends
 
 
 def pdf(b: bytes, at: int) -> tuple[int, int, int] | None:
-    if not PDF_HEADER.match(b, at):
-        return None
-    if at in pdf_ends(b):
-        return pdf_ends(b)[at], at, pdf_ends(b)[at]
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start) if start >= 0 else -1
-    return (end + 5, at, end + 5) if end >= 0 else None
+    end = pdf_ends(b).get(at)
+    return (end, at, end) if end else None
 
 
 @lru_cache(maxsize=1)
@@ -227,6 +234,17 @@ def sniff(content: bytes, machine) -> list[tuple[int, str, int, int, int]]:
     return found
 
 
+def carve(df: DataFrame, content_col: str = "media") -> DataFrame:
+    """The embedded files of sniff_media's rows as rows of their own: the other columns of df, offset, part_type and part (the bytes).
+
+    Rows without embedded files give none. Columns of these names in df are replaced.
+    """
+    keep = [c for c in df.columns if c not in ("offset", "part_type", "part", "embedded", content_col)]
+    x = df.select(*keep, F.col(content_col).alias("_content"), F.explode("embedded").alias("_part"))
+    part = F.substring(F.col("_content"), (F.col("_part.offset") + 1).cast("int"), F.col("_part.length").cast("int"))
+    return x.select(*keep, F.col("_part.offset").alias("offset"), F.col("_part.media_type").alias("part_type"), part.alias("part"))
+
+
 PARTS = "array<struct<offset:long,media_type:string,length:long>>"
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.llm.common import small
+from tessera.llm.common import name_of, small
 from tessera.session import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -33,12 +33,6 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def unit_of(id_col: str, text_col: str, source_col: str) -> Column:
-    """128-bit name of what a row's id, source and text are."""
-    marked = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
-    return F.unhex(F.md5(F.concat(marked(id_col), marked(source_col), marked(text_col)).cast("binary")))
-
-
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """Columns source, units, source_size, target: sources in code point order share all words by the repeating weights.
 
@@ -122,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     unit is a hash (16 bytes) of the row's id, source and text, for joining copies back to the rows.
     """
-    unit = unit_of(id_col, text_col, source_col)
+    unit = name_of(id_col, source_col, text_col)
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), unit.alias("unit"), size_of(F.col(text_col)).alias("size")), "mix-sizes")
     plan = cut(targets(sizes, weights, most), "mix-targets")
     largest = plan.agg(F.max("units")).first()[0] or 0
@@ -154,7 +148,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     taken = mix(docs, id_col, text_col, source_col, **options).groupBy("unit").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = cut(taken.where("_copies > 0"), "mix-taken")
     keep = [c for c in docs.columns if c not in ("unit", "copies")]
-    named = docs.select(*keep, unit_of(id_col, text_col, source_col).alias("unit"))
+    named = docs.select(*keep, name_of(id_col, source_col, text_col).alias("unit"))
     out = named.join(small(taken.where("_rows = 1"), 48), "unit")
     repeated = taken.where("_rows > 1")
     if not repeated.isEmpty():

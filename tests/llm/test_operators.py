@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -175,6 +176,24 @@ def test_media_boxes_of_64_bits_and_without_a_size():
     assert carved(head + open_end) == []
 
 
+def test_media_without_end_takes_time_in_proportion():
+    """Magic bytes over and over, whose ends are nowhere or elsewhere."""
+    import time
+
+    machine = media.automaton()
+    for part in (b"%PDF-1.4 ", b"PK\x03\x04", b"PK\x05\x06", b"RIFF", b"GIF8", b"ftyp", b"startxref 3 %%EOF %PDF-1.4 "):
+        began = time.perf_counter()
+        media.sniff(part * (2_000_000 // len(part)), machine)
+        assert time.perf_counter() - began < 10
+
+
+def test_carving_gives_the_bytes(spark):
+    wav, gif = media.to_wav(b"x" * 64), b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + b";"
+    rows = [(1, b"junk" + wav + b"more" + gif), (2, b"nothing"), (3, None), (4, wav)]
+    found = media.sniff_media(spark.createDataFrame(rows, "id long, media binary"))
+    assert Counter((r.id, r.part_type, bytes(r.part)) for r in media.carve(found).collect()) == {(1, "audio/wav", wav): 1, (1, "image/gif", gif): 1}
+
+
 def test_contamination(spark, docs, rows, awkward):
     for folder in (SF, awkward):
         table = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").collect()
@@ -356,6 +375,14 @@ def test_language_mixture_of_two(spark):
     assert said == "en" and {p["lang"] for p in parts} == {"en", "de"} and 0.5 < score < 0.8
 
 
+def test_texts_without_a_letter_are_undetermined(spark):
+    texts = ["½", "²³", "Ⅷ", "① ②", "12 + 3", "", None, "_", "é", "a", "ª", "字"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language_id.train(spark.createDataFrame([("some words here", "en"), ("andere worte dort", "de")], "text string, lang string"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert [got[i] == "und" for i in range(len(texts))] == [not (t and any(c.isalpha() for c in t)) for t in texts]
+
+
 def test_secrets(spark, rows, awkward):
     for folder in (SF, awkward):
         table = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
@@ -403,6 +430,62 @@ def test_word_model_and_score(spark, rows):
         assert r.score < 0
 
 
+def test_score_against_plain_sums(spark, rows):
+    """Probabilities instead of logarithms, and dictionaries by substring instead of tries, give the model's score."""
+    prior = {p: math.exp(x) for p, x in vocab.load(None).items()}
+    longest = max(map(len, prior))
+    train = [brute.space_words(t) for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1]
+    expected = Counter()
+
+    def sums(word, p):
+        n = len(word)
+        to, left = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i in range(n):
+            for j in range(i + 1, min(n, i + longest) + 1):
+                to[j] += to[i] * p.get(word[i:j], 0.0) * 64.0 ** (j - i)  # powers of 64 keep long words above zero
+        for i in range(n - 1, -1, -1):
+            left[i] = sum(p.get(word[i:j], 0.0) * 64.0 ** (j - i) * left[j] for j in range(i + 1, min(n, i + longest) + 1))
+        return to, left
+
+    for word, c in Counter(w for words in train for w in words).items():
+        word = b" " + word
+        to, left = sums(word, prior)
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + longest) + 1):
+                if (piece := word[i:j]) in prior:
+                    expected[piece] += c * to[i] * prior[piece] * 64.0 ** (j - i) * left[j] / to[-1]
+    total = sum(expected.values()) + lm_score.PRIOR + len(train) + 0.5
+    model = {p: (expected[p] + lm_score.PRIOR * x) / total for p, x in prior.items()}
+    end, known = math.log10((len(train) + 0.5) / total), {}
+    got = {r.doc_id: r.score for r in lm_score.op8_lattice_score(spark, SF).collect()}
+    for doc, text in rows:
+        want = end
+        for word in brute.space_words(text):
+            if word not in known:
+                known[word] = math.log10(sums(b" " + word, model)[0][-1]) - (len(word) + 1) * math.log10(64.0)
+            want += known[word]
+        assert math.isclose(got[doc], want, rel_tol=1e-5)
+
+
+def test_a_long_word_takes_little_memory():
+    import tracemalloc
+
+    lattice = lm_score.Lattice(vocab.load(None))
+    short = b"abcde" * 40
+    into, other = Counter(), Counter()
+    lattice.expect(short, 2, into)
+    lm_score.LONG, kept = 0, lm_score.LONG
+    try:
+        lattice.expect(short, 2, other)
+        assert into == other
+        tracemalloc.start()
+        assert lattice.log_probability(b"abcde" * 60_000) < -1e5
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        lm_score.LONG = kept
+        tracemalloc.stop()
+
+
 def test_lattice_sums_all_segmentations():
     scores = {b" ": -1.0, b"a": -1.5, b"b": -2.0, b" a": -1.2, b"ab": -0.7, b" ab": -3.0, b"ba": -2.5}
     lattice = lm_score.Lattice(scores)
@@ -413,8 +496,8 @@ def test_lattice_sums_all_segmentations():
     for word in (b"", b"a", b"abab", b"baab", b"aabba"):
         assert math.isclose(lattice.log_probability(word), math.log(all_ways(b" " + word)))
         into = Counter()
-        lattice.expect(word, 2.0, into)
-        assert math.isclose(sum(len(p) * x for p, x in into.items()), 2.0 * (len(word) + 1))
+        lattice.expect(word, 2, into)
+        assert math.isclose(sum(len(p) * x for p, x in into.items()) / lm_score.UNIT, 2.0 * (len(word) + 1))
 
 
 def test_scores_with_rare_words_joined(spark, rows, monkeypatch):
