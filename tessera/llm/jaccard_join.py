@@ -47,8 +47,8 @@ COSTLY, ROOM, SENT = 2, 1 << 18, 200_000
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = [f"b{i}" for i in range(8)]
 _BITS = ", ".join(f"{c} long" for c in SKETCH)
-#: Classes of own elements in a band.
-CLASSES = 24
+#: Classes of own elements in a band, where contents are indexed and where one-deletion neighbourhoods are too.
+CLASSES = (6, 3)
 #: A character of a word, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]"
 #: Added to a set's excess, to keep it positive in a packed number.
@@ -105,7 +105,7 @@ class Bands:
     @staticmethod
     def spare(m: int) -> int:
         """Segments beyond those that the pigeonhole needs, for m of these: a few may be empty or costly."""
-        return 1 + m // 32
+        return 1 + m // 8
 
     def of(self, n: int) -> list[tuple[int, int]]:
         """(band, most differing elements) of each band in which a set of n elements may have partners of at most its size."""
@@ -127,7 +127,7 @@ def _plans(n: int, own: int, bands: Bands, level: int) -> list[tuple[int, int, i
     """
     out = []
     for band, most in bands.of(n):
-        width = max(1, -(-(most + 1) // CLASSES)) if level else most + 1
+        width = max(1, -(-(most + 1) // CLASSES[level % 2 == 0])) if level else most + 1
         mine = own // width
         for other in range(most // width - mine + 1):
             rest = most - (mine + other) * width
