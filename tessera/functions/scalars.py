@@ -46,7 +46,7 @@ def truncate_cell(text: Column, width: int) -> Column:
 
 def sanitize_subject(subject: Column, width: int = 80) -> Column:
     """A subject as part of a file name: marks that file systems refuse go, white space becomes one underscore."""
-    clean = F.regexp_replace(F.coalesce(subject, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "")
+    clean = F.regexp_replace(F.coalesce(subject, F.lit("no-subject")), r'[<>:"/\\|?*\x00-\x1f]', "")
     clean = F.substring(F.regexp_replace(F.trim(clean), r"\s+", "_"), 1, width)
     return F.when(clean == "", "no_subject").otherwise(clean)
 
@@ -117,8 +117,21 @@ def retry_delay_ms(attempt: Column, retry_after_ms: Column, base: int = 1000, ca
     return F.least(F.coalesce(retry_after_ms, (F.lit(base) * F.pow(F.lit(2), attempt)).cast("long")) + jitter, F.lit(cap).cast("long"))
 
 
-def retryable(status: Column) -> Column:
-    return status.isin(429, 503, 504)
+#: Codes and parts of texts of network errors.
+NETWORK_CODES = ("ETIMEDOUT", "ECONNRESET", "ECONNREFUSED", "ENOTFOUND", "EPIPE", "EAI_AGAIN", "EHOSTUNREACH", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_SOCKET")
+NETWORK_TEXTS = ("socket hang up", "network request failed", "econnreset", "etimedout", "fetch failed", "terminated", "aborted", "network error", "client network socket disconnected")
+
+
+def retryable(status: Column, code: Column | None = None, message: Column | None = None) -> Column:
+    """A transient status, or a network error by its code or by its text in any case."""
+    out = F.coalesce(status.isin(429, 503, 504), F.lit(False))
+    if code is not None:
+        out |= F.coalesce(code.isin(*NETWORK_CODES), F.lit(False))
+    if message is not None:
+        low = F.lower(message)
+        for part in NETWORK_TEXTS:
+            out |= F.coalesce(low.contains(part), F.lit(False))
+    return out
 
 
 def version_unavailable(status: Column, message: Column) -> Column:
@@ -136,3 +149,42 @@ def target_id(endpoint: Column, region: Column) -> Column:
 
 def content_md5(data: Column) -> Column:
     return F.base64(F.unhex(F.md5(data)))
+
+
+def upload_chunks(n: Column, threshold: int = 3 * 1024 * 1024, chunk: int = 13 * 320 * 1024) -> Column:
+    """Ranges of an attachment's upload: one for a small one, chunks from the threshold on."""
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), (n - 1).cast("long").alias("end")))
+    return F.when(n >= threshold, byte_ranges(n, chunk)).otherwise(whole)
+
+
+def lock_mode(text: Column, default: str | None = None) -> Column:
+    """GOVERNANCE or COMPLIANCE in upper case; the default for none; null for anything else."""
+    up = F.upper(F.trim(text))
+    return F.when(F.coalesce(up, F.lit("")) == "", F.lit(default)).when(up.isin("GOVERNANCE", "COMPLIANCE"), up)
+
+
+def retention_days(text: Column) -> Column:
+    """A positive whole number of days; null for anything else."""
+    n = F.when(text.rlike(r"^\s*[0-9]+\s*$"), F.trim(text).try_cast("int"))
+    return F.when(n > 0, n)
+
+
+def retain_until(at: Column, days: Column) -> Column:
+    """So many days of 86,400 seconds later."""
+    return at + F.make_dt_interval(days.cast("int"))
+
+
+def parse_date(text: Column) -> Column:
+    """Midnight of YYYY-MM-DD; null for anything else."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd").cast("timestamp_ntz"))
+
+
+def item_kind(has_file: Column, has_folder: Column, deleted: Column) -> Column:
+    """Kind of a feed's item by its facets; a deleted item without any is a file."""
+    return F.when(has_file, "file").when(has_folder, "folder").when(deleted, "file").otherwise("folder")
+
+
+def first_errors(errors: Column, most: int = 10) -> tuple[Column, Column]:
+    """The first errors of a list, and '... and N more' for the rest (null if there is none)."""
+    more = F.size(errors) - most
+    return F.slice(errors, 1, most), F.when(more > 0, F.concat(F.lit("... and "), more.cast("string"), F.lit(" more")))

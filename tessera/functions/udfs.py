@@ -19,8 +19,6 @@ class _Text(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style", "head"):
             self.skip += 1
-        elif tag == "br" and not self.skip:
-            self.parts.append("\n")
 
     def handle_endtag(self, tag):
         if tag in ("script", "style", "head"):
@@ -72,14 +70,15 @@ def build_eml(sender: pd.Series, to: pd.Series, subject: pd.Series, date: pd.Ser
 
 def distinct_names(rows: pd.DataFrame) -> pd.DataFrame:
     """File names of one folder made distinct by _1, _2 and so on; names that were made count as taken."""
-    taken, out = set(), []
+    taken, out, last = set(), [], {}
     for name in rows["name"]:
         stem, dot, end = name.rpartition(".")
         stem, end = (stem, dot + end) if dot else (name, "")
-        new, n = name, 0
+        new, n = name, last.get(name, 0)
         while new in taken:
             n += 1
             new = f"{stem}_{n}{end}"
+        last[name] = n
         taken.add(new)
         out.append(new)
     return rows.assign(file_name=out)

@@ -11,31 +11,52 @@ def present(x: Column) -> Column:
 
 
 def change_type(deleted: Column, path: Column, name: Column, etag: Column, pp: Column, pn: Column, pe: Column) -> Column:
-    """What happened to an item, given the previous path, name and etag; null if nothing did."""
+    """What happened to an item, given the previous path, name and etag (null if missing or empty); null if nothing did.
+
+    path and name are the item's own, however empty; an empty etag is to be given as null.
+    """
     return (
         F.when(deleted, "deleted")
         .when(pp.isNull() & pn.isNull() & pe.isNull(), "created")
         .when(pe.isNull() | etag.isNull() | (pe != etag), "updated")
-        .when((pp != path) & (pn != name), "moved_and_renamed")
-        .when(pp != path, "moved")
-        .when(pn != name, "renamed")
+        .when(differs(pp, path) & differs(pn, name), "moved_and_renamed")
+        .when(differs(pp, path), "moved")
+        .when(differs(pn, name), "renamed")
     )
 
 
+def differs(previous: Column, current: Column) -> Column:
+    """A value that was there has changed; an empty or missing new value is a change, a missing previous one isn't."""
+    return previous.isNotNull() & ~previous.eqNullSafe(current)
+
+
 def with_previous(items: DataFrame) -> DataFrame:
-    """Items with the last path, name and etag that an undeleted occurrence before them had."""
+    """Items with the path and name of the last undeleted occurrence before them, null if empty, and the last etag that one had."""
     w = Window.partitionBy("drive_id", "item_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda c: F.last(F.when(~F.col("deleted"), present(F.col(c))), ignorenulls=True).over(w)
-    return items.select("*", *(last(c).alias(f"p_{c}") for c in ("path", "name", "etag")))
+    last = F.last(F.when(~F.col("deleted"), F.struct("path", "name")), ignorenulls=True).over(w)
+    etag = F.last(F.when(~F.col("deleted"), present(F.col("etag"))), ignorenulls=True).over(w)
+    x = items.select("*", last.alias("_last"), etag.alias("p_etag"))
+    return x.select("*", present(F.col("_last.path")).alias("p_path"), present(F.col("_last.name")).alias("p_name")).drop("_last")
 
 
 def changes(items: DataFrame) -> DataFrame:
     """Changed files with their change_type; folders and unchanged files give no row."""
-    x = with_previous(items.where(F.col("kind") == "file"))
-    kind = change_type(F.col("deleted"), present(F.col("path")), present(F.col("name")), present(F.col("etag")), F.col("p_path"), F.col("p_name"), F.col("p_etag"))
+    x = with_previous(items.where(effective_kind(items) == "file") if "kind_before" in items.columns else items.where(F.col("kind") == "file"))
+    kind = change_type(F.col("deleted"), F.col("path"), F.col("name"), present(F.col("etag")), F.col("p_path"), F.col("p_name"), F.col("p_etag"))
     return x.withColumn("change_type", kind).where(F.col("change_type").isNotNull())
 
 
+def effective_kind(items: DataFrame) -> Column:
+    """Kind of an item; a deleted one that is called a file has the kind that is remembered in kind_before, if any."""
+    return F.when(F.col("deleted") & (F.col("kind") == "file"), F.coalesce("kind_before", F.lit("file"))).otherwise(F.col("kind"))
+
+
+def with_kind_before(items: DataFrame) -> DataFrame:
+    """Items with kind_before, the kind of the last undeleted occurrence before them."""
+    w = Window.partitionBy("drive_id", "item_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return items.withColumn("kind_before", F.last(F.when(~F.col("deleted"), F.col("kind")), ignorenulls=True).over(w))
+
+
 def file_state(items: DataFrame) -> DataFrame:
     """State after the feed: last path and name of each file that was ever there, and its last etag. Aggregated before the shuffle."""
     seen = items.where((F.col("kind") == "file") & ~F.col("deleted"))
@@ -62,3 +83,49 @@ def stale_link(link: Column) -> Column:
 
 def sync_mode(force: Column, saved_links: Column) -> Column:
     return F.when(force, "full").when(saved_links > 0, "incremental").otherwise("initial")
+
+
+def needs_full_read(link: Column, processed: Column, folder_total: Column, previous_entries: Column) -> Column:
+    """A saved link that gave nothing for a folder which isn't empty, while the last snapshot was: the feed is stale."""
+    return (F.coalesce(link, F.lit("")) != "") & (processed == 0) & (folder_total > 0) & (previous_entries == 0)
+
+
+def merged_links(saved: Column, new: Column) -> Column:
+    """Delta links by source: the new ones over the saved ones. Needs spark.sql.mapKeyDedupPolicy LAST_WIN, as configure() sets it."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.map_concat(F.coalesce(saved, empty), F.coalesce(new, empty))
+
+
+def link_rows(cursors: DataFrame, by: str) -> DataFrame:
+    """A row for each link of a map of delta links."""
+    return cursors.select(by, F.explode("delta_links").alias("source_id", "delta_link"))
+
+
+def backup_plan(items: DataFrame, stored: DataFrame, failed: Column) -> DataFrame:
+    """Per drive: entries of the new snapshot, files stored and deduplicated, deletions, bytes, and whether a snapshot and the cursor are saved.
+
+    The changes of a drive in which a file failed are dropped whole and its cursor stays; a drive without changes
+    saves its cursor, but no snapshot. stored has the keys that are in the store.
+    """
+    drives = items.groupBy("drive_id").agg(F.bool_or(failed).alias("failed"))
+    x = changes(items.join(drives.where("not failed").select("drive_id"), "drive_id", "left_semi"))
+    # The first change that has a key stores it.
+    first = x.where(F.col("change_type") != "deleted").groupBy("storage_key").agg(F.min(F.struct("ts", "seq")).alias("first"))
+    first = first.join(stored.select("storage_key").distinct(), "storage_key", "left_anti")
+    x = x.join(first, "storage_key", "left")
+    gone = F.col("change_type") == "deleted"
+    new = ~gone & F.coalesce(F.col("first") == F.struct("ts", "seq"), F.lit(False))
+    per = x.groupBy("drive_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(new).alias("stored"), F.count_if(~gone & ~new).alias("deduplicated"), F.count_if(gone).alias("deleted"), F.sum(F.when(~gone, F.col("size_bytes")).otherwise(0)).cast("long").alias("size_bytes"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return drives.join(per, "drive_id", "left").select("drive_id", n("entries"), n("stored"), n("deduplicated"), n("deleted"), n("size_bytes"), (F.coalesce("entries", F.lit(0)) > 0).alias("snapshot"), (~F.col("failed")).alias("cursor_saved"))
+
+
+def version_sync(versions: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
+    """outcome of each source version that the index doesn't know: unavailable, failed, stored (the first of a key that isn't in the store) or deduplicated.
+
+    versions: file_id, version_id, storage_key, status (null, unavailable or failed), seq. A version id may stand under many files.
+    """
+    new = versions.join(known.where(F.coalesce("version_id", F.lit("")) != "").select("file_id", "version_id").distinct(), ["file_id", "version_id"], "left_anti")
+    first = new.where("status is null").groupBy("storage_key").agg(F.min("seq").alias("first")).join(stored.select("storage_key").distinct(), "storage_key", "left_anti")
+    x = new.join(first, "storage_key", "left")
+    return x.withColumn("outcome", F.coalesce("status", F.when(F.col("seq") == F.col("first"), "stored").otherwise("deduplicated"))).drop("first")

@@ -39,3 +39,10 @@ def with_usage(mailboxes: DataFrame, usage: DataFrame, licensed_only: bool = Fal
     """Mailboxes with their usage, null where the report has none."""
     x = mailboxes.where("licensed") if licensed_only else mailboxes
     return x.join(usage, F.lower(x["mail"]) == usage["upn"], "left").drop("upn")
+
+
+def mailboxes(users: DataFrame) -> DataFrame:
+    """Mailboxes of users that have an id and an address: user_id, mail, display_name (the address for none), licensed, exchange_plan_status."""
+    filled = F.col("id").isNotNull() & (F.coalesce("mail", F.lit("")) != "")
+    licensed, status = license_status(F.coalesce("assignedPlans", F.array().cast("array<struct<service:string,status:string>>")))
+    return users.where(filled).select(F.col("id").alias("user_id"), "mail", F.coalesce("displayName", "mail").alias("display_name"), licensed.alias("licensed"), status.alias("exchange_plan_status"))

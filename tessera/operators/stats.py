@@ -45,3 +45,14 @@ def by_folder(snapshots: DataFrame, unknown: str = "unknown") -> DataFrame:
     att = F.aggregate(F.coalesce("e.attachments", F.array().cast("array<struct<size_bytes:bigint>>")), F.lit(0).cast("long"), lambda a, x: a + x["size_bytes"])
     e = e.select(F.coalesce("e.folder_id", F.lit(unknown)).alias("folder_id"), F.lit(1).cast("long").alias("messages"), (F.col("e.size_bytes") + att).alias("size_bytes"), F.coalesce(F.size("e.attachments"), F.lit(0)).cast("long").alias("attachments"), att.alias("attachment_bytes"))
     return e.groupBy("folder_id").agg(*_sums())
+
+
+def owner_detail(heads: DataFrame, entries: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """Per owner: snapshots, entries by folder in the order of their names, snapshots by month; each as one text of few parts."""
+    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda t: F.concat_ws(":", t["name"], t["n"].cast("string"))), ",")
+    folder = F.coalesce("folder_id", F.lit(unknown))
+    by_folder = entries.groupBy("owner_id", folder.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    by_folder = by_folder.groupBy("owner_id").agg(joined(F.struct(F.lower("name").alias("key"), "name", "n")).alias("folders"))
+    by_month = heads.groupBy("owner_id", month_key(F.col("created_at")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    by_month = by_month.groupBy("owner_id").agg(F.sum("n").alias("snapshots"), joined(F.struct("name", "n")).alias("months"))
+    return by_month.join(by_folder, "owner_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def store_plan(blobs: DataFrame, stored: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def dedup_ratio(plan: DataFrame) -> DataFrame:
 
 def verify(entries: DataFrame, objects: DataFrame) -> DataFrame:
     """status of each entry against the stored object under its key: ok, mismatch or missing."""
-    found = objects.select("storage_key", F.col("checksum").alias("stored_checksum"))
+    found = objects.groupBy("storage_key").agg(F.max("checksum").alias("stored_checksum"))
     status = F.when(F.col("stored_checksum").isNull(), "missing").when(F.col("stored_checksum") != F.col("checksum"), "mismatch").otherwise("ok")
     return entries.join(found, "storage_key", "left").withColumn("status", status)
 
@@ -68,6 +68,12 @@ def missing_snapshots(source: DataFrame, target: DataFrame) -> DataFrame:
     return source.join(target.select("snapshot_id"), "snapshot_id", "left_anti")
 
 
+def backlog(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """Snapshots that each target lacks, with their place in the order of copying, the oldest first."""
+    x = wanted.join(there.select("snapshot_id", "target").distinct(), ["snapshot_id", "target"], "left_anti")
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("owner_id", "target").orderBy("created_at", "snapshot_id")).cast("long"))
+
+
 def rehydration_summary(source: DataFrame, primary: DataFrame, objects: DataFrame) -> DataFrame:
     """Per owner: objects restored; a snapshot that is on the primary already adds one to skipped; a label of the number of snapshots."""
     there = primary.select("snapshot_id", F.lit(True).alias("there")).distinct()
@@ -78,7 +84,7 @@ def rehydration_summary(source: DataFrame, primary: DataFrame, objects: DataFram
     return out.withColumn("label", F.concat(F.col("snapshots").cast("string"), F.lit("-snapshots")))
 
 
-#: Parts of error texts that mean a lock kept the object.
+#: Parts of error texts that mean a lock kept the object.
 RETAINED = ("object lock", "retention", "worm protected", "accessdenied", "operationaborted")
 
 

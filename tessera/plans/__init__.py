@@ -1 +1 @@
-"""Named queries and their oracles."""
+"""Named queries with their oracles: single operators (registry) and composed plans (composed)."""

@@ -380,9 +380,9 @@ def eml_messages(spark, sf):
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS plain_sha256, CAST(octet_length(encode(coalesce(text, ''))) + 28 AS BIGINT) AS blob_bytes, true AS tampered_is_null FROM documents")
 def crypto_roundtrip(spark, sf):
-    key = F.lit(crypto.key_of("correct horse", "tenant", n=2**14))
+    keys, key = crypto.key_table(spark, {"tenant": crypto.key_of("correct horse", "tenant", n=2**14)}), F.col("data_key")
     body = F.coalesce("text", F.lit("")).cast("binary")
-    x = adapters.table(spark, sf, "documents").select("doc_id", crypto.encrypt(body, key, F.unhex(F.substring(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), 1, 24))).alias("blob"))
+    x = adapters.table(spark, sf, "documents").withColumn("tenant", F.lit("tenant")).join(keys, "tenant").select("doc_id", "data_key", crypto.encrypt(body, key).alias("blob"))
     bad = F.concat(F.col("blob"), F.lit(b"x"))
     return x.select("doc_id", F.sha2(crypto.decrypt(F.col("blob"), key), 256).alias("plain_sha256"), F.octet_length("blob").cast("long").alias("blob_bytes"), crypto.decrypt(bad, key).isNull().alias("tampered_is_null"))
 

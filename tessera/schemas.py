@@ -7,4 +7,5 @@ ENTRIES = "owner_id bigint, snapshot_id bigint, created_at timestamp_ntz, object
 DELTA_ITEMS = "drive_id bigint, item_id bigint, ts timestamp_ntz, seq bigint, kind string, deleted boolean, path string, name string, etag string"
 #: What a delta item's change can be called, in the order in which the cases are tried.
 CHANGE_TYPES = ("deleted", "created", "updated", "moved_and_renamed", "moved", "renamed")
+#: Folders that are left out of a backup.
 EXCLUDED_FOLDERS = ("drafts", "outbox", "recoverableitemsdeletions", "junkemail")

@@ -15,17 +15,16 @@ STATE = "path string, name string, etag string"
 
 
 def classify(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Classify one item's rows in order; the state is what the last undeleted occurrence left."""
+    """Classify one item's rows in order; the state is the path and name of the last undeleted occurrence, and the last etag of one."""
     path, name, etag = state.get if state.exists else (None, None, None)
     rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
     out = []
     for r in rows.itertuples():
-        new = tuple(x or None for x in (r.path, r.name, r.etag))
         if r.deleted:
             change = "deleted"
         else:
-            change = _change(new, (path, name, etag))
-            path, name, etag = new[0] or path, new[1] or name, new[2] or etag
+            change = _change((r.path, r.name, r.etag or None), (path or None, name or None, etag))
+            path, name, etag = r.path, r.name, r.etag or etag
         if change:
             out.append((key[0], key[1], r.seq, change))
     state.update((path, name, etag))
@@ -37,7 +36,7 @@ def _change(new: tuple, old: tuple) -> str | None:
         return "created"
     if new[2] is None or new[2] != old[2]:
         return "updated"
-    moved, renamed = new[0] != old[0], new[1] != old[1]
+    moved, renamed = (was is not None and was != now for was, now in zip(old[:2], new[:2]))
     return "moved_and_renamed" if moved and renamed else "moved" if moved else "renamed" if renamed else None
 
 
@@ -47,15 +46,28 @@ def changes(items: DataFrame) -> DataFrame:
     return files.groupBy("drive_id", "item_id").applyInPandasWithState(classify, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Classify all events that are there as a stream, into a table of the shared folder, and read it."""
+def run_available(spark: SparkSession, sf_dir: str, name: str, batches: int = 4) -> DataFrame:
+    """Classify all events that are there as a stream, into a table of the shared folder, and read it.
+
+    The events are dealt by time over files, of which each micro-batch takes one. The stream is stopped after the first
+    and started again from its checkpoint, so that the state of later batches is what the earlier ones left.
+    """
     import uuid
 
     from tessera.session import shared_dir
 
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    query = changes(delta_columns(events)).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    schema, order = events.schema, ["ts", "event_id"]
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+    bounds = events.select(at.alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
+    for k in range(batches):
+        low = at >= bounds[k - 1] if k else F.lit(True)
+        high = at < bounds[k] if k < batches - 1 else F.lit(True)
+        part = events.where((low & high) if bounds else F.lit(k == 0))
+        part.sortWithinPartitions(*order).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        if k in (0, batches - 1):
+            source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            query = changes(delta_columns(source)).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{base}/out")
