@@ -17,6 +17,18 @@ def with_totals(snapshots: DataFrame) -> DataFrame:
     return out.select("owner_id", "snapshot_id", "created_at", F.size("entries").cast("long").alias("messages"), (F.col("_t.size") + F.col("_t.att")).alias("size_bytes"), F.col("_t.n").alias("attachments"), F.col("_t.att").alias("attachment_bytes"))
 
 
+def totals(heads: DataFrame, entries: DataFrame) -> DataFrame:
+    """The same from flat rows: entries are summed up by snapshot, combined before the shuffle, and then joined."""
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    per = entries.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.col("size_bytes") + F.col("att_bytes")).alias("size_bytes"), F.sum("att_count").alias("attachments"), F.sum("att_bytes").alias("attachment_bytes"))
+    return heads.join(per, "snapshot_id", "left").select("owner_id", "snapshot_id", "created_at", *map(n, MEASURES))
+
+
+def _totals(snapshots: DataFrame) -> DataFrame:
+    """Totals of snapshots with nested entries; a table that has them is taken as it is."""
+    return with_totals(snapshots) if "entries" in snapshots.columns else snapshots
+
+
 def _sums() -> list[Column]:
     return [F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in MEASURES]
 
@@ -27,16 +39,16 @@ def month_key(at: Column) -> Column:
 
 def monthly(snapshots: DataFrame) -> DataFrame:
     """By month: snapshots (those without entries count) and sums."""
-    return with_totals(snapshots).groupBy(month_key(F.col("created_at")).alias("month")).agg(F.count(F.lit(1)).alias("snapshots"), *_sums())
+    return _totals(snapshots).groupBy(month_key(F.col("created_at")).alias("month")).agg(F.count(F.lit(1)).alias("snapshots"), *_sums())
 
 
 def bucket(snapshots: DataFrame) -> DataFrame:
     """One row for everything."""
-    return with_totals(snapshots).agg(F.count_distinct("owner_id").alias("owners"), F.count(F.lit(1)).alias("snapshots"), *_sums())
+    return _totals(snapshots).agg(F.count_distinct("owner_id").alias("owners"), F.count(F.lit(1)).alias("snapshots"), *_sums())
 
 
 def by_owner(snapshots: DataFrame) -> DataFrame:
-    return with_totals(snapshots).groupBy("owner_id").agg(F.count(F.lit(1)).alias("snapshots"), *_sums())
+    return _totals(snapshots).groupBy("owner_id").agg(F.count(F.lit(1)).alias("snapshots"), *_sums())
 
 
 def by_folder(snapshots: DataFrame, unknown: str = "unknown") -> DataFrame:
@@ -56,3 +68,9 @@ def owner_detail(heads: DataFrame, entries: DataFrame, unknown: str = "unknown")
     by_month = heads.groupBy("owner_id", month_key(F.col("created_at")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     by_month = by_month.groupBy("owner_id").agg(F.sum("n").alias("snapshots"), joined(F.struct("name", "n")).alias("months"))
     return by_month.join(by_folder, "owner_id", "left")
+
+
+def folders_of(entries: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """by_folder from flat entries."""
+    e = entries.select(F.coalesce("folder_id", F.lit(unknown)).alias("folder_id"), F.lit(1).cast("long").alias("messages"), (F.col("size_bytes") + F.col("att_bytes")).alias("size_bytes"), F.col("att_count").alias("attachments"), F.col("att_bytes").alias("attachment_bytes"))
+    return e.groupBy("folder_id").agg(*_sums())

@@ -52,22 +52,22 @@ def query(oracle: str | None = None):
 
 @query(f"WITH {_TOT} SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS snapshots, {_SUMS} FROM tot GROUP BY 1")
 def stats_monthly(spark, sf):
-    return stats.monthly(adapters.snapshots(spark, sf))
+    return stats.monthly(stats.totals(adapters.heads(spark, sf), adapters.entries(spark, sf)))
 
 
 @query(f"WITH {_TOT} SELECT count(DISTINCT owner_id) AS owners, count(*) AS snapshots, {_SUMS} FROM tot")
 def stats_bucket(spark, sf):
-    return stats.bucket(adapters.snapshots(spark, sf))
+    return stats.bucket(stats.totals(adapters.heads(spark, sf), adapters.entries(spark, sf)))
 
 
 @query(f"WITH {_TOT} SELECT owner_id, count(*) AS snapshots, {_SUMS} FROM tot GROUP BY 1")
 def stats_owner(spark, sf):
-    return stats.by_owner(adapters.snapshots(spark, sf))
+    return stats.by_owner(stats.totals(adapters.heads(spark, sf), adapters.entries(spark, sf)))
 
 
 @query(f"WITH {_ENT} SELECT coalesce(folder_id, 'unknown') AS folder_id, count(*) AS messages, CAST(sum(size_bytes + att_bytes) AS BIGINT) AS size_bytes, CAST(sum(att) AS BIGINT) AS attachments, CAST(sum(att_bytes) AS BIGINT) AS attachment_bytes FROM ent JOIN orders ON o_orderkey = snapshot_id GROUP BY 1")
 def stats_folder(spark, sf):
-    return stats.by_folder(adapters.snapshots(spark, sf))
+    return stats.folders_of(adapters.flat_entries(spark, sf))
 
 
 @query(f"WITH {_TOT}, r AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, snapshot_id) AS k FROM tot) SELECT owner_id, count(*) AS snapshots, CAST(max(CASE WHEN k = 1 THEN messages END) AS BIGINT) AS latest_objects, CAST(sum(size_bytes) AS BIGINT) AS total_size_bytes, max(created_at) AS last_backup_at FROM r GROUP BY 1")
@@ -340,7 +340,16 @@ def chunk_plan(spark, sf):
     return x.select("p_partkey", "r.start", "r.end", scalars.chunk_timeout_ms(F.col("n")).alias("timeout_ms"))
 
 
-@query()
+#: Blocks that aren't text, comments, tags; then the entities that pages have, the ampersand last; then ends of lines and white space.
+_TEXT = "html"
+for _tag in ("script", "style", "head"):
+    _TEXT = f"regexp_replace({_TEXT}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', '', 'g')"
+_TEXT = f"regexp_replace(regexp_replace({_TEXT}, '(?s)<!--.*?-->', '', 'g'), '<[!/a-zA-Z][^>]*>', '', 'g')"
+for _entity, _code in (("nbsp", 160), ("copy", 169), ("middot", 183), ("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("amp", 38)):
+    _TEXT = f"regexp_replace({_TEXT}, '&{_entity};?', chr({_code}), 'g')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_TEXT}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS text FROM pages")
 def html_to_text_pages(spark, sf):
     return adapters.table(spark, sf, "pages").select("page_id", udfs.html_to_text("html").alias("text"))
 
@@ -409,7 +418,18 @@ def profile_top_functions(spark, sf):
 def profile_total_time(spark, sf):
     n = F.col("function_id")
     nodes = _functions(spark, sf).select(n.alias("node"), F.when(n > 0, F.floor(n / 16)).alias("parent"), "self_us")
-    return profile.total_time(nodes, 8).select("node", "parent", "total_us")
+    return profile.total_time(nodes).select("node", "parent", "total_us")
+
+
+@query(f"""WITH RECURSIVE {_FUN}, t AS (SELECT function_id AS node, function_id AS place, self_us FROM f UNION ALL SELECT node, place // 16, self_us FROM t WHERE place > 0),
+tot AS (SELECT place AS node, CASE WHEN place > 0 THEN place // 16 END AS parent, CAST(sum(t.self_us) AS BIGINT) AS total_us FROM t GROUP BY 1, 2), heavy AS (SELECT parent AS node, arg_max(node, (total_us, -node)) AS child FROM tot WHERE parent IS NOT NULL GROUP BY 1),
+top AS (SELECT node, total_us FROM tot WHERE parent = 0 ORDER BY total_us DESC, node LIMIT 8), w AS (SELECT node AS start, total_us, node AS here, CAST(node AS VARCHAR) AS path FROM top UNION ALL SELECT start, total_us, child, path || ',' || child FROM w JOIN heavy ON here = heavy.node)
+SELECT start, total_us, path FROM w WHERE here NOT IN (SELECT node FROM heavy)""")
+def profile_hot_paths(spark, sf):
+    n = F.col("function_id")
+    nodes = _functions(spark, sf).select(n.alias("node"), F.when(n > 0, F.floor(n / 16)).alias("parent"), "self_us")
+    x = profile.hot_paths(profile.total_time(nodes))
+    return x.select("start", "total_us", F.array_join(F.transform("path", lambda v: v.cast("string")), ",").alias("path"))
 
 
 @query("SELECT doc_id, 'data/' || lang || '/' || sha256(coalesce(text, '')) AS storage_key, coalesce(lang, '') NOT IN ('', '.', '..') AS valid, CASE WHEN n_chars >= 536870912 THEN 'large' ELSE 'small' END AS route, left(sha256(coalesce(source, '') || '|' || coalesce(lang, '')), 16) AS target FROM documents")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import crypto, scalars, udfs
-from tessera.operators import catalog, cdc, identity, limits, merge, messages, profile, stats, storage
+from tessera.operators import catalog, cdc, identity, limits, manifests, merge, messages, profile, stats, storage
 from tessera.sources import adapters
 from tessera.streaming import cdc_stream
 
@@ -85,13 +85,21 @@ def test_classification_is_the_same_as_a_loop(spark, seed):
 
     draw, rows = random.Random(seed), []
     for seq in range(200):
-        rows.append((draw.randrange(2), draw.randrange(4), dt.datetime(2026, 1, 1) + dt.timedelta(minutes=draw.randrange(60)), seq, "file", draw.random() < 0.2, draw.choice(["/a", "/b"]), draw.choice(["f", "g"]), draw.choice([None, "", "e1", "e2"])))
+        rows.append((draw.randrange(2), draw.randrange(4), dt.datetime(2026, 1, 1) + dt.timedelta(minutes=draw.randrange(60)), seq, "file", draw.random() < 0.2, draw.choice(["/a", "/b", ""]), draw.choice(["f", "g", ""]), draw.choice([None, "", "e1", "e2"])))
     want, state = {}, {}
     for d, i, ts, seq, _, deleted, path, name, etag in sorted(rows, key=lambda r: (r[2], r[3])):
-        old = state.get((d, i), (None, None, None))
-        change = "deleted" if deleted else cdc_stream._change((path, name, etag or None), old)
+        pp, pn, pe = state.get((d, i), (None, None, None))
+        moved, renamed = bool(pp) and pp != path, bool(pn) and pn != name
+        if deleted:
+            change = "deleted"
+        elif not (pp or pn or pe):
+            change = "created"
+        elif not etag or not pe or etag != pe:
+            change = "updated"
+        else:
+            change = "moved_and_renamed" if moved and renamed else "moved" if moved else "renamed" if renamed else None
         if not deleted:
-            state[d, i] = (path, name, etag or old[2])
+            state[d, i] = (path, name, etag or pe)
         if change:
             want[seq] = change
     items = spark.createDataFrame(rows, schemas.DELTA_ITEMS)
@@ -101,11 +109,11 @@ def test_classification_is_the_same_as_a_loop(spark, seed):
 
 
 def test_truth_table(spark):
-    kinds = []
-    for deleted, pp, pn, pe, etag in itertools.product([False, True], [None, "/a", "/b"], [None, "f", "g"], [None, "e"], [None, "e", "x"]):
-        kinds.append((deleted, "/a", "f", etag, pp, pn, pe))
+    """Batch and stream against the rules, with missing and empty values on both sides."""
+    kinds = list(itertools.product([False, True], [None, "", "/a"], [None, "", "f"], [None, "e", "x"], [None, "/a", "/b"], [None, "f", "g"], [None, "e"]))
     df = spark.createDataFrame(kinds, "deleted boolean, path string, name string, etag string, pp string, pn string, pe string")
     for r in df.select("*", cdc.change_type(*(F.col(c) for c in df.columns)).alias("change")).collect():
+        moved, renamed = r.pp is not None and r.pp != r.path, r.pn is not None and r.pn != r.name
         if r.deleted:
             want = "deleted"
         elif r.pp is None and r.pn is None and r.pe is None:
@@ -113,9 +121,9 @@ def test_truth_table(spark):
         elif r.etag is None or r.pe is None or r.etag != r.pe:
             want = "updated"
         else:
-            moved, renamed = r.pp not in (None, "/a"), r.pn not in (None, "f")
             want = "moved_and_renamed" if moved and renamed else "moved" if moved else "renamed" if renamed else None
         assert r.change == want
+        assert r.deleted or cdc_stream._change((r.path, r.name, r.etag), (r.pp, r.pn, r.pe)) == want
 
 
 def test_reset_forgets_files_only(spark):
@@ -163,7 +171,7 @@ def test_encryption(spark):
 
 
 def test_html(spark):
-    cases = {"<p>a</p>\n\n\n\n<p>b</p>": "a\n\nb", "<p>safe</p><script>x()</script><p>also safe</p>": "safealso safe", "word1&nbsp;word2": "word1 word2", "<head><title>t</title></head>x<br>y &amp; z": "x\ny & z", "": ""}
+    cases = {"<p>a</p>\n\n\n\n<p>b</p>": "a\n\nb", "<p>safe</p><script>x()</script><p>also safe</p>": "safealso safe", "word1&nbsp;word2": "word1 word2", "<head><title>t</title></head>x<br>y &amp; z": "xy & z", "<p>before</p><script >evil()</script ><p>after</p>": "beforeafter", "&amp;lt;script&amp;gt;": "&lt;script&gt;", "&#x3c;tag&#62;": "<tag>", '<a title="click > here">link</a>': "link", "   \n\n  ": "", "": ""}
     for html, text in cases.items():
         assert udfs.plain_text(html) == text
     assert udfs.plain_text(None) is None
@@ -199,11 +207,71 @@ def test_preview_and_sanitize(spark):
 
 def test_profile_tree(spark):
     nodes = spark.createDataFrame([(0, None, 1), (1, 0, 2), (2, 0, 3), (3, 1, 10)], "node long, parent long, self_us long")
-    total = profile.total_time(nodes, 3)
+    total = profile.total_time(nodes)
     assert {r.node: r.total_us for r in total.collect()} == {0: 16, 1: 12, 2: 3, 3: 10}
     assert {r.node: r.child for r in profile.hot_children(total).collect()} == {0: 1, 1: 3}
 
 
+def test_hot_paths(spark):
+    nodes = spark.createDataFrame([(0, None, 1), (1, 0, 2), (2, 0, 30), (3, 1, 10), (4, 3, 1), (5, 1, 3)], "node long, parent long, self_us long")
+    assert {r.start: (r.total_us, r.path) for r in profile.hot_paths(profile.total_time(nodes)).collect()} == {1: (16, [1, 3, 4]), 2: (30, [2])}
+    chain = spark.range(200).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(1).cast("long").alias("self_us"))
+    assert {r.node: r.total_us for r in profile.total_time(chain).collect()} == {i: 200 - i for i in range(200)}
+
+
+def test_wrapped_keys(spark):
+    data, n = bytes(range(32)), 2**14
+    blob = crypto.wrap_key(spark, data, "pass", "t", n=n)
+    assert crypto.unwrap_key(spark, blob, "pass", "t") == data and len(blob) == 10 + 28 + 32
+    assert crypto.unwrap_key(spark, blob, "other", "t") is None and crypto.unwrap_key(spark, blob, "pass", "u") is None
+    changed = blob[:9] + bytes([2]) + blob[10:]
+    assert crypto.unwrap_key(spark, changed, "pass", "t") is None
+    for bad in (b"", blob[:20], b"\x02" + blob[1:]):
+        with pytest.raises(ValueError):
+            crypto.parse_wrapped(bad)
+    assert crypto.keys_match(spark, blob, None, "pass", "t") and crypto.keys_match(spark, blob, crypto.wrap_key(spark, data, "pass", "t", n=n), "pass", "t")
+    assert not crypto.keys_match(spark, blob, crypto.wrap_key(spark, data[::-1], "pass", "t", n=n), "pass", "t")
+
+
+def test_small_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(scalars.rate(F.lit(10), F.lit(4.0))) == 2.5 and one(scalars.rate(F.lit(10), F.lit(0.0))) == 0 and one(scalars.eta(F.lit(30), F.lit(10), F.lit(4.0))) == 5
+    assert one(scalars.pad_cell(F.lit("ab"), 4)) == "ab  " and one(scalars.content_md5(F.lit(b"a"))) == "DMF1ucDxtqgxw5niaXcmYQ=="
+    assert one(merge.missing_after_restore(F.lit(5), F.lit(3))) == 2 and one(merge.missing_after_restore(F.lit(3), F.lit(5))) == 0
+    assert one(cdc.stale_link(F.lit("https://x?a=1"))) is True and one(cdc.stale_link(F.lit("x?$select=id"))) is False and one(cdc.stale_link(F.lit(None).cast("string"))) is True
+    kept, more = scalars.first_errors(F.array(*(F.lit(str(i)) for i in range(12))))
+    assert len(one(kept)) == 10 and one(more) == "... and 2 more" and one(scalars.first_errors(F.array(F.lit("a")))[1]) is None
+    pairs = F.array(F.struct(F.lit("N").alias("name"), F.lit("a@x").alias("address")), F.struct(F.lit("").alias("name"), F.lit("b@x").alias("address")))
+    assert one(messages.recipients(pairs)) == "N <a@x>, b@x" and one(messages.recipients(F.lit(None).cast("array<struct<name:string,address:string>>"))) == ""
+    assert one(scalars.sanitize_subject(F.lit(None).cast("string"))) == "no-subject"
+    mixed = spark.createDataFrame([("u1", "U1"), ("u2", "u1")], "owner_id string, other string")
+    assert [r.owner_id for r in manifests.of_owner(mixed, "U1").collect()] == ["u1"] and manifests.of_owner(mixed, "U1", "other").count() == 1
+    versions = spark.createDataFrame([("f", "1", 1), ("f", "2", 2)], "file_id string, version_id string, position int")
+    assert [r.version_id for r in catalog.earlier_versions(versions, False).collect()] == ["2"] and [r.version_id for r in catalog.earlier_versions(versions, True).collect()] == ["2"]
+    boxes = spark.createDataFrame([("A@x", True), ("b@x", False)], "mail string, licensed boolean")
+    usage = spark.createDataFrame([("a@x", 5)], "upn string, items int")
+    assert [(r.mail, r["items"]) for r in identity.with_usage(boxes, usage, True).collect()] == [("A@x", 5)]
+
+
+def test_attachments_and_stored_messages(spark):
+    rows = [("#microsoft.graph.fileAttachment", "a", "aGk=", None), ("#microsoft.graph.fileAttachment", "b", None, 9), ("#microsoft.graph.itemAttachment", "c", "aGk=", 1)]
+    got = messages.file_attachments(spark.createDataFrame(rows, "type string, name string, contentBytes string, size long")).collect()
+    assert [(r.name, bytes(r.content), r.size_bytes) for r in got] == [("a", b"hi", 2), ("b", b"", 9)]
+    m = messages.stored_message(spark.createDataFrame([('{"subject":"é"}',)], "json string")).first()
+    assert (m.subject, m.folder_id, m.size_bytes) == ("é", "", 16)
+
+
+def test_stream_in_batches_equals_batch(spark):
+    """State left by earlier micro-batches, through a restart, gives the changes of one batch."""
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: Counter((r.drive_id, r.item_id, r.seq, r.change_type) for r in df.select("drive_id", "item_id", "seq", "change_type").collect())
+    from tessera.sources import adapters
+
+    assert rows(cdc_stream.run_available(spark, sf, "test-stream", 5)) == rows(cdc.changes(adapters.delta_items(spark, sf)))
+
+
 def test_the_entry_module_works_without_the_corpus_operators(tmp_path):
     import shutil
     import subprocess
