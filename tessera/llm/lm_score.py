@@ -93,7 +93,7 @@ class Lattice:
             for end, piece, score in edges(start):
                 x = score + b[end]
                 if before + x - total > -40:
-                    into[piece] += round(times * math.exp(before + x - total) * UNIT)
+                    into[piece] += int(times * math.exp(before + x - total) * UNIT + 0.5)
                 y = top
                 if y < x:
                     x, y = y, x
@@ -214,11 +214,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     whole = parts.where("copies > 0").select("key", "tokens", "known", "base", "lp", "copies", "id")
     base = F.log10((F.col("c") + 0.5) / F.lit(n_train + 0.5 * (distinct + 1)))
     # Sums of whole numbers, so that reruns agree to the last digit.
-    fine = lambda c: F.round(c * FINE).cast("decimal(38,0)")
-    whole = whole.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("base", "lp")})
+    fine = lambda c: F.round(c * FINE).cast("long")
     rare = parts.where("copies = 0").select("key", "word", "n").join(table.select("word", "c", F.col("lp").alias("each")), "word")
     rare = rare.select("key", F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known"), fine(base * F.col("n")).alias("base"), fine(F.col("each") * F.col("n")).alias("lp"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast(kind).alias("id"))
-    total = whole.unionByName(rare).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "lp", "copies")), F.min("id").alias("id"))
+    # Two parts, so that many copies of a row don't overflow.
+    halves = [x for c in ("base", "lp") for x in (F.sum(F.shiftright(c, 20)).alias(f"{c}_high"), F.sum(F.col(c).bitwiseAND(F.lit((1 << 20) - 1))).alias(f"{c}_low"))]
+    total = whole.unionByName(rare).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "copies")), *halves, F.min("id").alias("id"))
+    total = total.select("*", *((F.col(f"{c}_high") * float(1 << 20) + F.col(f"{c}_low")).alias(c) for c in ("base", "lp")))
     # Rows that are alike have one key; their sums are the row's, times their number.
     per = lambda c: F.col(c).cast("double") / F.col("copies")
     total = total.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 4096))))
