@@ -65,6 +65,31 @@ def test_awkward_rows_and_empty_tables(spark, awkward, empty, name):
     assert queries.QUERIES[name](spark, empty).count() == 0
 
 
+def test_values_of_awkward_rows(spark, awkward):
+    """What the docstrings say of nulls, repeats, ties and clashing columns, by value."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{awkward}/documents.parquet").select("doc_id", "text").collect()]
+    run = lambda name: queries.QUERIES[name](spark, awkward).collect()
+    words = Counter((d, len((t or "").encode().split())) for d, t in rows)
+    assert Counter((r.doc_id, r.n_pretokens) for r in run("op1_token_counts")) == words
+    payload = lambda t: (data := (t or "").encode()) + bytes(-len(data) % 64 if data else 64)
+    want = Counter((d, len((t or "").encode()), hashlib.sha256(payload(t)).hexdigest()) for d, t in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.payload_sha256) for r in run("op2_media_sniffing")) == want
+    mixed = run("op4_cube_mix")
+    assert Counter((r.doc_id, r["size"]) for r in mixed) == Counter((d, len(brute.space_words(t))) for d, t in rows)
+    assert all(r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0) for r in mixed)
+    named = [(d, t) for d, t in rows if d is not None]
+    want = brute.classes(named)
+    got = run("op5_jaccard_classes")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {(d, *want[d]) for d, _ in named}
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(1, None)]
+    assert {r.doc_id for r in run("op6_language_mixture") if r.lang_pred == "und"} == {d for d, t in rows if not any(c.isalpha() for c in t or "")}
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in run("op7_secret_ledger")}[12] == (1, 0, 0)
+    assert Counter((r.doc_id, r.n_tokens) for r in run("op8_lattice_score")) == Counter((d, len(brute.space_words(t)) + 1) for d, t in rows)
+    audit = Counter((r.page_id, r.status) for r in run("op9_merkle_audit"))
+    assert audit == {(1, "ok"): 1, (2, "ok"): 2, (None, "ok"): 1, (13, "changed"): 1}
+    assert {r.n_matches for r in run("op10_patience_licenses")} == {0}
+
+
 def test_token_counts_are_those_of_the_best_segmentation(spark, docs, rows):
     scores = vocab.load()
     longest = max(map(len, scores))

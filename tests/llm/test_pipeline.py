@@ -1,4 +1,7 @@
-"""The pipeline against brute force on a small table."""
+"""The pipeline against brute force on a small table, and on awkward and empty ones."""
+
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
@@ -47,3 +50,32 @@ def test_near_duplicates_of_five_words_and_80_percent(spark):
     want = {c for _, c in brute.classes(rows, 5, 80).values()}
     assert want == {0, 2, 3, 4} and want != {c for _, c in brute.classes(rows).values()}
     assert {r.doc_id for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize("repeat", [0, 2])
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path, repeat):
+    """Nulls in any column, repeated rows, shared ids, a long text and a clashing column; and no rows at all."""
+    passage = " ".join(f"bench{i}" for i in range(20))
+    other = lambda name: " ".join(f"{name}{i} le" for i in range(30))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34", "en", "a", 5), (4, other("un"), "fr", None, 9), (4, other("un"), "fr", None, 9), (4, other("deux"), "fr", "b", 9),
+        (None, other("trois"), None, "b", 9), (None, other("quatre"), "fr", "b", None), (5, passage, "fr", "b", 9), (6, "password=abcdefgh1 " + other("cinq"), "fr", "c", 9), (7, other("six") + " mot" * 50_000, "fr", "c", 9),
+    ]
+    docs = spark.createDataFrame(rows * repeat, "doc_id long, text string, lang string, source string, n_chars long").withColumn("unit", F.lit("clash"))
+    spark.createDataFrame([(1, passage), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, str(tmp_path)), "test-stage")
+        kept = [(r.doc_id, r.text) for r in docs.collect()]
+        if not repeat:
+            assert kept == []
+        elif name == "language_id":
+            assert sorted(t for _, t in kept) == sorted(t for _, t, *_ in rows * repeat if t and any(c.isalpha() for c in t))
+        elif name == "near_duplicates":
+            assert sorted((str(d), t) for d, t in kept) == sorted({(str(d), t) for d, t, *_ in rows if t and any(c.isalpha() for c in t)})
+        elif name == "decontamination":
+            assert len(kept) == 6 and all(t != passage for _, t in kept)
+        elif name == "secrets":
+            assert [t for d, t in kept if d == 6] == ["[SECRET] " + other("cinq")] and len(kept) == 6
+        assert [c for c in docs.columns if c != "copies"] == [c for c in columns if c != "unit" or name != "mixing"]
