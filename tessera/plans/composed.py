@@ -299,3 +299,57 @@ def user_mailboxes(spark, sf):
     plan = F.array(F.struct(F.lit("exchange").alias("service"), F.when(c % 4 != 1, "Enabled").otherwise("Deleted").alias("status")))
     users = adapters.table(spark, sf, "customer").select(F.when(c % 9 != 1, c).alias("id"), F.when(c % 6 != 0, F.concat(F.lit("User"), c.cast("string"), F.lit("@x.org"))).alias("mail"), F.when(c % 4 != 0, F.concat(F.lit("Name "), c.cast("string"))).alias("displayName"), plan.alias("assignedPlans"))
     return identity.mailboxes(users).select("user_id", "mail", "display_name", "licensed")
+
+
+@query(f"WITH {_ITEMS}, v AS (SELECT *, row_number() OVER (PARTITION BY drive_id, item_id ORDER BY ts, seq) AS version FROM items WHERE kind = 'file' AND NOT deleted) SELECT drive_id, item_id, CAST(version AS VARCHAR) AS version_id, path || '/' || name AS logical_path FROM v WHERE version <> 1")
+def library_versions(spark, sf):
+    """Versions of a library's files without the one that is named 1, with their logical paths."""
+    v = catalog.version_history(adapters.delta_items(spark, sf)).withColumn("version_id", F.col("version").cast("string"))
+    return catalog.earlier_versions(v, False).select("drive_id", "item_id", "version_id", scalars.logical_path(F.col("path"), F.col("name")).alias("logical_path"))
+
+
+def _moves(spark, sf):
+    from tessera.plans.registry import _identities
+
+    o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    key = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws("/", F.lit("data"), c.cast("string"), o)).otherwise(F.concat(F.lit("data/User"), (c % 60).cast("string"), F.lit("@example.com/"), o))
+    return storage.migrate_keys(adapters.table(spark, sf, "orders").select(key.alias("key")), _identities(spark, sf))
+
+
+@query("SELECT count(*) AS scanned, count(*) FILTER (o_custkey % 60 < 50 AND o_orderkey % 20 <> 11) AS migrated, count(*) FILTER (o_custkey % 60 < 50 AND o_orderkey % 20 = 11) AS failed, count(DISTINCT o_custkey % 60) AS emails FROM orders WHERE o_orderkey % 3 <> 0")
+def migration_summary(spark, sf):
+    failed = F.regexp_extract("key", r"/(\d+)$", 1).cast("long") % 20 == 11
+    return restore.migration_summary(_moves(spark, sf), failed)
+
+
+@query("SELECT DISTINCT 'user' || (o_custkey % 60) || '@example.com' AS email FROM orders WHERE o_orderkey % 3 <> 0")
+def legacy_owners(spark, sf):
+    return _moves(spark, sf).select("email").distinct()
+
+
+@query("WITH e AS (SELECT c_nationkey AS nation, list('error ' || c_custkey ORDER BY c_custkey) AS errors FROM customer GROUP BY 1) SELECT nation, array_to_string(errors[1:10], ';') AS first, CASE WHEN len(errors) > 10 THEN '... and ' || (len(errors) - 10) || ' more' END AS more FROM e")
+def error_lists(spark, sf):
+    x = adapters.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
+    first, more = scalars.first_errors(F.transform("keys", lambda k: F.concat(F.lit("error "), k.cast("string"))))
+    return x.select("nation", F.array_join(first, ";").alias("first"), more.alias("more"))
+
+
+@query("WITH ident AS (SELECT 'user' || (c_custkey % 50) || '@example.com' AS email, c_custkey AS object_id, c_custkey AS seq FROM customer), r AS (SELECT *, CASE WHEN lead(object_id) OVER (PARTITION BY email ORDER BY seq) IS NULL THEN 'active' ELSE 'recycled' END AS status FROM ident) SELECT email, object_id, status, row_number() OVER (PARTITION BY c ORDER BY status, email, seq) AS place FROM (SELECT *, left(email, 5) AS c FROM r)")
+def identity_listing(spark, sf):
+    """Identities in the order of a listing: active ones first, then by address, within groups of addresses that begin alike."""
+    from pyspark.sql import Window
+
+    from tessera.operators import identity
+    from tessera.plans.registry import _identities
+
+    w = Window.partitionBy(F.substring("email", 1, 5)).orderBy("status", "email", "seq")
+    return identity.registry(_identities(spark, sf)).select("email", "object_id", "status", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(f"""WITH {_ENT}, {_SNAP}, per AS (SELECT snapshot_id, count(*) AS n, CAST(sum(size_bytes + att_bytes) AS BIGINT) AS b, count(DISTINCT coalesce(folder_id, '__unknown__')) AS f FROM ent GROUP BY 1)
+SELECT owner_id, snapshot_id, greatest(coalesce(n, 0), snapshot_id % 9) AS total_objects, coalesce(b, 0) AS total_size_bytes, coalesce(f, 0) AS folders, CASE WHEN coalesce(n, 0) = 0 THEN 'cursor only' ELSE 'snapshot' END AS saved FROM snap LEFT JOIN per USING (snapshot_id)""")
+def backup_mailbox_totals(spark, sf):
+    """What a mailbox backup saves: totals that never fall below those of before, distinct folders, and no snapshot without entries."""
+    built = manifests.build(adapters.snapshots(spark, sf), F.col("snapshot_id") % 9)
+    folders = F.size(F.array_distinct(F.transform("entries", lambda e: F.coalesce(e["folder_id"], F.lit("__unknown__"))))).cast("long")
+    return built.select("owner_id", "snapshot_id", "total_objects", "total_size_bytes", folders.alias("folders"), F.when(F.size("entries") == 0, "cursor only").otherwise("snapshot").alias("saved"))
