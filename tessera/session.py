@@ -61,10 +61,12 @@ def drop(*tables: DataFrame) -> None:
         _delete(df.sparkSession, [p for p in [df.cut_path] if p in _tables])
 
 
-def release(docs: DataFrame) -> None:
-    """Delete all tables that cut() has written, save those that docs reads.
+def written() -> list[str]:
+    """Paths of the tables that are there, in the order in which they were written."""
+    return list(_tables)
 
-    For the start of a job whose input has been written: frames that were made before, but not yet read, are lost.
-    """
+
+def release(spark: SparkSession, paths: Iterable[str], docs: DataFrame) -> None:
+    """Delete those of the tables under paths that are there and that docs doesn't read: frames that read them are lost."""
     read = docs.inputFiles()
-    _delete(docs.sparkSession, [p for p in list(_tables) if not any(p.rpartition("/")[2] in f for f in read)])
+    _delete(spark, [p for p in paths if p in _tables and not any(p.rpartition("/")[2] in f for f in read)])
