@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hooks every node to its least neighbour, follows the hooks to their ends, and contracts the
     links. A round at least halves the nodes that still have links, so the rounds grow with the logarithm
-    of the links. All state is in tables of the shared folder. Loops and repeated links do no harm.
+    of the links. All state is in tables of the shared folder. Loops and
+    repeated links do no harm; links with a null end are passed over; no links give no rows.
     """
     links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
     roots = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node"))
