@@ -356,7 +356,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
 def _allocate(sets: DataFrame, crowd: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Index the sets of a crowd anew, without their own elements: (key, place, set of sets under keys that others have too; set, excess, own)."""
     mine = cut(sets.select("set", "n", "grams").join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
-    once = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long").groupBy("element").agg(F.count(F.lit(1)).alias("sets"), F.min("set").alias("set")).where("sets = 1")
+    once = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long, times long").groupBy("element").agg(F.sum("times").alias("sets"), F.min("set").alias("set")).where("sets = 1")
     own = once.groupBy("set").agg(F.collect_list("element").alias("mine"))
     owned = cut(mine.join(own, "set", "left").withColumn("own", F.coalesce(F.size("mine"), F.lit(0)).cast("long")), "jaccard-owned")
     index = owned.join(_open(owned, percent), "set", "left_semi").select("set", "n", "grams", "mine").mapInArrow(_index_sets(percent, level), f"key long, set long, info long, name binary, {_BITS}")
@@ -453,11 +453,13 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
 
 
 def _elements(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, grams) to a row for each element."""
+    """(set, grams) to each element of a batch once, with the number of its sets there and one of them."""
     for batch in batches:
         grams = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
         if grams:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(grams)), [len(x) for x in grams]))), pa.array(np.concatenate(grams))], names=["set", "element"])
+            element, first, times = np.unique(np.concatenate(grams), return_index=True, return_counts=True)
+            owner = np.repeat(np.arange(len(grams)), [len(x) for x in grams])[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(element), pa.array(times)], names=["set", "element", "times"])
 
 
 def op5_jaccard_classes(spark, sf_dir: str) -> DataFrame:
