@@ -17,8 +17,9 @@ and number of a partner suits them are done with. The others' rests are indexed
 elements, with as few segments as that smaller bound needs: the more a set is edited, the larger its segments
 become, until nobody shares them. Every other level also halves the number of segments and indexes one-deletion
 neighbourhoods, so that segments that differ in one element meet too. Levels follow each other, with other
-segments and smaller crowds, while they at least halve the sets that wait; if one doesn't, what is left under its
-costly keys is compared within the bounds.
+segments and smaller crowds, while they at least halve the sets that wait, and at most LEVELS of them. What waits
+then, such as sets with fewer elements than segments, is settled by rare elements: the elements of a set that others have too are put in one order, rarest
+first; similar sets have one of the first few in common, as many as a set may lose and stay similar, and one more. No set waits after that.
 
 Documents with equal sets are one set. Rows are never paired with rows, and no group is gathered in one place:
 the groups of a key are streamed from sorted partitions, to which each task sends a set once.
@@ -44,6 +45,8 @@ from tessera.session import cut, drop
 
 #: A key is costly if more sets than this are apart from its hub's class, and these times its sets are more than ROOM; sets that a task remembers to have sent.
 COSTLY, ROOM, SENT = 2, 1 << 18, 200_000
+#: Levels of segments, before what still waits is settled by rare elements.
+LEVELS = 8
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = [f"b{i}" for i in range(8)]
 _BITS = ", ".join(f"{c} long" for c in SKETCH)
@@ -337,15 +340,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     named = cut(keys.join(needed.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
     drop(keys)
     over = needed.select("set", "excess", F.lit(0).cast("long").alias("own")).join(sets.select("set", *SKETCH), "set")
-    keys, links, level, before = named, None, 0, None
+    keys, links, level, before, last = named, None, 0, None, False
     while True:
-        new, over, waiting = _settle(keys, over, sets, percent, links, before)
+        new, over, waiting = _settle(keys, over, sets, percent, links, last)
         links = new if links is None else cut(links.unionByName(new), "jaccard-links")
         drop(keys)
         if not waiting:
             break
+        last = level == LEVELS or before is not None and 2 * waiting > before
         level, before = level + 1, waiting
-        keys, over = _allocate(sets, over, percent, level)
+        keys, over = _by_rare_elements(sets, over, percent) if last else _allocate(sets, over, percent, level)
 
     drop(sets)
     roots = components(links)
@@ -370,6 +374,43 @@ def _allocate(sets: DataFrame, crowd: DataFrame, percent: int, level: int) -> tu
     return keys, over.drop("handle")
 
 
+def _by_rare_elements(sets: DataFrame, crowd: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Index the sets of a crowd by their rarest elements, as _allocate does by segments: (key, place, set; set, excess, own, sketch).
+
+    A set of n elements has percent of them in common with a partner at least. Of its elements that others of the crowd
+    have, r in number and in one order for all sets, the first that both have is among the first r + 1 less those.
+    """
+    mine = cut(sets.select("set", "n", "grams").join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
+    counts = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long, times long").groupBy("element").agg(F.sum("times").alias("sets")).where("sets > 1")
+    held = mine.select("set", "n", "grams").mapInArrow(_each, "set binary, n long, element long").join(counts, "element")
+    held = held.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "element"))).alias("held"))
+    first = F.size("held") + 1 - F.ceil(F.col("n") * percent / 100).cast("int")
+    held = cut(held.select("set", "n", "held", first.alias("first")).where("first > 0"), "jaccard-held")
+    keys = cut(held.select(F.explode(F.slice("held.element", F.lit(1), F.col("first"))).alias("key"), F.lit(0).cast("long").alias("place"), "set"), "jaccard-keys")
+    own = (F.col("n") - F.size("held")).cast("long")
+    over = held.select("set", F.lit(-BIAS).cast("long").alias("excess"), own.alias("own"), F.col("held.element").alias("rest"))
+    over = cut(over.mapInArrow(_with_sketch, f"set binary, excess long, own long, {_BITS}"), "jaccard-over")
+    drop(mine, held)
+    return keys, over
+
+
+def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, n, grams) to a row for each element."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            grams = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(grams))], names=["set", "n", "element"])
+
+
+def _with_sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, excess, own, rest: elements) to set, excess, own and the sketch of the rest."""
+    for batch in batches:
+        bits = np.array([sketch(np.array(x, np.int64).astype(np.uint64)) for x in batch.column(3).to_pylist()], np.int64).reshape(-1, len(SKETCH)).T
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in bits)], names=["set", "excess", "own", *SKETCH])
+
+
 def _open(owned: DataFrame, percent: int) -> DataFrame:
     """The sets of a crowd that may have a partner in it, by size and own elements.
 
@@ -400,11 +441,10 @@ def _sets(n: int):
     return run
 
 
-def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, before: int | None) -> tuple[DataFrame, DataFrame, int]:
+def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame, int]:
     """Links that the keys of one level show, the sets that the next level must look at, and their number.
 
-    over has the excess and number of own elements of each set. before is the number that this level was to look at;
-    unless it is halved, the sets under costly keys are compared too, and only sets with an excess go on.
+    over has the excess and number of own elements of each set. On the last level no key is skipped, and no set goes on.
     """
     degree = keys.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
     hubs = keys.join(degree, "set").groupBy("key").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
@@ -420,7 +460,7 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     stars = cut(stars.select("hub", "set", "new", "gone", "root", "apart"), "jaccard-apart")
     under = placed.join(stars, ["hub", "set"])
     odd = cut(under.groupBy("key").agg(F.count_if("apart").alias("odd"), F.count(F.lit(1)).alias("size")).where("odd > 0"), "jaccard-odd")
-    dear = (F.col("odd") > COSTLY) & (F.col("odd") * F.col("size") > ROOM)
+    dear = F.lit(False) if last else (F.col("odd") > COSTLY) & (F.col("odd") * F.col("size") > ROOM)
     costly = odd.where(dear).select("key")
     # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
     hard = placed.join(costly, "key", "left_semi").select("set", "place").distinct()
@@ -429,9 +469,6 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     pending = cut(pending, "jaccard-pending")
     waiting = pending.count()
     cheap = odd.where(~dear).select("key")
-    if before is not None and 2 * waiting > before:
-        cheap, pending = odd.select("key"), pending.where("excess > 0")
-        waiting = pending.count()
 
     # One of each pair is apart from the hub's class; the hub itself has been compared with all.
     rest = under.join(cheap, "key", "left_semi").join(over.select("set", "own", *SKETCH), "set").join(sets.select("set", "n"), "set")

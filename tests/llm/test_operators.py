@@ -57,9 +57,9 @@ def empty(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in queries.QUERIES if not q.startswith("op12")))
 def test_awkward_rows_and_empty_tables(spark, awkward, empty, name):
-    table = "pages" if name.startswith("op9") else "documents"
+    table = "pages" if name.startswith(("op9", "op13")) else "documents"
     there = spark.read.parquet(f"{awkward}/{table}.parquet").count()
     assert queries.QUERIES[name](spark, awkward).count() == there
     assert queries.QUERIES[name](spark, empty).count() == 0
@@ -272,7 +272,7 @@ def test_blocks_and_levels(spark, docs, monkeypatch):
     assert sum(abs(r.taken - r.target) for r in out) < 0.05 * sum(r.target for r in out)
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 60)])
+@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 60), (2, 50)])
 def test_classes(spark, docs, rows, n, percent):
     got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(docs, n=n, percent=percent).collect()}
     assert got == brute.classes(rows, n, percent)
