@@ -66,19 +66,3 @@ def build_eml(sender: pd.Series, to: pd.Series, subject: pd.Series, date: pd.Ser
         return m.as_string()
 
     return pd.Series([one(*x) for x in zip(sender, to, subject, date, message_id, body)])
-
-
-def distinct_names(rows: pd.DataFrame) -> pd.DataFrame:
-    """File names of one folder made distinct by _1, _2 and so on; names that were made count as taken."""
-    taken, out, last = set(), [], {}
-    for name in rows["name"]:
-        stem, dot, end = name.rpartition(".")
-        stem, end = (stem, dot + end) if dot else (name, "")
-        new, n = name, last.get(name, 0)
-        while new in taken:
-            n += 1
-            new = f"{stem}_{n}{end}"
-        last[name] = n
-        taken.add(new)
-        out.append(new)
-    return rows.assign(file_name=out)

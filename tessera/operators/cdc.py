@@ -30,18 +30,18 @@ def differs(previous: Column, current: Column) -> Column:
     return previous.isNotNull() & ~previous.eqNullSafe(current)
 
 
-def with_previous(items: DataFrame) -> DataFrame:
-    """Items with the path and name of the last undeleted occurrence before them, null if empty, and the last etag that one had."""
-    w = Window.partitionBy("drive_id", "item_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+def with_previous(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Items with the path and name of the last undeleted occurrence before them, null if empty, and the last etag that one had. by: more columns that an item's state belongs to."""
+    w = Window.partitionBy("drive_id", "item_id", *(by or [])).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(~F.col("deleted"), F.struct("path", "name")), ignorenulls=True).over(w)
     etag = F.last(F.when(~F.col("deleted"), present(F.col("etag"))), ignorenulls=True).over(w)
     x = items.select("*", last.alias("_last"), etag.alias("p_etag"))
     return x.select("*", present(F.col("_last.path")).alias("p_path"), present(F.col("_last.name")).alias("p_name")).drop("_last")
 
 
-def changes(items: DataFrame) -> DataFrame:
-    """Changed files with their change_type; folders and unchanged files give no row."""
-    x = with_previous(items.where(effective_kind(items) == "file") if "kind_before" in items.columns else items.where(F.col("kind") == "file"))
+def changes(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Changed files with their change_type; folders and unchanged files give no row. by: columns such as an epoch, in each of which files start anew."""
+    x = with_previous(items.where(effective_kind(items) == "file") if "kind_before" in items.columns else items.where(F.col("kind") == "file"), by)
     kind = change_type(F.col("deleted"), F.col("path"), F.col("name"), present(F.col("etag")), F.col("p_path"), F.col("p_name"), F.col("p_etag"))
     return x.withColumn("change_type", kind).where(F.col("change_type").isNotNull())
 
@@ -105,7 +105,8 @@ def backup_plan(items: DataFrame, stored: DataFrame, failed: Column) -> DataFram
     """Per drive: entries of the new snapshot, files stored and deduplicated, deletions, bytes, and whether a snapshot and the cursor are saved.
 
     The changes of a drive in which a file failed are dropped whole and its cursor stays; a drive without changes
-    saves its cursor, but no snapshot. stored has the keys that are in the store.
+    saves its cursor, but no snapshot. stored has the keys that are in the store. Entries of deleted files count in entries
+    and bytes, as they are entries of the snapshot with a size of their own.
     """
     drives = items.groupBy("drive_id").agg(F.bool_or(failed).alias("failed"))
     x = changes(items.join(drives.where("not failed").select("drive_id"), "drive_id", "left_semi"))
@@ -115,7 +116,7 @@ def backup_plan(items: DataFrame, stored: DataFrame, failed: Column) -> DataFram
     x = x.join(first, "storage_key", "left")
     gone = F.col("change_type") == "deleted"
     new = ~gone & F.coalesce(F.col("first") == F.struct("ts", "seq"), F.lit(False))
-    per = x.groupBy("drive_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(new).alias("stored"), F.count_if(~gone & ~new).alias("deduplicated"), F.count_if(gone).alias("deleted"), F.sum(F.when(~gone, F.col("size_bytes")).otherwise(0)).cast("long").alias("size_bytes"))
+    per = x.groupBy("drive_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(new).alias("stored"), F.count_if(~gone & ~new).alias("deduplicated"), F.count_if(gone).alias("deleted"), F.sum("size_bytes").cast("long").alias("size_bytes"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return drives.join(per, "drive_id", "left").select("drive_id", n("entries"), n("stored"), n("deduplicated"), n("deleted"), n("size_bytes"), (F.coalesce("entries", F.lit(0)) > 0).alias("snapshot"), (~F.col("failed")).alias("cursor_saved"))
 

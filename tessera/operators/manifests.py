@@ -32,6 +32,16 @@ def encode(built: DataFrame, key: Column, prefix: str = "manifests/") -> DataFra
     return built.select(document_key(F.col("owner_id"), F.col("snapshot_id"), prefix).alias("key"), crypto.encrypt(F.to_json(document).cast("binary"), key).alias("body"))
 
 
+def save(built: DataFrame, key: Column, root: str, prefix: str = "manifests/", damaged: Column | None = None) -> None:
+    """Write each snapshot's encrypted document under its key in a store. damaged (of column key): documents to which a byte is added, as a test needs them."""
+    from tessera.sources import object_store
+
+    x = encode(built, key, prefix)
+    if damaged is not None:
+        x = x.withColumn("body", F.when(damaged, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")))
+    object_store.put(x, root)
+
+
 def decode(store: DataFrame, key: Column, prefix: str = "manifests/") -> DataFrame:
     """The snapshots under a prefix; what can't be decrypted or parsed is left out. Columns: key and those of the document."""
     text = crypto.decrypt(F.col("body"), key).cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Fields that can be written back.
 WRITABLE = (
@@ -71,20 +71,7 @@ def preview(kind: Column, content: Column, text_of_html: Column) -> Column:
 
 
 def archive_names(messages: DataFrame) -> DataFrame:
-    """Distinct file names of messages in their folders (columns folder_id, ordinal, name): the first keeps its name, later ones get _1, _2 and so on.
+    """Distinct file names of messages in their folders (columns folder_id, ordinal, name, file_name)."""
+    from tessera.operators.names import distinct_names
 
-    Equal names are numbered by a window, so that no folder is gathered. Only names that themselves end like a numbered
-    one can clash with that; folders that hold such names are numbered one after the other.
-    """
-    from tessera.functions.udfs import distinct_names
-
-    stem = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1)
-    end = F.coalesce(F.regexp_extract("name", r"^(.*)(\.[^.]*)$", 2), F.lit(""))
-    rows = messages.select("folder_id", "ordinal", "name", (F.row_number().over(Window.partitionBy("folder_id", "name").orderBy("ordinal")) - 1).alias("_n"))
-    numbered = rows.select("folder_id", "ordinal", "name", F.when(F.col("_n") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), end)).alias("file_name"))
-    # A name is taken twice only if a numbered one equals another's own.
-    suspect = messages.where(F.col("name").rlike(r"_[0-9]+(\.[^.]*)?$")).select("folder_id", F.regexp_replace("name", r"_[0-9]+(\.[^.]*)?$", "$1").alias("name")).distinct()
-    clash = messages.join(suspect, ["folder_id", "name"], "left_semi").select("folder_id").distinct()
-    schema = messages.select("folder_id", "ordinal", "name", F.col("name").alias("file_name")).schema
-    few = messages.join(clash, "folder_id", "left_semi").select("folder_id", "ordinal", "name").groupBy("folder_id").applyInPandas(lambda rows: distinct_names(rows.sort_values("ordinal")), schema)
-    return numbered.join(clash, "folder_id", "left_anti").unionByName(few)
+    return distinct_names(messages.select("folder_id", "ordinal", "name"))

@@ -74,3 +74,22 @@ def folders_of(entries: DataFrame, unknown: str = "unknown") -> DataFrame:
     """by_folder from flat entries."""
     e = entries.select(F.coalesce("folder_id", F.lit(unknown)).alias("folder_id"), F.lit(1).cast("long").alias("messages"), (F.col("size_bytes") + F.col("att_bytes")).alias("size_bytes"), F.col("att_count").alias("attachments"), F.col("att_bytes").alias("attachment_bytes"))
     return e.groupBy("folder_id").agg(*_sums())
+
+
+def mailbox(heads: DataFrame, entries: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """Each owner's statistics at three grains in one table: grain (owner, folder or month), owner_id, name (of the folder or month), snapshots, and all measures.
+
+    One aggregate over grouping sets: entries and snapshots are rows of one union, so they are shuffled once. A folder
+    has no number of snapshots; snapshots without entries count for their owner and month. folder_id null is `unknown`.
+    """
+    none = F.lit(None).cast("string")
+    zero = [F.lit(0).cast("long").alias(m) for m in ("entry", *MEASURES[1:])]
+    snap = heads.select("owner_id", month_key(F.col("created_at")).alias("month"), none.alias("folder"), F.lit(1).cast("long").alias("snapshot"), *zero)
+    size = (F.col("size_bytes") + F.col("att_bytes")).alias("size_bytes")
+    ent = entries.select("owner_id", month_key(F.col("created_at")).alias("month"), F.coalesce("folder_id", F.lit(unknown)).alias("folder"), F.lit(0).cast("long").alias("snapshot"), F.lit(1).cast("long").alias("entry"), size, F.col("att_count").alias("attachments"), F.col("att_bytes").alias("attachment_bytes"))
+    x = snap.unionAll(ent).groupingSets([["owner_id"], ["owner_id", "folder"], ["owner_id", "month"]], "owner_id", "folder", "month")
+    x = x.agg(F.grouping("folder").alias("_f"), F.grouping("month").alias("_m"), F.sum("snapshot").alias("snapshots"), F.sum("entry").alias("messages"), *(F.sum(m).alias(m) for m in MEASURES[1:]))
+    grain = F.when(F.col("_f") == 0, "folder").when(F.col("_m") == 0, "month").otherwise("owner")
+    # Snapshots are in no folder: they make a group of their own there, which goes.
+    x = x.where((F.col("_f") == 1) | F.col("folder").isNotNull())
+    return x.select(grain.alias("grain"), "owner_id", F.coalesce("folder", "month").alias("name"), F.when(F.col("_f") == 1, F.col("snapshots")).alias("snapshots"), *MEASURES)

@@ -3,43 +3,59 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.functions import crypto, scalars
 from tessera.operators import catalog, cdc, manifests, messages, restore, scopes, stats, storage
 from tessera.plans.registry import _CHG, _ENT, _ITEMS, _MERGED, _SNAP, _TOT, query
-from tessera.sources import adapters
+from tessera.session import shared_dir
+from tessera.sources import adapters, object_store
 
 _T0 = dt.datetime(2026, 1, 1)
 
 
 def _store(spark, sf):
-    """A store of encrypted snapshot documents, some of which are damaged, with its tenant's key as a column."""
+    """The root of a store of encrypted snapshot documents under their keys, some of which are damaged, and its tenant's key as a table."""
     keys = crypto.key_table(spark, {"tenant": crypto.key_of("correct horse", "tenant", n=2**14)})
     built = manifests.build(adapters.snapshots(spark, sf)).withColumn("tenant", F.lit("tenant")).join(keys, "tenant")
-    store = manifests.encode(built, F.col("data_key"))
+    root = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
     damaged = F.regexp_extract("key", r"/(\d+)\.json$", 1).cast("long") % 13 == 0
-    store = store.withColumn("body", F.when(damaged, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")))
-    return store.withColumn("tenant", F.lit("tenant")).join(keys, "tenant")
+    manifests.save(built, F.col("data_key"), root, damaged=damaged)
+    return root, keys
+
+
+def _opened(objects, keys):
+    """Objects with the key that opens them."""
+    return objects.withColumn("tenant", F.lit("tenant")).join(keys, "tenant")
 
 
 @query(f"WITH {_TOT} SELECT 'manifests/' || owner_id || '/' || snapshot_id || '.json' AS key, owner_id, snapshot_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS created_at, messages AS total_objects, CAST(size_bytes AS BIGINT) AS total_size_bytes, CAST(messages AS BIGINT) AS entries FROM tot WHERE snapshot_id % 13 <> 0")
 def manifest_roundtrip(spark, sf):
-    x = manifests.decode(_store(spark, sf), F.col("data_key"))
+    """All documents of a store that was written: listed by prefix, read in partitions, decrypted; damaged ones are passed over."""
+    root, keys = _store(spark, sf)
+    x = manifests.decode(_opened(object_store.objects(spark, root, "manifests/"), keys), F.col("data_key"))
     return x.select("key", "owner_id", "snapshot_id", "created_at", "total_objects", "total_size_bytes", F.size("entries").cast("long").alias("entries"))
 
 
 @query(f"WITH {_ENT}, {_SNAP}, r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY object_id, storage_key, folder_id NULLS FIRST, size_bytes, line) AS k FROM ent) SELECT snap.snapshot_id, object_id, storage_key FROM snap JOIN r ON r.snapshot_id = snap.snapshot_id AND k = 1 WHERE snap.snapshot_id % 50 = 7 AND snap.snapshot_id % 13 <> 0")
 def manifest_read_entry(spark, sf):
-    """The first entry of asked snapshots: found by id, decrypted, parsed."""
-    store = _store(spark, sf)
+    """The first entry of asked snapshots: their keys are found in a listing without bodies, and only their objects are opened."""
+    root, keys = _store(spark, sf)
     ids = adapters.heads(spark, sf).where("snapshot_id % 50 = 7").select(F.col("snapshot_id").cast("string").alias("snapshot_id"))
-    found = manifests.find_by_snapshot(store.select("key"), ids).where("key is not null").select("key")
-    x = catalog.resolve_entry(manifests.decode(store.join(found, "key", "left_semi"), F.col("data_key")), F.lit("1"))
+    found = manifests.find_by_snapshot(object_store.objects(spark, root, bodies=False).select("key"), ids).where("key is not null").select("key")
+    x = catalog.resolve_entry(manifests.decode(_opened(object_store.get(found, root), keys), F.col("data_key")), F.lit("1"))
     return x.where("entry is not null").select("snapshot_id", "entry.object_id", "entry.storage_key")
 
 
+@query(f"WITH {_TOT} SELECT 'manifests/' || owner_id || '/' || snapshot_id || '.json' AS key, snapshot_id, messages AS total_objects FROM tot WHERE snapshot_id % 13 <> 0 AND starts_with(CAST(owner_id AS VARCHAR), '1')")
+def manifest_prefix(spark, sf):
+    """Documents of the owners whose ids start with 1: the source lists and opens only keys with that prefix."""
+    root, keys = _store(spark, sf)
+    return manifests.decode(_opened(object_store.objects(spark, root, "manifests/1"), keys), F.col("data_key")).select("key", "snapshot_id", "total_objects")
+
+
 @query(f"WITH {_SNAP} SELECT snapshot_id + 0 AS snapshot_id, 'manifests/' || owner_id || '/' || snapshot_id || '.json' AS key, snapshot_id % 10 <> 4 AS found FROM snap WHERE snapshot_id % 7 = 2")
 def manifest_find_exact(spark, sf):
     heads = adapters.heads(spark, sf)
@@ -91,7 +107,7 @@ def restore_library_plan(spark, sf):
  FROM items WHERE kind = 'file' WINDOW w AS (PARTITION BY drive_id, item_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT * FROM (SELECT *, path || name || coalesce(etag, '') || item_id % 50 AS storage_key, seq % 1000 AS size_bytes, CASE WHEN deleted THEN 'deleted' WHEN pp IS NULL AND pn IS NULL AND pe IS NULL THEN 'created' WHEN pe IS NULL OR etag IS NULL OR pe <> etag THEN 'updated' WHEN pp <> path OR pn <> name THEN 'moved' END AS t FROM prev) WHERE t IS NOT NULL AND drive_id NOT IN (SELECT drive_id FROM bad WHERE failed)),
 s AS (SELECT *, t <> 'deleted' AND row_number() OVER (PARTITION BY t <> 'deleted', storage_key ORDER BY ts, seq) = 1 AND storage_key NOT LIKE '/a%7' AS new FROM c),
-p AS (SELECT drive_id, count(*) AS entries, count(*) FILTER (new) AS stored, count(*) FILTER (t <> 'deleted' AND NOT new) AS deduplicated, count(*) FILTER (t = 'deleted') AS deleted, CAST(sum(CASE WHEN t <> 'deleted' THEN size_bytes ELSE 0 END) AS BIGINT) AS size_bytes FROM s GROUP BY 1)
+p AS (SELECT drive_id, count(*) AS entries, count(*) FILTER (new) AS stored, count(*) FILTER (t <> 'deleted' AND NOT new) AS deduplicated, count(*) FILTER (t = 'deleted') AS deleted, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM s GROUP BY 1)
 SELECT drive_id, coalesce(entries, 0) AS entries, coalesce(stored, 0) AS stored, coalesce(deduplicated, 0) AS deduplicated, coalesce(deleted, 0) AS deleted, coalesce(size_bytes, 0) AS size_bytes, coalesce(entries, 0) > 0 AS snapshot, NOT failed AS cursor_saved FROM bad LEFT JOIN p USING (drive_id)""")
 def backup_drive_plan(spark, sf):
     key = F.concat("path", "name", F.coalesce("etag", F.lit("")), (F.col("item_id") % 50).cast("string"))
@@ -327,25 +343,6 @@ def legacy_owners(spark, sf):
     return _moves(spark, sf).select("email").distinct()
 
 
-@query("WITH e AS (SELECT c_nationkey AS nation, list('error ' || c_custkey ORDER BY c_custkey) AS errors FROM customer GROUP BY 1) SELECT nation, array_to_string(errors[1:10], ';') AS first, CASE WHEN len(errors) > 10 THEN '... and ' || (len(errors) - 10) || ' more' END AS more FROM e")
-def error_lists(spark, sf):
-    x = adapters.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
-    first, more = scalars.first_errors(F.transform("keys", lambda k: F.concat(F.lit("error "), k.cast("string"))))
-    return x.select("nation", F.array_join(first, ";").alias("first"), more.alias("more"))
-
-
-@query("WITH ident AS (SELECT 'user' || (c_custkey % 50) || '@example.com' AS email, c_custkey AS object_id, c_custkey AS seq FROM customer), r AS (SELECT *, CASE WHEN lead(object_id) OVER (PARTITION BY email ORDER BY seq) IS NULL THEN 'active' ELSE 'recycled' END AS status FROM ident) SELECT email, object_id, status, row_number() OVER (PARTITION BY c ORDER BY status, email, seq) AS place FROM (SELECT *, left(email, 5) AS c FROM r)")
-def identity_listing(spark, sf):
-    """Identities in the order of a listing: active ones first, then by address, within groups of addresses that begin alike."""
-    from pyspark.sql import Window
-
-    from tessera.operators import identity
-    from tessera.plans.registry import _identities
-
-    w = Window.partitionBy(F.substring("email", 1, 5)).orderBy("status", "email", "seq")
-    return identity.registry(_identities(spark, sf)).select("email", "object_id", "status", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query(f"""WITH {_ENT}, {_SNAP}, per AS (SELECT snapshot_id, count(*) AS n, CAST(sum(size_bytes + att_bytes) AS BIGINT) AS b, count(DISTINCT coalesce(folder_id, '__unknown__')) AS f FROM ent GROUP BY 1)
 SELECT owner_id, snapshot_id, greatest(coalesce(n, 0), snapshot_id % 9) AS total_objects, coalesce(b, 0) AS total_size_bytes, coalesce(f, 0) AS folders, CASE WHEN coalesce(n, 0) = 0 THEN 'cursor only' ELSE 'snapshot' END AS saved FROM snap LEFT JOIN per USING (snapshot_id)""")
 def backup_mailbox_totals(spark, sf):

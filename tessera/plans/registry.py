@@ -11,7 +11,6 @@ from tessera.functions import crypto, scalars, udfs
 from tessera.operators import catalog, cdc, identity, limits, merge, messages, profile, stats, storage
 from tessera.session import configure
 from tessera.sources import adapters
-from tessera.streaming import cdc_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,11 +141,6 @@ def cdc_drive_atomic(spark, sf):
     return cdc.changes(good).groupBy("drive_id", "change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_CHG} SELECT drive_id, change_type, count(*) AS n FROM chg GROUP BY 1, 2")
-def stream_cdc_equals_batch(spark, sf):
-    return cdc_stream.run_available(spark, sf, "cdc-stream").groupBy("drive_id", "change_type").agg(F.count(F.lit(1)).alias("n"))
-
-
 _PLAN = f"{_BLOB}, plan AS (SELECT seq, owner_id, storage_key, size_bytes, CASE WHEN seq = min(seq) OVER (PARTITION BY storage_key) AND storage_key NOT IN (SELECT storage_key FROM blob WHERE seq % 7 = 3) THEN 'stored' ELSE 'deduplicated' END AS outcome FROM blob)"
 
 

@@ -46,28 +46,21 @@ def changes(items: DataFrame) -> DataFrame:
     return files.groupBy("drive_id", "item_id").applyInPandasWithState(classify, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, sf_dir: str, name: str, batches: int = 4) -> DataFrame:
-    """Classify all events that are there as a stream, into a table of the shared folder, and read it.
+def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A table as a stream of its files, in the order of their times; path may be a folder or one file."""
+    # A stream's path that isn't a pattern has to be a folder.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
-    The events are dealt by time over files, of which each micro-batch takes one. The stream is stopped after the first
-    and started again from its checkpoint, so that the state of later batches is what the earlier ones left.
-    """
+
+def run_available(spark: SparkSession, path: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    """Classify all events under path as a stream, into a table of the shared folder, and read it."""
     import uuid
 
     from tessera.session import shared_dir
 
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    schema, order = events.schema, ["ts", "event_id"]
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    bounds = events.select(at.alias("at")).approxQuantile("at", [i / batches for i in range(1, batches)], 0.01)
-    for k in range(batches):
-        low = at >= bounds[k - 1] if k else F.lit(True)
-        high = at < bounds[k] if k < batches - 1 else F.lit(True)
-        part = events.where((low & high) if bounds else F.lit(k == 0))
-        part.sortWithinPartitions(*order).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        if k in (0, batches - 1):
-            source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-            query = changes(delta_columns(source)).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-            query.awaitTermination()
+    rows = changes(delta_columns(table_stream(spark, path, files_per_batch)))
+    query = rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{base}/out")

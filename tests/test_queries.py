@@ -3,7 +3,7 @@
 import pytest
 
 from tests import oracle
-from tessera.plans import composed, registry  # noqa: F401  composed registers its queries
+from tessera.plans import composed, feeds, registry  # noqa: F401  composed and feeds register their queries
 
 SF = "/root/testdata/sf0.001"
 
