@@ -14,6 +14,7 @@ source is a source of its own. An empty table stays empty.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -21,24 +22,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, jaccard_join, language_id, mixing, secrets
 from tessera.llm.common import crc_mod
-from tessera.session import cut, drop, release, written
+from tessera.session import cut, drop, noting, release
 
 #: No SQL: the language model, the classes and the balanced sample aren't relations that SQL can state.
 ORACLE_SQL = None
 
-#: Tables that the stage before has made for its rows.
-_made: list[str] = []
+#: The tables that the stage before has made for its rows, by the folder of a run's tables. A thread has its own, so runs side by side don't meet.
+_runs = threading.local()
 
 
 def stage(function: Callable) -> Callable:
-    """Deletes the tables of the stage before when the next one starts, as the rows of that one have been written."""
+    """Deletes the tables of the stage before when the next one of the same run starts, as the rows of that one have been written."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _made, docs)
-        before = set(written())
-        out = function(spark, docs, sf_dir)
-        _made[:] = [p for p in written() if p not in before]
+        made = _runs.__dict__.setdefault("made", {})
+        release(spark, made.pop(sf_dir, []), docs)
+        with noting() as paths:
+            out = function(spark, docs, sf_dir)
+        made[sf_dir] = paths
         return out
 
     return run_stage

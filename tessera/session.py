@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths of the tables that cut() has written and drop() hasn't deleted, in order.
-_tables: list[str] = []
+#: Where cut() notes the paths of its tables, if someone collects them. Each thread has its own.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -42,31 +44,37 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    _tables.append(path)
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
 
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The paths of the tables that cut() writes in this thread, in the body of the with statement, in order."""
+    paths: list[str] = []
+    token = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
+
+
 def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _tables.remove(path)
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() returned; nothing may read them any more. Tables that are gone are passed over."""
     for df in tables:
-        _delete(df.sparkSession, [p for p in [df.cut_path] if p in _tables])
-
-
-def written() -> list[str]:
-    """Paths of the tables that are there, in the order in which they were written."""
-    return list(_tables)
+        _delete(df.sparkSession, [df.cut_path])
 
 
 def release(spark: SparkSession, paths: Iterable[str], docs: DataFrame) -> None:
-    """Delete those of the tables under paths that are there and that docs doesn't read: frames that read them are lost."""
+    """Delete those of the tables under paths that docs doesn't read: other frames that read them are lost."""
     read = docs.inputFiles()
-    _delete(spark, [p for p in paths if p in _tables and not any(p.rpartition("/")[2] in f for f in read)])
+    _delete(spark, [p for p in paths if not any(p.rpartition("/")[2] in f for f in read)])
