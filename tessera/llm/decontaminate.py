@@ -110,7 +110,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     placed = placed.groupBy("text_key").agg(F.collect_list("span").alias("spans"))
     hit = hit.join(placed, "text_key").select("text_key", "words", F.explode("spans").alias("span"))
     hit = hit.select("text_key", F.size("words").alias("n_words"), "span", F.array_join(F.slice("words", F.col("span.at"), F.col("span.n")), " ").alias("window"))
-    hit = hit.join(windows, "window").select("text_key", "n_words", "span", "class")
+    # Windows that the same items have are one kind, told by a hash over their classes, so a span is one row, however many items share it.
+    kinds = windows.groupBy("window").agg(F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("class")), F.bit_xor(F.xxhash64("class", F.lit(1)))).alias("kind"))
+    kinds = cut(kinds.select("window", F.xxhash64("kind").alias("kind"), F.xxhash64("kind", F.lit(1)).alias("kind_2")), "hit-kinds")
+    of_kind = kinds.groupBy("kind", "kind_2").agg(F.min("window").alias("window")).join(windows, "window").select("kind", "kind_2", "class")
+    hit = hit.join(kinds, "window").select("text_key", "n_words", "span", "kind", "kind_2")
 
     covered = hit.groupBy("text_key").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
@@ -120,7 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(end - F.greatest(acc["end"], s["at"] - 1), F.lit(0))).alias("n"))
 
     covered = covered.select("text_key", "n_words", F.aggregate("spans", start, add)["n"].cast("long").alias("n_hit"))
-    named = hit.select("text_key", "class").distinct().join(items.select("class", "item").distinct(), "class")
+    named = hit.select("text_key", "kind", "kind_2").distinct().join(of_kind, ["kind", "kind_2"]).select("text_key", "class").distinct()
+    named = named.join(items.select("class", "item").distinct(), "class")
     named = named.groupBy("text_key").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     return covered.join(named, "text_key")
 

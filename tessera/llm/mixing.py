@@ -6,8 +6,9 @@ directions that leave the source's number of documents and number of words as th
 It runs in blocks of bounded size; the two fractions that a block may keep go to blocks of the next level, and
 only a dozen of a source remain for landing, which rounds them all at once.
 
-Nulls: a null source is a source of its own, last in order; a null text has size 0. Repeated rows are units of
-their own. Ties in the order within a block are between equal units. Empty tables give empty results.
+Nulls: a null source is a source of its own, last in order; a null text has size 0. Rows that are alike in id, source and
+text are one unit with a multiplicity: k of them with a fraction f have the whole part of k * f as sure copies and the rest as
+fraction, so however many there are, no block holds more than one. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.common import name_of, small
+from tessera.operators.ordering import numbered
 from tessera.session import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -120,10 +122,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), unit.alias("unit"), size_of(F.col(text_col)).alias("size")), "mix-sizes")
     plan = cut(targets(sizes, weights, most), "mix-targets")
     largest = plan.agg(F.max("units")).first()[0] or 0
-    rows = sizes.alias("s").join(plan.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
+    units = sizes.groupBy("unit").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    rows = units.alias("s").join(plan.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     block = F.pmod(F.xxhash64("unit"), F.ceil(F.col("units") / BLOCK))
-    rows = rows.select("id", "s.source", "unit", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"), block.alias("block"))
+    rows = rows.select("id", "s.source", "unit", "size", "rows", "source_size", "target", F.floor(rate).alias("whole"), (F.col("rows") * (rate - F.floor(rate))).alias("p"), block.alias("block"))
+    rows = rows.withColumn("sure", F.floor("p")).withColumn("p", F.col("p") - F.floor("p"))
     schema = rows.schema
     done, open_, blocks, level = [rows.where("p = 0")], rows.where("p > 0"), -(-largest // BLOCK), 0
     while True:
@@ -137,7 +141,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out.select(F.col("id").alias(id_col), "source", "unit", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("copies"))
+    # Of a unit's rows, `more` have one copy beyond the whole part.
+    out = cut(out.withColumn("more", (F.col("sure") + F.col("p")).cast("long")), "mix-units")
+    single = out.where("rows = 1").withColumn("copies", F.col("whole") + F.col("more"))
+    columns = [F.col("id").alias(id_col), "source", "unit", "size", "source_size", "target", F.col("copies").cast("long").alias("copies")]
+    repeated = out.where("rows > 1")
+    if repeated.isEmpty():
+        return single.select(*columns)
+    # Equal rows can't be told apart, so any of them may be the ones with more; they are counted over range partitions.
+    again = sizes.select("unit").join(small(repeated.select("unit"), 16), "unit", "left_semi").withColumn("_any", F.rand(seed))
+    again = numbered(again, ["unit"], [F.col("_any")], "_place", "mix-repeated").drop("_any")
+    again = again.join(small(repeated, 192), "unit").withColumn("copies", F.col("whole") + (F.col("_place") <= F.col("more")).cast("long"))
+    return single.select(*columns).unionAll(again.select(*columns))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Every version of every path is content-addressed by the SHA-256 of its text. Rules come in groups, and a group's
 version is a hash of its rules. A ledger records which (blob, version) pairs have been scanned and what was found.
-A run scans the pairs that the ledger lacks, and joins findings back to all paths that hold the blob. Texts are
-scanned where they are read and never shuffled, unless so many blobs, but not all, are new that their list isn't small.
+A run scans the pairs that the ledger lacks, and joins findings back to all paths that hold the blob. A text is scanned
+once, by all groups that it lacks, where it is read: the list of blobs and the paths that stand for them is sent to the tasks. If it isn't
+small, all texts are scanned if there is no ledger, and else those that lack something are shuffled.
 
 Nulls: a null text is the empty text; a null path is a path of its own. Repeated rows give repeated
 results. An empty table gives an empty result and ledger.
@@ -13,13 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.llm.common import map_rows, read_documents, small
-from tessera.session import cut
+from tessera.session import cut, shared_dir
 
 #: Kinds in their order, pattern, whole-match or group whose length counts, least length.
 RULES = [
@@ -67,44 +68,61 @@ def address(versions: DataFrame, path: str = "path", text: str = "text") -> Data
     return versions.select(F.col(path).alias("path"), _body(text).alias("text"), F.unhex(F.sha2(_body(text).cast("binary"), 256)).alias("blob"))
 
 
-def _scan_blobs(rows: DataFrame, group: str) -> DataFrame:
-    """Columns blob, version, findings: each blob's scan by a group of rules, once in each task that holds it."""
+def _scan_blobs(rows: DataFrame) -> DataFrame:
+    """Columns blob, version, findings: each blob's scan by the groups that its row names (todo), in one pass over its text, once in each task that holds it."""
 
     def per_row():
         seen: set[bytes] = set()
-        named = version(group)
+        named = {group: version(group) for group in GROUPS}
 
-        def run(blob, text):
+        def run(blob, text, todo):
             if blob in seen:
                 return None
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(blob)
-            return blob, named, [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text, (group,))]
+            spans = lambda group: [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text, (group,))]
+            return blob, [{"version": named[g], "findings": spans(g)} for g in todo]
 
         return run
 
-    return map_rows(rows.select("blob", "text"), per_row, LEDGER)
+    scanned = map_rows(rows.select("blob", "text", "todo"), per_row, f"blob binary, scans array<struct<version:string,findings:{FINDINGS}>>")
+    return scanned.select("blob", F.explode("scans").alias("s")).select("blob", "s.version", "s.findings")
+
+
+def _to_scan(rows: DataFrame, ledger: DataFrame | None, groups: Iterable[str]) -> DataFrame:
+    """The rows to scan with todo, the groups that the ledger lacks for their blobs. Of the paths of a blob, the least is scanned, if the list of these is small; else each task scans what it holds."""
+    names = {version(g): g for g in groups}
+    wanted = F.array(*(F.lit(g) for g in names.values()))
+    carriers = rows.groupBy("blob").agg(F.min("path").alias("carrier"))
+    if ledger is not None:
+        past = ledger.where(F.col("version").isin(list(names))).groupBy("blob").agg(F.collect_set("version").alias("done"))
+        known = F.array(*(F.when(F.array_contains("done", v), F.lit(g)) for v, g in names.items()))
+        carriers = carriers.join(past, "blob", "left").withColumn("todo", F.when(F.col("done").isNull(), wanted).otherwise(F.array_except(wanted, F.array_compact(known))))
+        carriers = carriers.where(F.size("todo") > 0).drop("done")
+    else:
+        carriers = carriers.withColumn("todo", wanted)
+    carriers = cut(carriers.select(F.col("blob").alias("_blob"), "carrier", "todo"), "secret-carriers")
+    mine = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("carrier"))
+    sent = small(carriers, 80)
+    if sent is carriers and ledger is None:
+        return rows.withColumn("todo", wanted)
+    return rows.join(sent, mine).select("path", "text", "blob", "todo")
 
 
 def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: DataFrame | None = None, groups: Iterable[str] = tuple(GROUPS)) -> tuple[DataFrame, DataFrame]:
     """Scan what the ledger lacks; returns (findings per row: path, blob, findings, n_reused; the ledger's new rows: blob, version, findings).
 
     n_reused is the number of groups of which the blob's findings come from the ledger. The new rows are written
-    to the shared folder once; append them to the ledger for the next run.
+    to the shared folder once; scan_into() keeps them in a ledger that lasts.
     """
-    rows, fresh = address(versions, path, text), []
-    for group in groups:
-        todo = rows
-        if ledger is not None and not (past := ledger.where(F.col("version") == version(group)).select("blob")).isEmpty():
-            unseen = cut(rows.select("blob").distinct().join(past, "blob", "left_anti"), "secret-unseen")
-            todo = rows.join(small(unseen, 64), "blob", "left_semi")
-        fresh.append(_scan_blobs(todo, group))
+    rows = address(versions, path, text)
     # Copies in different tasks give equal rows.
-    fresh = cut(reduce(DataFrame.unionAll, fresh).groupBy("blob", "version").agg(F.first("findings").alias("findings")), "secret-ledger")
+    fresh = _scan_blobs(_to_scan(rows, ledger, groups)).groupBy("blob", "version").agg(F.first("findings").alias("findings"))
+    fresh = cut(fresh, "secret-ledger")
     known = fresh.withColumn("reused", F.lit(0))
     if ledger is not None:
-        past = ledger.where(F.col("version").isin([version(g) for g in groups])).select("blob", "version", "findings", F.lit(1).alias("reused"))
+        past = ledger.where(F.col("version").isin([version(g) for g in groups])).dropDuplicates(["blob", "version"]).select("blob", "version", "findings", F.lit(1).alias("reused"))
         known = known.unionByName(past)
     # Only blobs with findings, or of which something is reused, are joined to the rows.
     known = known.where((F.size("findings") > 0) | (F.col("reused") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings")), _by_place).alias("findings"), F.sum("reused").alias("n_reused"))
@@ -113,6 +131,26 @@ def scan(versions: DataFrame, path: str = "path", text: str = "text", ledger: Da
     return found.select("path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"), F.coalesce("n_reused", F.lit(0)).cast("int").alias("n_reused")), fresh
 
 
+def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame | None:
+    """The ledger under a path, or None if there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_path}/part=*/_SUCCESS")
+    parts = [s.getPath().getParent().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []]
+    return spark.read.schema(LEDGER).parquet(*parts) if parts else None
+
+
+def scan_into(versions: DataFrame, ledger_path: str, path: str = "path", text: str = "text", groups: Iterable[str] = tuple(GROUPS)) -> DataFrame:
+    """scan() against a ledger that lasts: what is new is appended to the table under ledger_path, so the next run finds it. Returns the findings.
+
+    Each run adds a part of its own, which counts once it is whole; a run that dies leaves nothing that is read, and two
+    runs at once add equal rows for what both have scanned.
+    """
+    spark = versions.sparkSession
+    found, fresh = scan(versions, path, text, read_ledger(spark, ledger_path), groups)
+    if not fresh.isEmpty():
+        fresh.write.parquet(f"{ledger_path}/part={uuid.uuid4().hex}")
+    return found
+
+
 def _by_place(x: Column, y: Column) -> Column:
     """Order of findings: by start, then kind."""
     sign = lambda f: F.when(x[f] < y[f], -1).when(x[f] > y[f], 1)
@@ -126,14 +164,9 @@ def spans_string(findings, names=tuple(r[0] for r in RULES)):
 
 
 def op7_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    """Every secret span of documents; doc_id is the path.
-
-    Two runs, as when rules are added to a corpus that was scanned before: the first one fills the ledger with the base
-    rules, the second one finds those pairs in the ledger and scans only the pairs of the added rules.
-    """
+    """Every secret span of documents; doc_id is the path. A ledger of its own is filled by one pass of all groups of rules, each blob scanned once."""
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    _, ledger = scan(docs, "doc_id", "text", groups=("base",))
-    found, fresh = scan(docs, "doc_id", "text", ledger)
+    found = scan_into(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}", "doc_id", "text")
     base = F.filter("findings", lambda x: x["kind"] < len(BASE))
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
@@ -146,12 +179,14 @@ def op7_secret_ledger(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every secret span replaced by a mark; all columns stay.
 
-    Overlapping spans are replaced as one. The spans come from scan(), by blob. Null texts stay null.
+    Overlapping spans are replaced as one. The spans come from scan(), by blob; with a ledger_path, from scan_into(), so that texts that
+    an earlier run has seen aren't scanned again. Null texts stay null.
     """
-    found, _ = scan(docs.select(id_col, text_col), id_col, text_col, ledger)
+    rows = docs.select(id_col, text_col)
+    found = scan_into(rows, ledger_path, id_col, text_col) if ledger_path else scan(rows, id_col, text_col)[0]
     hits = cut(found.where(F.size("findings") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("findings").alias("_spans")), "secret-hits")
     blob = F.unhex(F.sha2(_body(text_col).cast("binary"), 256))
     joined = docs.withColumn("_blob", blob).join(small(hits, 64 + 16 * F.size("_spans")), "_blob", "left")

@@ -79,3 +79,25 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path, repeat):
         elif name == "secrets":
             assert [t for d, t in kept if d == 6] == ["[SECRET] " + other("cinq")] and len(kept) == 6
         assert [c for c in docs.columns if c != "copies"] == [c for c in columns if c != "unit" or name != "mixing"]
+
+
+def test_two_runs_side_by_side(spark, tmp_path):
+    """Runs in two threads over two folders, and stages of two runs by turns, don't delete each other's tables."""
+    import shutil
+    import threading
+
+    for name in ("one", "two"):
+        shutil.copytree(SF, tmp_path / name)
+    run = lambda folder: sorted((r.doc_id, r.copies) for r in corpus_pipeline.run(spark, str(folder)).collect())
+    alone, got = run(SF), {}
+    threads = [threading.Thread(target=lambda n=n: got.update({n: run(tmp_path / n)})) for n in ("one", "two")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got == {"one": alone, "two": alone}
+    by_turns = {n: spark.read.parquet(f"{tmp_path}/{n}/documents.parquet") for n in ("one", "two")}
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        frames = {n: stage(spark, docs, f"{tmp_path}/{n}") for n, docs in by_turns.items()}
+        by_turns = {n: corpus_pipeline.cut(df, "test-turn") for n, df in frames.items()}
+    assert by_turns["one"].count() == by_turns["two"].count() > 0
