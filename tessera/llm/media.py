@@ -16,6 +16,7 @@ import zlib
 from bisect import bisect_left
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import map_rows, read_documents
@@ -29,76 +30,190 @@ PDF_TABLE = re.compile(rb"xref\s|(?<!\d)\d{1,10}\s{1,9}\d{1,5}\s{1,9}obj")
 LAST_BOXES = frozenset((b"mdat", b"moov", b"meta", b"moof", b"mfra", b"free", b"skip", b"uuid"))
 
 
+#: What validators have found out about one content: by kind, the result of a chain of chunks, pages, blocks or boxes from a place on.
+_known: list = [None, {}]
+
+
+def _memo(b: bytes, kind: str) -> dict:
+    """The results of a kind of chain in b, for as long as b is the content that is looked at."""
+    if _known[0] is not b:
+        _known[:] = [b, {}]
+    return _known[1].setdefault(kind, {})
+
+
+def _follow(known: dict, p: int, step):
+    """The result of the chain from p. step(p) gives (None, result) at its end, or (the next place, what makes this one's result of that one's, or None).
+
+    A chain is the same from any place that it passes, so each place is looked at once, however many chains lead to it.
+    """
+    path = []
+    while p not in known:
+        path.append((p, made := step(p)))
+        if made[0] is None:
+            result = made[1]
+            break
+        p = made[0]
+    else:
+        result = known[p]
+    for q, (onward, fold) in reversed(path):
+        if onward is not None and fold:
+            result = fold(result)
+        known[q] = result
+    return result
+
+
+class Crc:
+    """CRC-32 of any part of some bytes, in time that doesn't grow with the part, from those of the bytes before marks."""
+
+    STEP, POLY = 4096, 0xEDB88320
+
+    def __init__(self, b: bytes):
+        self.b, self.before, self.powers = b, [0], [1 << 23]  # x^8, x^16, x^32, ...
+        for at in range(0, len(b), self.STEP):
+            self.before.append(zlib.crc32(b[at : at + self.STEP], self.before[-1]))
+        while len(self.powers) < 64:
+            self.powers.append(self._times(self.powers[-1], self.powers[-1]))
+
+    @classmethod
+    def _times(cls, x: int, y: int) -> int:
+        """Product of two polynomials, bits in reflected order, modulo that of CRC-32."""
+        out = 0
+        for bit in range(31, -1, -1):
+            if x >> bit & 1:
+                out ^= y
+            y = y >> 1 ^ (cls.POLY if y & 1 else 0)
+        return out
+
+    def _prefix(self, at: int) -> int:
+        mark = at // self.STEP
+        return zlib.crc32(self.b[mark * self.STEP : at], self.before[mark])
+
+    def of(self, start: int, end: int) -> int:
+        if end - start <= 4 * self.STEP:
+            return zlib.crc32(self.b[start:end])
+        moved, n, k = self._prefix(start), end - start, 0
+        while n:
+            if n & 1:
+                moved = self._times(self.powers[k], moved)
+            n, k = n >> 1, k + 1
+        return self._prefix(end) ^ moved
+
+
+@lru_cache(maxsize=1)
+def wav_files(b: bytes) -> dict[int, tuple[int, int, int]]:
+    """Start of each RIFF WAVE file to (end, start of samples, end of samples).
+
+    Chunks lead to one another whatever file they are in; a file is the part of a chain up to its own end. Files are looked
+    at in the order of their ends, and chunks that are wholly before the end join what follows them, so each is passed once.
+    """
+    heads = [m.start() for m in re.finditer(rb"RIFF(?=.{4}WAVE)", b, re.DOTALL)]
+    asked = sorted((end, at) for at in heads if (end := at + 8 + struct.unpack_from("<I", b, at + 4)[0]) <= len(b))
+    chunk: dict[int, int] = {}
+    for _, at in asked:
+        p = at + 12
+        while p not in chunk and p + 8 <= len(b):
+            chunk[p] = struct.unpack_from("<I", b, p + 4)[0]
+            p += 8 + chunk[p] + chunk[p] % 2
+    # By chunk that has joined: the one that follows, and the last chunk, data chunk and format chunk on the way there.
+    joined: dict[int, tuple] = {}
+
+    def follow(p: int) -> tuple:
+        path, last, data, fmt = [], None, None, None
+        while p in joined:
+            path.append(p)
+            p = joined[p][0]
+        for q in reversed(path):
+            _, own, own_data, own_fmt = joined[q]
+            last, data, fmt = (last if last is not None else own), (data if data is not None else own_data), (fmt if fmt is not None else own_fmt)
+            joined[q] = (p, last, data, fmt)
+        return p, last, data, fmt
+
+    found, order, done = {}, sorted(chunk), 0
+    for end, at in asked:
+        while done < len(order) and order[done] + 8 <= end:
+            p, done = order[done], done + 1
+            n, name = chunk[p], b[p : p + 4]
+            joined[p] = (p + 8 + n + n % 2, p, p if name == b"data" else None, p if name == b"fmt " and n >= 16 else None)
+        _, last, data, fmt = follow(at + 12)
+        if last is not None and last + 8 + chunk[last] <= end and data is not None and fmt is not None and struct.unpack_from("<H", b, fmt + 10)[0]:
+            found[at] = (end, data + 8, data + 8 + chunk[data])
+    return found
+
+
 def wav(b: bytes, at: int) -> tuple[int, int, int] | None:
     """(end, start of samples, end of samples) of a RIFF WAVE file; None if it isn't one."""
-    if b[at + 8 : at + 12] != b"WAVE" or at + 12 > len(b):
-        return None
-    end, p, data, channels = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12, None, 0
-    if end > len(b):
-        return None
-    while p + 8 <= end:
-        name, n = b[p : p + 4], struct.unpack_from("<I", b, p + 4)[0]
-        if p + 8 + n > end:
-            return None
-        if name == b"fmt " and n >= 16:
-            channels = struct.unpack_from("<H", b, p + 10)[0]
-        if name == b"data":
-            data = (p + 8, p + 8 + n)
-        p += 8 + n + n % 2
-    return (end, *data) if data and channels else None
+    return wav_files(b).get(at) if b[at + 8 : at + 12] == b"WAVE" else None
 
 
 def png(b: bytes, at: int) -> tuple[int, int, int] | None:
-    p = at + 8
-    while p + 12 <= len(b):
+    known = _memo(b, "png")
+    if b[at + 8 : at + 16] != b"\0\0\0\rIHDR":
+        return None
+    if "crc" not in known:
+        known["crc"] = Crc(b)
+    crc = known["crc"]
+
+    def step(p: int):
+        if p + 12 > len(b):
+            return None, None
         n = struct.unpack_from(">I", b, p)[0]
-        if p + 12 + n > len(b) or zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return None
-        if p == at + 8 and b[p + 4 : p + 8] != b"IHDR":
-            return None
-        if b[p + 4 : p + 8] == b"IEND":
-            return p + 12, at + 8, p
-        p += 12 + n
-    return None
+        if p + 12 + n > len(b) or crc.of(p + 4, p + 8 + n) != struct.unpack_from(">I", b, p + 8 + n)[0]:
+            return None, None
+        return (None, p) if b[p + 4 : p + 8] == b"IEND" else (p + 12 + n, None)
+
+    end = _follow(known, at + 8, step)
+    return None if end is None else (end + 12, at + 8, end)
 
 
 def gif(b: bytes, at: int) -> tuple[int, int, int] | None:
     if b[at + 3 : at + 6] not in (b"87a", b"89a") or at + 13 > len(b):
         return None
     table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    p = start = at + 13 + table(b[at + 10])
-    while p < len(b):
+    parts = _memo(b, "gif parts")
+
+    def part(p: int):
+        return (None, p + 1) if p >= len(b) or not b[p] else (p + b[p] + 1, None)
+
+    def step(p: int):
+        if p >= len(b):
+            return None, None
         if b[p] == 0x3B:
-            return p + 1, start, p
+            return None, p
         if b[p] == 0x21:
-            p += 2
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p += 11 + table(b[p + 9])
-        else:
-            return None
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return None
+            return _follow(parts, p + 2, part), None
+        if b[p] == 0x2C and p + 10 <= len(b):
+            return _follow(parts, p + 11 + table(b[p + 9]), part), None
+        return None, None
+
+    start = at + 13 + table(b[at + 10])
+    end = _follow(_memo(b, "gif"), start, step)
+    return None if end is None else (end + 1, start, end)
+
+
+@lru_cache(maxsize=1)
+def jpeg_marks(b: bytes) -> list[int]:
+    """Places in scan data that aren't: markers other than stuffed bytes and restarts."""
+    return [m.start() for m in re.finditer(rb"\xff[^\x00\xd0-\xd7]", b, re.DOTALL)]
 
 
 def jpeg(b: bytes, at: int) -> tuple[int, int, int] | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    marks = jpeg_marks(b)
+
+    def step(p: int):
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, None
         kind, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
         if n < 2 or kind in (0, 0xFF):
-            return None
-        p += 2 + n
-        if kind == 0xDA:
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
-                if b[p + 1] == 0xD9:
-                    return p + 2, at + 2, p
-                if b[p + 1] and not 0xD0 <= b[p + 1] <= 0xD7:
-                    break
-                p += 2
-            if p < 0:
-                return None
-    return None
+            return None, None
+        if kind != 0xDA:
+            return p + 2 + n, None
+        k = bisect_left(marks, p + 2 + n)
+        if k == len(marks):
+            return None, None
+        return (None, marks[k]) if b[marks[k] + 1] == 0xD9 else (marks[k], None)
+
+    end = _follow(_memo(b, "jpeg"), at + 2, step)
+    return None if end is None else (end + 2, at + 2, end)
 
 
 def bmp(b: bytes, at: int) -> tuple[int, int, int] | None:
@@ -118,15 +233,23 @@ def pdf_ends(b: bytes) -> dict[int, int]:
     A header that has no mark of its own ends with the first end of file after a startxref.
     """
     heads, ends = [m.start() for m in PDF_HEADER.finditer(b)], {}
-    known, tables = set(heads), [m.start() for m in PDF_TABLE.finditer(b)] if heads else []
-    starts: dict[int, list[int]] = {}  # by offset: headers from which it leads to a cross-reference
+    table = np.zeros(len(b) + 1 if heads else 0, bool)
+    if heads:
+        table[[m.start() for m in PDF_TABLE.finditer(b)]] = True
+    places = np.array(heads, np.int64)
     for m in PDF_END.finditer(b) if heads else ():
         offset, near = int(m[1]), bisect_left(heads, m.start())
         if near:
-            if offset not in starts:
-                starts[offset] = sorted({t - offset for t in tables} & known) if offset else []
-            at = bisect_left(starts[offset], min(m.start(), m.start() - offset))
-            own = starts[offset][at - 1] if at else heads[near - 1]
+            own = heads[near - 1]
+            # The headers before the mark from which the offset leads to a place before it, the nearest ones first.
+            low, high = 0, min(near, bisect_left(heads, m.start() - offset)) if offset else 0
+            while high > low:
+                block = places[max(low, high - 4096) : high]
+                there = np.flatnonzero(table[block + offset])
+                if len(there):
+                    own = int(block[there[-1]])
+                    break
+                high -= len(block)
             if own + offset < m.start():
                 ends[own] = m.end()
     marks, eofs = ([m.start() for m in re.finditer(x, b)] for x in (b"startxref", b"%%EOF"))
@@ -163,33 +286,35 @@ def archive(b: bytes, at: int) -> tuple[int, int, int] | None:
 
 
 def ogg(b: bytes, at: int) -> tuple[int, int, int] | None:
-    p = at
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
+    def step(p: int):
+        if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4]:
+            return None, None
         head = p + 27 + b[p + 26]
-        n = sum(b[p + 27 : head])
-        if head + n > len(b):
-            return None
-        p, last = head + n, b[p + 5] & 4
-        if last:
-            return p, at, p
-    return None
+        end = head + sum(b[p + 27 : head])
+        if end > len(b):
+            return None, None
+        return (None, end) if b[p + 5] & 4 else (end, None)
+
+    end = _follow(_memo(b, "ogg"), at, step)
+    return None if end is None else (end, at, end)
 
 
 def boxes(b: bytes, at: int) -> tuple[int, int, int] | None:
     """An ISO media file; the magic 'ftyp' stands 4 bytes after the start."""
-    p, seen = at, set()
-    while p + 8 <= len(b):
-        n, name = struct.unpack_from(">I4s", b, p)
+
+    def step(p: int):
+        n, name = struct.unpack_from(">I4s", b, p) if p + 8 <= len(b) else (0, b"")
         least = 8
         if n == 1 and p + 16 <= len(b):  # a size of 64 bits
             n, least = struct.unpack_from(">Q", b, p + 8)[0], 16
         elif n == 0 and name in LAST_BOXES:  # up to the end
             n = len(b) - p
         if n < least or p + n > len(b) or not name.isalnum():
-            break
-        seen.add(name)
-        p += n
-    return (p, at, p) if b"moov" in seen or b"meta" in seen else None
+            return None, (p, False)
+        return p + n, (lambda rest: (rest[0], True)) if name in (b"moov", b"meta") else None
+
+    end, whole = _follow(_memo(b, "boxes"), at, step)
+    return (end, at, end) if whole else None
 
 
 #: Magic bytes, offset of the magic in the file, media type, validator.

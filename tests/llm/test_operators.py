@@ -206,10 +206,32 @@ def test_media_without_end_takes_time_in_proportion():
     import time
 
     machine = media.automaton()
-    for part in (b"%PDF-1.4 ", b"PK\x03\x04", b"PK\x05\x06", b"RIFF", b"GIF8", b"ftyp", b"startxref 3 %%EOF %PDF-1.4 "):
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    header = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0")
+    size = 2_000_000
+    hostile = [part * (size // len(part)) for part in (
+        b"%PDF-1.4 ", b"PK\x03\x04", b"PK\x05\x06", b"RIFF", b"GIF8", b"ftyp", b"startxref 3 %%EOF %PDF-1.4 ",
+        b"\0\0\0\x08ftyp",  # boxes that lead to one another
+        b"OggS\0\0" + bytes(20) + b"\0",  # pages, none of which is the last
+        b"GIF89a\x01\0\x01\0\0\0\0!\xfe",  # comments that begin in one another
+        b"\xff\xd8\xff\xda\0\x02\xff\0",  # scans without an end
+        header + struct.pack(">I", 500_000) + b"IDAT",  # chunks of half a megabyte with a wrong sum
+        b"RIFF" + struct.pack("<I", 300_000) + b"WAVEfmt " + bytes(4),
+    )]
+    hostile.append(b"GIF89a\x01\0\x01\0\0\0\0!\xfe" * 50_000 + b"\x01a" * 500_000)
+    hostile.append(b"".join(b"RIFF" + struct.pack("<I", 1_500_000 - 20 * i) + b"WAVEfmt " for i in range(30_000)) + b"junk\0\0\0\0" * 150_000)
+    hostile.append(b"".join(b"%%PDF-1.4 xref startxref %d %%%%EOF " % (100_000 + 7 * i) for i in range(size // 40)))
+    for content in hostile:
         began = time.perf_counter()
-        media.sniff(part * (2_000_000 // len(part)), machine)
-        assert time.perf_counter() - began < 10
+        media.sniff(content, machine)
+        assert time.perf_counter() - began < 20, content[:40]
+
+
+def test_sums_of_parts():
+    data = random.Random(1).randbytes(100_000)
+    crc = media.Crc(data)
+    for a, b in [(0, 100_000), (1, 99_999), (4096, 90_112), (5000, 5000), (777, 60_001), (99_000, 100_000), (0, 16_385)]:
+        assert crc.of(a, b) == zlib.crc32(data[a:b])
 
 
 def test_carving_gives_the_bytes(spark):
