@@ -101,26 +101,53 @@ def link_rows(cursors: DataFrame, by: str) -> DataFrame:
     return cursors.select(by, F.explode("delta_links").alias("source_id", "delta_link"))
 
 
-def backup_plan(items: DataFrame, stored: DataFrame, failed: Column) -> DataFrame:
-    """Per drive: entries of the new snapshot, files stored and deduplicated, deletions, bytes, and whether a snapshot and the cursor are saved.
+def backup_rows(items: DataFrame, stored: DataFrame, failed: Column) -> tuple[DataFrame, DataFrame]:
+    """Whether each drive failed (drive_id, failed), and the changes of the others with their outcome: deleted, stored or deduplicated.
 
-    The changes of a drive in which a file failed are dropped whole and its cursor stays; a drive without changes
-    saves its cursor, but no snapshot. stored has the keys that are in the store. Entries of deleted files count in entries
-    and bytes, as they are entries of the snapshot with a size of their own.
+    The changes of a drive in which a file failed are dropped whole. stored has the keys that are in the store; the first change that has another key stores it.
     """
     drives = items.groupBy("drive_id").agg(F.bool_or(failed).alias("failed"))
     x = changes(items.join(drives.where("not failed").select("drive_id"), "drive_id", "left_semi"))
-    # The first change that has a key stores it.
     first = x.where(F.col("change_type") != "deleted").groupBy("storage_key").agg(F.min(F.struct("ts", "seq")).alias("first"))
     first = first.join(stored.select("storage_key").distinct(), "storage_key", "left_anti")
     x = x.join(first, "storage_key", "left")
-    gone = F.col("change_type") == "deleted"
-    new = ~gone & F.coalesce(F.col("first") == F.struct("ts", "seq"), F.lit(False))
-    per = x.groupBy("drive_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(new).alias("stored"), F.count_if(~gone & ~new).alias("deduplicated"), F.count_if(gone).alias("deleted"), F.sum("size_bytes").cast("long").alias("size_bytes"))
+    new = F.coalesce(F.col("first") == F.struct("ts", "seq"), F.lit(False))
+    return drives, x.withColumn("outcome", F.when(F.col("change_type") == "deleted", "deleted").when(new, "stored").otherwise("deduplicated")).drop("first")
+
+
+def backup_plan(items: DataFrame, stored: DataFrame, failed: Column) -> DataFrame:
+    """Per drive: entries of the new snapshot, files stored and deduplicated, deletions, bytes, and whether a snapshot and the cursor are saved.
+
+    The cursor of a drive in which a file failed stays; a drive without changes saves its cursor, but no snapshot.
+    Entries of deleted files count in entries and bytes, as they are entries of the snapshot with a size of their own.
+    """
+    return _summed(*backup_rows(items, stored, failed))
+
+
+def _summed(drives: DataFrame, rows: DataFrame) -> DataFrame:
+    per = rows.groupBy("drive_id").agg(F.count(F.lit(1)).alias("entries"), *(F.count_if(F.col("outcome") == o).alias(o) for o in ("stored", "deduplicated", "deleted")), F.sum("size_bytes").cast("long").alias("size_bytes"))
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return drives.join(per, "drive_id", "left").select("drive_id", n("entries"), n("stored"), n("deduplicated"), n("deleted"), n("size_bytes"), (F.coalesce("entries", F.lit(0)) > 0).alias("snapshot"), (~F.col("failed")).alias("cursor_saved"))
 
 
+def backup_with_versions(items: DataFrame, stored: DataFrame, failed: Column, versions: DataFrame, known: DataFrame) -> DataFrame:
+    """backup_plan with versions_stored, versions_deduplicated, versions_unavailable and versions_failed of each drive, and healthy (nothing failed).
+
+    Versions are looked at only for files of which a change stored its blob, not where all were deduplicated. versions and known are those of
+    version_sync() with drive_id; what the run's changes have stored counts as in the store.
+    """
+    drives, rows = backup_rows(items, stored, failed)
+    new = rows.where(F.col("outcome") == "stored")
+    asked = versions.join(new.select("drive_id", F.col("item_id").alias("file_id")).distinct(), ["drive_id", "file_id"], "left_semi")
+    there = stored.select("storage_key").unionAll(new.select("storage_key"))
+    x = version_sync(asked, known, there)
+    outcomes = ("stored", "deduplicated", "unavailable", "failed")
+    per = x.groupBy("drive_id").agg(*(F.count_if(F.col("outcome") == o).alias(f"versions_{o}") for o in outcomes))
+    out = _summed(drives, rows).join(per, "drive_id", "left")
+    n = [F.coalesce(f"versions_{o}", F.lit(0)).cast("long").alias(f"versions_{o}") for o in outcomes]
+    return out.select(*(c for c in out.columns if not c.startswith("versions_")), *n, (F.col("cursor_saved")).alias("healthy"))
+
+
 def version_sync(versions: DataFrame, known: DataFrame, stored: DataFrame) -> DataFrame:
     """outcome of each source version that the index doesn't know: unavailable, failed, stored (the first of a key that isn't in the store) or deduplicated.
 
@@ -130,3 +157,26 @@ def version_sync(versions: DataFrame, known: DataFrame, stored: DataFrame) -> Da
     first = new.where("status is null").groupBy("storage_key").agg(F.min("seq").alias("first")).join(stored.select("storage_key").distinct(), "storage_key", "left_anti")
     x = new.join(first, "storage_key", "left")
     return x.withColumn("outcome", F.coalesce("status", F.when(F.col("seq") == F.col("first"), "stored").otherwise("deduplicated"))).drop("first")
+
+
+#: A source's raw item of a feed, as far as it is used.
+RAW_ITEM = "id string, name string, size bigint, webUrl string, eTag string, lastModifiedDateTime string, parentReference struct<path:string>, file map<string,string>, folder map<string,string>, `@removed` struct<reason:string>"
+
+
+def map_items(raw: DataFrame, json_col: str = "json") -> DataFrame:
+    """The other columns of raw and item_id, kind, name, path, size_bytes, deleted and the optional web_url, etag, modified_at of each raw item; items without an id go.
+
+    Names and paths are in NFC; a path is what follows root:, a slash if that is nothing or there is none. An empty optional field counts as missing.
+    """
+    from tessera.functions import scalars, udfs
+
+    r = F.from_json(json_col, RAW_ITEM)
+    x = raw.withColumn("_r", r).where(F.coalesce(F.col("_r.id"), F.lit("")) != "")
+    path = F.coalesce(F.nullif(F.col("_r.parentReference.path"), F.lit("")), F.lit("/"))
+    deleted = F.col("_r.@removed").isNotNull()
+    kept = [c for c in raw.columns if c != json_col]
+    optional = lambda f, name: F.nullif(F.col(f"_r.{f}"), F.lit("")).alias(name)
+    return x.select(
+        *kept, F.col("_r.id").alias("item_id"), scalars.item_kind(F.col("_r.file").isNotNull(), F.col("_r.folder").isNotNull(), deleted).alias("kind"), udfs.nfc(F.coalesce("_r.name", F.lit(""))).alias("name"),
+        udfs.nfc(scalars.parent_path(path)).alias("path"), F.coalesce("_r.size", F.lit(0)).cast("long").alias("size_bytes"), deleted.alias("deleted"), optional("webUrl", "web_url"), optional("eTag", "etag"), optional("lastModifiedDateTime", "modified_at"),
+    )

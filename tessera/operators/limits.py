@@ -2,7 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+#: Operation, pool, resource units, tokens of the limiter (none where the operation isn't limited), and whether its bytes are an upload.
+COSTS = [
+    ("list_users", "identity", 2, None, False), ("mailbox_exists", "identity", 1, None, False), ("list_folders", "outlook", 1, 1, False), ("delta_sync", "outlook", 1, 2, False), ("delta_sync_link", "outlook", 1, 1, False),
+    ("fetch_message", "outlook", 1, 1, False), ("fetch_attachments", "outlook", 1, 1, False), ("create_folder", "outlook", 1, None, False), ("create_message", "outlook", 1, None, False), ("add_attachment", "outlook", 1, None, True),
+    ("upload_chunk", "outlook", 1, None, True),
+]
+
+
+def cost_table(spark: SparkSession) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(COSTS, "operation string, pool string, cost bigint, tokens bigint, upload boolean"))
+
+
+def request_costs(requests: DataFrame) -> DataFrame:
+    """By pool and request type: requests, resource units, limiter tokens and uploaded bytes.
+
+    requests: operation, has_link (a delta query with a link takes one token, without one two), size_bytes. Bytes count where the operation uploads them. The cost table is eleven rows.
+    """
+    named = F.when((F.col("operation") == "delta_sync") & F.col("has_link"), "delta_sync_link").otherwise(F.col("operation"))
+    x = requests.withColumn("request_type", F.col("operation")).withColumn("operation", named).join(cost_table(requests.sparkSession), "operation")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return x.groupBy("pool", "request_type").agg(F.count(F.lit(1)).alias("requests"), total("cost").alias("cost"), total("tokens").alias("tokens"), total(F.when(F.col("upload"), F.col("size_bytes"))).alias("upload_bytes"))
 
 
 def cost_by(log: DataFrame, by: str) -> DataFrame:

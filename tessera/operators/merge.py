@@ -35,8 +35,8 @@ def in_folder(entries: DataFrame, folders: DataFrame, name: str) -> DataFrame:
 
 
 def exclude_folders(folders: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Folders that have an id and aren't among the excluded names."""
-    return folders.where(F.col("folder_id").isNotNull() & ~F.lower("display_name").isin(*names))
+    """Folders that have an id and aren't among the excluded names; a folder without a name stays."""
+    return folders.where(F.col("folder_id").isNotNull() & ~F.lower(F.coalesce("display_name", F.lit(""))).isin(*names))
 
 
 def folder_groups(entries: DataFrame, folders: DataFrame, unknown: str = "__unknown__") -> DataFrame:

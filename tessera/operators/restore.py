@@ -72,6 +72,26 @@ def save_summary(plan: DataFrame, by: str) -> DataFrame:
     return plan.groupBy(by).agg(F.count_if(ok).alias("saved"), F.count_if(~ok).alias("errors"), F.count_if(F.col("integrity") == "mismatch").alias("integrity_failures"), F.coalesce(F.sum(F.when(ok, F.col("size_bytes"))), F.lit(0)).cast("long").alias("bytes"))
 
 
+def file_save(entries: DataFrame, objects: DataFrame, refs: list[str] | None = None, skip_check: bool = False) -> DataFrame:
+    """The archive of drives' or libraries' snapshots: drive_id, file_id, path in the archive, size_bytes and outcome of each entry that can be restored.
+
+    outcome: saved, missing (no object, or one that can't be opened: content null) or mismatch, which isn't saved either. The hierarchy of folders stays. objects: storage_key, found (checksum of the opened content).
+    """
+    x = chosen_files(entries, refs or []).where(merge.restorable(F.col("change_type"), F.col("storage_key")))
+    there = objects.groupBy("storage_key").agg(F.max("found").alias("found"))
+    x = x.join(there, "storage_key", "left")
+    bad = F.lit(not skip_check) & (F.coalesce("checksum", F.lit("")) != "") & (F.col("found") != F.col("checksum"))
+    folder = F.regexp_replace(F.regexp_replace("parent_path", "^/+", ""), "/+$", "")
+    path = F.when(folder == "", F.col("file_name")).otherwise(F.concat(folder, F.lit("/"), F.col("file_name")))
+    return x.select("drive_id", "file_id", path.alias("path"), "size_bytes", F.when(F.col("found").isNull(), "missing").when(bad, "mismatch").otherwise("saved").alias("outcome"))
+
+
+def file_save_summary(plan: DataFrame) -> DataFrame:
+    """Per drive: files saved and skipped, integrity failures, bytes saved."""
+    saved = F.col("outcome") == "saved"
+    return plan.groupBy("drive_id").agg(F.count_if(saved).alias("files_saved"), F.count_if(~saved).alias("files_skipped"), F.count_if(F.col("outcome") == "mismatch").alias("integrity_failures"), F.coalesce(F.sum(F.when(saved, F.col("size_bytes"))), F.lit(0)).cast("long").alias("total_bytes"))
+
+
 def tenant_rollup(outcomes: DataFrame) -> DataFrame:
     """Per tenant: owners backed up and failed, and sums of stored, deduplicated and attachments, where a missing one is 0."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)

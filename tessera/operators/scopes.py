@@ -28,6 +28,25 @@ def deletion_targets(keys: DataFrame, versions: DataFrame, prefixes: tuple[str,
     return x.withColumn("rank", F.when(F.col("key").contains("manifests/"), 0).otherwise(1))
 
 
+def snapshot_targets(keys: DataFrame, versions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Keys to delete for single snapshots, with version_id: their manifests alone, as other snapshots may need the same objects.
+
+    snapshots: workload (mail, drive or site), owner_id and snapshot_id. A mail snapshot is found by its id under any owner; the others by their exact keys.
+    """
+    name = F.concat(F.col("snapshot_id").cast("string"), F.lit(".json"))
+    prefix = F.when(F.col("workload") == "drive", DRIVE[0]).otherwise(SITE[0])
+    exact = snapshots.where("workload <> 'mail'").select(F.concat(prefix, F.col("owner_id").cast("string"), F.lit("/"), name).alias("key"))
+    mail = snapshots.where("workload = 'mail'").select(name.alias("_name"))
+    found = keys.where(F.col("key").startswith(MAIL[0])).withColumn("_name", F.substring_index("key", "/", -1)).join(mail, "_name", "left_semi").select("key")
+    mine = found.unionAll(keys.select("key").join(exact, "key", "left_semi")).distinct()
+    return mine.join(versions.select("key", "version_id"), "key", "left")
+
+
+def deletion_counts(results: DataFrame, by: str) -> DataFrame:
+    """deleted, retained and failed by a column, from rows with error (null: deleted)."""
+    return _tally(results.withColumn("outcome", deletion_outcome(F.col("error"))), by)
+
+
 def all_versions(versions: DataFrame, markers: DataFrame) -> DataFrame:
     """Versions of objects and delete markers as one list: key, version_id, is_delete_marker."""
     flag = lambda df, x: df.select("key", "version_id", F.lit(x).alias("is_delete_marker"))

@@ -77,10 +77,12 @@ def restore_mailbox_plan(spark, sf):
     return x.select("owner_id", "folder_id", "entries", "size_bytes", "processed_before", "display_name")
 
 
-@query("SELECT * FROM (VALUES ('REPORTS', 'R', NULL), ('notes', 'N', NULL), ('Missing', NULL, 'folder not found: Missing')) AS t(name, folder_id, warning)")
+@query("SELECT lower(n_name) AS name, n_nationkey AS folder_id, NULL AS warning FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT r_name, NULL, 'folder not found: ' || r_name FROM region")
 def folder_include_list(spark, sf):
-    asked = spark.createDataFrame([("REPORTS",), ("notes",), ("Missing",)], "name string")
-    return restore.chosen_folders(adapters.folders(spark), asked)
+    """Nations as folders: every other one is asked for in lower case, and so are the regions, which aren't folders."""
+    nation, region = adapters.table(spark, sf, "nation"), adapters.table(spark, sf, "region")
+    asked = nation.where("n_nationkey % 2 = 0").select(F.lower("n_name").alias("name")).unionAll(region.select("r_name"))
+    return restore.chosen_folders(nation.select(F.col("n_nationkey").alias("folder_id"), F.col("n_name").alias("display_name")), asked)
 
 
 _FILES = f"""{_CHG}, files AS (SELECT drive_id, item_id AS file_id, seq, change_type, CASE WHEN path = '/a' THEN '/Docs/Mail' ELSE '/Docs' END AS parent_path, name AS file_name, CASE WHEN seq % 17 = 3 THEN '' ELSE concat(path, '-', name, '-', coalesce(etag, 'none')) END AS storage_key, seq % 3 AS snapshot_id, seq % 1000 AS size_bytes FROM chg)"""

@@ -3,7 +3,7 @@
 import pytest
 
 from tests import oracle
-from tessera.plans import composed, feeds, registry  # noqa: F401  composed and feeds register their queries
+from tessera.plans import composed, feeds, registry, workloads  # noqa: F401  the others register their queries in registry
 
 SF = "/root/testdata/sf0.001"
 
