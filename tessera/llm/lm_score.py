@@ -7,8 +7,8 @@ prior of the piece probabilities; the expected counts of pieces in the training
 sums under those scores, are added to it.
 
 Words are counted over all training documents, and each distinct word is scored once. Frequent words, at most
-FREQUENT of them, are sent to the tasks; the others of a document are joined with the table of words. So no key
-of that join is frequent.
+FREQUENT of them, of at most SHORT bytes each and SENT_BYTES in all, are sent to the tasks; the others of a document are joined with the table of words. So no key
+of that join is frequent, unless it is that of a long word.
 
 Nulls count as empty texts, which have only the end. Repeated rows give repeated results. With nothing to learn
 from, the vocabulary's scores stand alone.
@@ -29,6 +29,8 @@ from tessera.llm import vocab
 from tessera.llm.common import STEP, crc_mod, lower_words, map_rows, name_of, read_documents
 from tessera.session import cut
 
+#: Most bytes of a word that is sent to the tasks, and of all that are.
+SHORT, SENT_BYTES = 256, 8 << 20
 #: Most words sent to the tasks; distinct words of a partition that are counted before they are passed on.
 FREQUENT, FLUSH = 100_000, 250_000
 #: Training pieces that the vocabulary's own scores count as.
@@ -169,13 +171,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     table = cut(map_rows(words, per_word, "word binary, c long, n long, lp double"), "lm-scores")
     # The least count of the words to send: by steps of a twelfth of an octave, so that few rows come back.
     step = F.floor(F.log2("n") * 12).cast("long")
-    steps = sorted(((r[0], r[1]) for r in table.groupBy(step.alias("step")).count().collect()), reverse=True)
-    least, sent = 1 << 62, 0
-    for at, count in steps:
-        if sent + count > FREQUENT:
+    short = table.where(F.octet_length("word") <= SHORT)
+    steps = short.groupBy(step.alias("step")).agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).collect()
+    least, sent, size = 1 << 62, 0, 0
+    for at, count, held in sorted(steps, reverse=True):
+        if sent + count > FREQUENT or size + held > SENT_BYTES:
             break
-        least, sent = at, sent + count
-    often = table.where(step >= least).select("word", "c", "lp").collect() if sent else []
+        least, sent, size = at, sent + count, size + held
+    often = short.where(step >= least).select("word", "c", "lp").collect() if sent else []
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): (r["c"] > 0, base_of(r["c"]), r["lp"]) for r in often})
     del often
     own = (ends > 0, base_of(ends), end_score)

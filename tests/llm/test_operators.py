@@ -573,6 +573,23 @@ def test_a_long_word_takes_little_memory():
         tracemalloc.stop()
 
 
+def test_very_long_words_in_spark(spark):
+    """A word of five megabytes, repeated and frequent, goes through op1's, op5's and op8's operators; it isn't sent to the tasks."""
+    long = "ab" * 2_500_000
+    data = [(i, f"{long} and {long}" if i < 2 else f"short words {i}") for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in lm_score.score(df).collect()}
+    want = brute.word_model([(d, t) for d, t in data])
+    counts = Counter(w for _, t in data for w in brute.space_words(t))
+    n, v = sum(counts.values()) + 6, len(counts) + 1
+    for d, t in data:
+        words = brute.space_words(t)
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words) + math.log10(6.5 / (n + 0.5 * (v + 1)))
+        assert got[d][0] == want[d][1] == len(words) + 1 and got[d][1] == len(words) + 1 and abs(got[d][2] - base) < 1e-6 and got[d][3] < 0
+    classes = {r.doc_id: r.component for r in jaccard_join.jaccard_classes(df).collect()}
+    assert classes == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
 def test_lattice_sums_all_segmentations():
     scores = {b" ": -1.0, b"a": -1.5, b"b": -2.0, b" a": -1.2, b"ab": -0.7, b" ab": -3.0, b"ba": -2.5}
     lattice = lm_score.Lattice(scores)
