@@ -50,3 +50,17 @@ def throttle_islands(raises: DataFrame, minutes: int = 30) -> DataFrame:
     x = raises.withColumn("new", (F.coalesce(at - F.lag(at).over(w), F.lit(width)) >= width).cast("int"))
     x = x.withColumn("island", F.sum("new").over(w))
     return x.groupBy("tenant_id", "island").agg(F.min("ts").alias("start"), (F.max("ts") + F.make_dt_interval(mins=F.lit(minutes))).alias("end"), F.count(F.lit(1)).alias("raises")).drop("island")
+
+
+def concurrency(requests: DataFrame, limit: int = 4) -> DataFrame:
+    """Per tenant: the most requests at once, and how many began while `limit` or more were under way, as a limiter would have made them wait.
+
+    requests: tenant_id, seq, start_us, end_us (an end isn't part of the request). Starts and ends are one ordered list with a
+    running sum over range partitions, so a busy tenant is in many tasks.
+    """
+    from tessera.operators.ordering import running
+
+    start = requests.select("tenant_id", F.col("start_us").alias("at"), F.lit(1).alias("kind"), "seq", F.lit(1).cast("long").alias("step"))
+    end = requests.select("tenant_id", F.col("end_us").alias("at"), F.lit(0).alias("kind"), "seq", F.lit(-1).cast("long").alias("step"))
+    x = running(start.unionAll(end), ["tenant_id"], [F.col("at"), F.col("kind"), F.col("seq")], {"open": "step"}, "concurrency")
+    return x.where("kind = 1").groupBy("tenant_id").agg(F.max("open").alias("most"), F.count_if(F.col("open") > limit).alias("waiting"))

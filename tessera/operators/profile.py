@@ -10,6 +10,18 @@ from tessera.session import cut
 DOMAINS = [("crypto", "Brand#1"), ("storage", "Brand#2"), ("network", "Brand#[34]")]
 
 
+#: Domains of scripts that aren't a project's own, by pattern, the first that matches counts; a project's rules go before them.
+SCRIPTS = [
+    ("node:crypto", "node:crypto"), ("node:streams", "node:internal/streams"), ("node:internals", "node:internal/"), ("node:network", "node:net|node:tls|node:https|node:http"), ("node:fs", "node:fs|node:path"), ("node:other", "node:"),
+    ("aws-sdk", "@aws-sdk/"), ("ms-graph-sdk", "@microsoft/microsoft-graph-client"), ("dependencies", "node_modules/"),
+]
+
+
+def script_domain(url: Column, project: list[tuple[str, str]]) -> Column:
+    """Domain of a script's URL: by the project's rules, then by SCRIPTS."""
+    return domain(F.when(url != "(unknown)", url), project + SCRIPTS, "(other)", "(runtime)")
+
+
 def domain(name: Column, rules: list[tuple[str, str]] = DOMAINS, other: str = "other", none: str = "runtime") -> Column:
     """The first rule's domain whose pattern is found in a name; `none` for no name, `other` for no rule."""
     out = F.lit(other)

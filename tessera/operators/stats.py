@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.operators.ordering import locale_key
+
 MEASURES = ("messages", "size_bytes", "attachments", "attachment_bytes")
 
 
@@ -60,11 +62,11 @@ def by_folder(snapshots: DataFrame, unknown: str = "unknown") -> DataFrame:
 
 
 def owner_detail(heads: DataFrame, entries: DataFrame, unknown: str = "unknown") -> DataFrame:
-    """Per owner: snapshots, entries by folder in the order of their names, snapshots by month; each as one text of few parts."""
+    """Per owner: snapshots, entries by folder in the locale's order of their names, snapshots by month; each as one text of few parts."""
     joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda t: F.concat_ws(":", t["name"], t["n"].cast("string"))), ",")
     folder = F.coalesce("folder_id", F.lit(unknown))
     by_folder = entries.groupBy("owner_id", folder.alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    by_folder = by_folder.groupBy("owner_id").agg(joined(F.struct(F.lower("name").alias("key"), "name", "n")).alias("folders"))
+    by_folder = by_folder.groupBy("owner_id").agg(joined(F.struct(locale_key(F.col("name")).alias("key"), "name", "n")).alias("folders"))
     by_month = heads.groupBy("owner_id", month_key(F.col("created_at")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
     by_month = by_month.groupBy("owner_id").agg(F.sum("n").alias("snapshots"), joined(F.struct("name", "n")).alias("months"))
     return by_month.join(by_folder, "owner_id", "left")

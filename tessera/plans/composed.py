@@ -66,7 +66,7 @@ def manifest_find_exact(spark, sf):
 @query(f"""WITH {_ENT}, {_SNAP}, f AS (SELECT owner_id, folder_id, count(*) AS n FROM (SELECT owner_id, coalesce(ent.folder_id, 'unknown') AS folder_id FROM ent JOIN snap USING (snapshot_id)) GROUP BY 1, 2),
 m AS (SELECT owner_id, strftime(created_at, '%Y-%m') AS month, count(*) AS n FROM snap GROUP BY 1, 2)
 SELECT owner_id, snapshots, folders, months FROM (SELECT owner_id, count(*) AS snapshots FROM snap GROUP BY 1) JOIN (SELECT owner_id, string_agg(month || ':' || n, ',' ORDER BY month) AS months FROM m GROUP BY 1) USING (owner_id)
-LEFT JOIN (SELECT owner_id, string_agg(folder_id || ':' || n, ',' ORDER BY lower(folder_id)) AS folders FROM f GROUP BY 1) USING (owner_id)""")
+LEFT JOIN (SELECT owner_id, string_agg(folder_id || ':' || n, ',' ORDER BY icu_sort_key(folder_id, 'und')) AS folders FROM f GROUP BY 1) USING (owner_id)""")
 def stats_owner_detail(spark, sf):
     return stats.owner_detail(adapters.heads(spark, sf), adapters.flat_entries(spark, sf))
 

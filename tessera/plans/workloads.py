@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.functions import crypto, scalars
-from tessera.operators import catalog, cdc, limits, mailbox, manifests, merge, messages, restore, scopes
+from tessera.operators import catalog, cdc, limits, mailbox, manifests, merge, messages, profile, restore, scopes
 from tessera.plans.composed import _FILES, _OUT, _RECORD, _files, _keys, _KEYS, _opened, _records
 from tessera.plans.registry import _ITEMS, query
 from tessera.schemas import EXCLUDED_FOLDERS
@@ -256,3 +256,25 @@ def deleted_kinds(spark, sf):
     x = cdc.with_kind_before(x)
     kind = cdc.effective_kind(x)
     return x.groupBy("drive_id").agg(F.count(F.lit(1)).alias("items"), F.count_if("deleted").alias("deleted"), F.count_if(F.col("deleted") & (kind == "folder")).alias("deleted_folders"), F.count_if(F.col("deleted") & F.col("kind_before").isNull()).alias("unknown"))
+
+
+@query("""WITH u AS (SELECT CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN '(unknown)' WHEN 2 THEN 'node:internal/streams/' || event_id WHEN 3 THEN 'node:internal/x' WHEN 4 THEN 'node:https' WHEN 5 THEN 'node:zlib' WHEN 6 THEN '/app/node_modules/@aws-sdk/c.js' WHEN 7 THEN '/app/node_modules/x/' || event_id WHEN 8 THEN '/app/lib/storage/node_modules/a.js' ELSE '/app/' || event_id END AS url, event_id % 100 AS self_us FROM events)
+SELECT CASE WHEN url IN ('', '(unknown)') THEN '(runtime)' WHEN contains(url, 'lib/storage/') THEN 'storage' WHEN contains(url, '/streams/') THEN 'node:streams' WHEN contains(url, 'node:internal') THEN 'node:internals' WHEN url = 'node:https' THEN 'node:network' WHEN url = 'node:zlib' THEN 'node:other' WHEN contains(url, 'aws') THEN 'aws-sdk' WHEN contains(url, 'node_modules') THEN 'dependencies' ELSE '(other)' END AS domain, count(*) AS functions, CAST(sum(self_us) AS BIGINT) AS self_us FROM u GROUP BY 1""")
+def script_domains(spark, sf):
+    """Time by domain of the scripts that functions are in: a project's rule first, then the fixed ones."""
+    n = F.col("event_id")
+    kinds = ["", "(unknown)", None, "node:internal/x", "node:https", "node:zlib", "/app/node_modules/@aws-sdk/c.js", "/app/node_modules/x/", "/app/lib/storage/node_modules/a.js", "/app/"]
+    text = n.cast("string")
+    url = F.when(n % 10 == 2, F.concat(F.lit("node:internal/streams/"), text)).otherwise(F.element_at(F.array(*map(F.lit, kinds)), (n % 10 + 1).cast("int")))
+    url = F.when((n % 10).isin(7, 9), F.concat(url, text)).otherwise(url)
+    x = adapters.table(spark, sf, "events").select(profile.script_domain(url, [("storage", "lib/storage/")]).alias("domain"), (n % 100).alias("self_us"))
+    return x.groupBy("domain").agg(F.count(F.lit(1)).alias("functions"), F.sum("self_us").alias("self_us"))
+
+
+@query("""WITH r AS (SELECT user_id % 5 AS tenant_id, event_id AS seq, epoch_us(ts) AS s, epoch_us(ts) + (event_id % 60 + 1) * 60000000 AS e FROM events), p AS (SELECT tenant_id, s AS moment, 1 AS kind, seq, 1 AS step FROM r UNION ALL SELECT tenant_id, e, 0, seq, -1 FROM r),
+o AS (SELECT *, sum(step) OVER (PARTITION BY tenant_id ORDER BY moment, kind, seq ROWS UNBOUNDED PRECEDING) AS n FROM p) SELECT tenant_id, CAST(max(n) AS BIGINT) AS most, count(*) FILTER (n > 4) AS waiting FROM o WHERE kind = 1 GROUP BY 1""")
+def request_concurrency(spark, sf):
+    """How many requests of a tenant are under way at once, and how many begin beyond the four that a limiter lets through."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    x = adapters.table(spark, sf, "events").select((F.col("user_id") % 5).alias("tenant_id"), F.col("event_id").alias("seq"), at.alias("start_us"), (at + (F.col("event_id") % 60 + 1) * 60_000_000).alias("end_us"))
+    return limits.concurrency(x)
