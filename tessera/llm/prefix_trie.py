@@ -187,12 +187,13 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     below = paths.join(totals, "conv_id").groupBy("node").agg(F.sum("leaves").alias("leaves"), F.sum("saved_tokens").alias("saved_tokens"))
     x = x.join(below, "node")
 
-    # Of the parents, the hot ones are few and sent to all tasks, so that no key of the join is hot.
+    # Of the parents, the hot ones are few and sent to all tasks; their children are dealt by their own names then, so no key of the join is hot.
     n, hot = nodes.count(), F.col("n_children") * HOT
     parents = x.where("n_children > 0").select(F.col("node").alias("above"), F.col("least").alias("parent_conv"), "n_children")
-    for k, part in enumerate((F.broadcast(parents.where(hot > n)), parents.where(hot <= n))):
-        part = part.select(F.col("above").alias(f"above_{k}"), F.col("parent_conv").alias(f"conv_{k}"))
-        x = x.join(part, x["parent"] == part[f"above_{k}"], "left")
+    few = parents.where(hot > n).select(F.col("above").alias("above_0"), F.col("parent_conv").alias("conv_0"))
+    x = x.join(F.broadcast(few), x["parent"] == few["above_0"], "left")
+    rest = parents.where(hot <= n).select(F.col("above").alias("above_1"), F.col("parent_conv").alias("conv_1"))
+    x = x.join(rest, F.when(F.col("conv_0").isNull(), x["parent"]).otherwise(x["node"]) == F.col("above_1"), "left")
     return x.select(
         "node",
         "parent",
