@@ -13,13 +13,14 @@ the spare segments are skipped (or empty) is allocated anew, together with the o
 
 In a crowd, elements that no other set of it has are a set's own. Sets with u and v own elements differ in u + v
 elements at least, so the rest of them may differ in H - u - v only. Sets that have so many of their own that no size
-and number of a partner suits them are done with. The others' rests are indexed by classes of own
+and number of a partner suits them are done with. The others' rests are indexed first by rare elements: the elements of a set
+that others have too are put in one order, rarest first; similar sets have one of the first few in common, as many as
+a set may lose and stay similar, and one more, less its own. Those that wait because of costly keys are then indexed by classes of own
 elements, with as few segments as that smaller bound needs: the more a set is edited, the larger its segments
 become, until nobody shares them. Every other level also halves the number of segments and indexes one-deletion
 neighbourhoods, so that segments that differ in one element meet too. Levels follow each other, with other
 segments and smaller crowds, while they at least halve the sets that wait, and at most LEVELS of them. What waits
-then, such as sets with fewer elements than segments, is settled by rare elements: the elements of a set that others have too are put in one order, rarest
-first; similar sets have one of the first few in common, as many as a set may lose and stay similar, and one more. No set waits after that.
+then, such as sets with fewer elements than segments, is settled by rare elements without skipping any. No set waits after that.
 
 Documents with equal sets are one set. Rows are never paired with rows, and no group is gathered in one place:
 the groups of a key are streamed from sorted partitions, to which each task sends a set once.
@@ -43,10 +44,10 @@ from tessera.llm.common import STEP, lower_words, read_documents, small
 from tessera.llm.components import components
 from tessera.session import cut, drop
 
-#: A key is costly if more sets than this are apart from its hub's class, and these times its sets are more than ROOM; sets that a task remembers to have sent.
-COSTLY, ROOM, SENT = 2, 1 << 18, 200_000
-#: Levels of segments, before what still waits is settled by rare elements.
-LEVELS = 8
+#: A key is costly if more sets than this are apart from its hub's class, and these times its sets are more than ROOM, or for rare elements, of which a set has few, RARE_ROOM; sets that a task remembers to have sent.
+COSTLY, ROOM, RARE_ROOM, SENT = 2, 1 << 18, 1 << 22, 200_000
+#: Levels before what still waits is settled by rare elements, and counters of elements in the order of rarity.
+LEVELS, COUNTERS = 8, 1 << 16
 #: Columns of a set's sketch, 64 bits each.
 SKETCH = [f"b{i}" for i in range(8)]
 _BITS = ", ".join(f"{c} long" for c in SKETCH)
@@ -340,16 +341,17 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
     named = cut(keys.join(needed.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
     drop(keys)
     over = needed.select("set", "excess", F.lit(0).cast("long").alias("own")).join(sets.select("set", *SKETCH), "set")
-    keys, links, level, before, last = named, None, 0, None, False
+    keys, links, level, before, room = named, None, 0, None, ROOM
     while True:
-        new, over, waiting = _settle(keys, over, sets, percent, links, last)
+        new, over, waiting = _settle(keys, over, sets, percent, links, room)
         links = new if links is None else cut(links.unionByName(new), "jaccard-links")
         drop(keys)
         if not waiting:
             break
-        last = level == LEVELS or before is not None and 2 * waiting > before
+        last = level == LEVELS or level > 1 and 2 * waiting > before
         level, before = level + 1, waiting
-        keys, over = _by_rare_elements(sets, over, percent) if last else _allocate(sets, over, percent, level)
+        room = None if last else RARE_ROOM if level == 1 else ROOM
+        keys, over = _by_rare_elements(sets, over, percent) if last or level == 1 else _allocate(sets, over, percent, level - 1)
 
     drop(sets)
     roots = components(links)
@@ -359,10 +361,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
 
 def _allocate(sets: DataFrame, crowd: DataFrame, percent: int, level: int) -> tuple[DataFrame, DataFrame]:
     """Index the sets of a crowd anew, without their own elements: (key, place, set of sets under keys that others have too; set, excess, own)."""
-    mine = cut(sets.select("set", "n", "grams").join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
-    once = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long, times long").groupBy("element").agg(F.sum("times").alias("sets"), F.min("set").alias("set")).where("sets = 1")
-    own = once.groupBy("set").agg(F.collect_list("element").alias("mine"))
-    owned = cut(mine.join(own, "set", "left").withColumn("own", F.coalesce(F.size("mine"), F.lit(0)).cast("long")), "jaccard-owned")
+    owned, _ = _owned(sets, crowd)
     index = owned.join(_open(owned, percent), "set", "left_semi").select("set", "n", "grams", "mine").mapInArrow(_index_sets(percent, level), f"key long, set long, info long, name binary, {_BITS}")
     index = cut(index.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_stars(["name", *SKETCH]), f"key long, info long, hub long, set long, name binary, {_BITS}"), "jaccard-index")
     count, excess = _unpacked()
@@ -370,45 +369,54 @@ def _allocate(sets: DataFrame, crowd: DataFrame, percent: int, level: int) -> tu
     stars = index.where("info >= 0").select("key", F.col("info").alias("place"), "hub", F.col("set").alias("handle"))
     keys = stars.select("key", "place", "handle").unionByName(stars.select("key", "place", F.col("hub").alias("handle")).distinct())
     keys = cut(keys.join(over.select("handle", "set"), "handle").select("key", "place", "set"), "jaccard-keys")
-    drop(index, mine, owned)
+    drop(index, owned)
     return keys, over.drop("handle")
 
 
+def _owned(sets: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of a crowd (set, n, grams, mine: elements that no other of it has, own: their number), and (set, element, times) of each batch's elements."""
+    chosen = cut(sets.select("set", "n", "grams").join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
+    counts = chosen.select("set", "grams").mapInArrow(_elements, "set binary, element long, times long")
+    once = counts.groupBy("element").agg(F.sum("times").alias("sets"), F.min("set").alias("set")).where("sets = 1")
+    own = once.groupBy("set").agg(F.collect_list("element").alias("mine"))
+    return cut(chosen.join(own, "set", "left").withColumn("own", F.coalesce(F.size("mine"), F.lit(0)).cast("long")), "jaccard-owned"), counts
+
+
 def _by_rare_elements(sets: DataFrame, crowd: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Index the sets of a crowd by their rarest elements, as _allocate does by segments: (key, place, set; set, excess, own, sketch).
 
     A set of n elements has percent of them in common with a partner at least. Of its elements that others of the crowd
-    have, r in number and in one order for all sets, the first that both have is among the first r + 1 less those.
+    have, r in number and in one order for all sets, the first that both have is among the first r + 1 less those. The order is by COUNTERS
+    counts of elements, of which each element has one, so rare elements come first but for those that share a counter with frequent ones.
     """
-    mine = cut(sets.select("set", "n", "grams").join(crowd.select("set"), "set", "left_semi"), "jaccard-crowd")
-    counts = mine.select("set", "grams").mapInArrow(_elements, "set binary, element long, times long").groupBy("element").agg(F.sum("times").alias("sets")).where("sets > 1")
-    held = mine.select("set", "n", "grams").mapInArrow(_each, "set binary, n long, element long").join(counts, "element")
-    held = held.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "element"))).alias("held"))
-    first = F.size("held") + 1 - F.ceil(F.col("n") * percent / 100).cast("int")
-    held = cut(held.select("set", "n", "held", first.alias("first")).where("first > 0"), "jaccard-held")
-    keys = cut(held.select(F.explode(F.slice("held.element", F.lit(1), F.col("first"))).alias("key"), F.lit(0).cast("long").alias("place"), "set"), "jaccard-keys")
-    own = (F.col("n") - F.size("held")).cast("long")
-    over = held.select("set", F.lit(-BIAS).cast("long").alias("excess"), own.alias("own"), F.col("held.element").alias("rest"))
-    over = cut(over.mapInArrow(_with_sketch, f"set binary, excess long, own long, {_BITS}"), "jaccard-over")
-    drop(mine, held)
+    owned, counts = _owned(sets, crowd)
+    slots = counts.groupBy(F.col("element").bitwiseAND(COUNTERS - 1).alias("slot")).agg(F.sum("times").alias("times")).collect()
+    often = np.zeros(COUNTERS, np.int64)
+    for r in slots:
+        often[r["slot"]] = r["times"]
+    index = owned.join(_open(owned, percent), "set", "left_semi").select("set", "n", "grams", "mine").mapInArrow(_rare(percent, often), f"set binary, key long, own long, {_BITS}")
+    index = cut(index, "jaccard-rare")
+    keys = cut(index.where("key is not null").select("key", F.lit(0).cast("long").alias("place"), "set"), "jaccard-keys")
+    # A set with a costly key waits.
+    over = cut(index.where("key is null").select("set", F.lit(0).cast("long").alias("excess"), "own", *SKETCH), "jaccard-over")
+    drop(index, owned)
     return keys, over
 
 
-def _each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, n, grams) to a row for each element."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, STEP):
-            part = batch.slice(at, STEP)
-            grams = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
-            take = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(grams))], names=["set", "n", "element"])
+def _rare(percent: int, often: np.ndarray):
+    """(set, n, grams, mine: its own elements) to rows set, key for each of its first elements in the order of often, and one without a key, with own and the sketch of the rest."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n, data, mine in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = np.array(mine or [], np.int64).astype(np.uint64)
+                rest = np.setdiff1d(np.frombuffer(data, np.uint64), own, assume_unique=True)
+                first = max(0, len(rest) + 1 - -(-n * percent // 100))
+                k = rest[np.lexsort((rest, often[(rest & np.uint64(COUNTERS - 1)).astype(np.int64)]))][:first].astype(np.int64)
+                bits = [pa.array([None] * len(k) + [int(x)], pa.int64()) for x in sketch(rest)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(k) + 1), pa.binary()), pa.array([*k.tolist(), None], pa.int64()), pa.array([None] * len(k) + [len(own)], pa.int64()), *bits], names=["set", "key", "own", *SKETCH])
 
-def _with_sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, excess, own, rest: elements) to set, excess, own and the sketch of the rest."""
-    for batch in batches:
-        bits = np.array([sketch(np.array(x, np.int64).astype(np.uint64)) for x in batch.column(3).to_pylist()], np.int64).reshape(-1, len(SKETCH)).T
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in bits)], names=["set", "excess", "own", *SKETCH])
+    return run
 
 
 def _open(owned: DataFrame, percent: int) -> DataFrame:
@@ -441,10 +449,10 @@ def _sets(n: int):
     return run
 
 
-def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame, int]:
+def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None, room: int | None) -> tuple[DataFrame, DataFrame, int]:
     """Links that the keys of one level show, the sets that the next level must look at, and their number.
 
-    over has the excess and number of own elements of each set. On the last level no key is skipped, and no set goes on.
+    over has the excess and number of own elements of each set. Keys with more possible pairs than room are costly and skipped; without a room, on the last level, none is, and no set goes on.
     """
     degree = keys.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
     hubs = keys.join(degree, "set").groupBy("key").agg(F.max_by("set", F.struct("degree", "set")).alias("hub"))
@@ -460,7 +468,7 @@ def _settle(keys: DataFrame, over: DataFrame, sets: DataFrame, percent: int, lin
     stars = cut(stars.select("hub", "set", "new", "gone", "root", "apart"), "jaccard-apart")
     under = placed.join(stars, ["hub", "set"])
     odd = cut(under.groupBy("key").agg(F.count_if("apart").alias("odd"), F.count(F.lit(1)).alias("size")).where("odd > 0"), "jaccard-odd")
-    dear = F.lit(False) if last else (F.col("odd") > COSTLY) & (F.col("odd") * F.col("size") > ROOM)
+    dear = F.lit(False) if room is None else (F.col("odd") > COSTLY) & (F.col("odd") * F.col("size") > room)
     costly = odd.where(dear).select("key")
     # Segments under costly keys, and those without a key, are skipped: who has more than the spare ones of them looks again.
     hard = placed.join(costly, "key", "left_semi").select("set", "place").distinct()

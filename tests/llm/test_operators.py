@@ -336,9 +336,13 @@ def family(seed, copies, base_words, edits):
     return out
 
 
-@pytest.mark.parametrize("costly", [16, 0])
-def test_classes_of_a_hot_family(spark, monkeypatch, costly):
+@pytest.mark.parametrize("costly,room", [(16, None), (0, 0)])
+def test_classes_of_a_hot_family(spark, monkeypatch, costly, room):
+    """With a room of none, sets go through rare elements and on to segments and their one-deletion neighbourhoods."""
     monkeypatch.setattr(jaccard_join, "COSTLY", costly)
+    if room is not None:
+        monkeypatch.setattr(jaccard_join, "ROOM", room)
+        monkeypatch.setattr(jaccard_join, "RARE_ROOM", room)
     data = family(3, 120, 120, [0, 1, 2, 3, 4, 5, 8])
     got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard_join.jaccard_classes(spark.createDataFrame(data, "doc_id long, text string"), n=4, percent=85).collect()}
     assert got == brute.classes(data)
@@ -398,7 +402,8 @@ def test_every_level_finds_all_pairs():
 
 def test_classes_at_a_stall(spark, monkeypatch):
     """A family without elements of one set's own, and levels that never halve what waits."""
-    monkeypatch.setattr(jaccard_join, "COSTLY", 0)
+    for name in ("COSTLY", "ROOM", "RARE_ROOM"):
+        monkeypatch.setattr(jaccard_join, name, 0)
     draw = random.Random(11)
     base = [f"b{i}" for i in range(60)]
     data = []
