@@ -114,16 +114,18 @@ class ObjectStoreWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _open(self.root)
-        mark, made = f".{uuid.uuid4().hex}", set()
+        mark = f".{uuid.uuid4().hex}"
         for batch in iterator:
             for key, body in zip(batch.column("key").to_pylist(), batch.column("body").to_pylist()):
                 if key is None or not sound(key):
                     raise ValueError(f"not a key: {key!r}")
                 folder, _, name = f"{root}/{key}".rpartition("/")
-                if folder not in made:
+                try:
+                    file = store.open_output_stream(f"{folder}/{mark}.{name}")
+                except FileNotFoundError:  # as a rule, another object has made the folder
                     store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(f"{folder}/{mark}.{name}") as file:
+                    file = store.open_output_stream(f"{folder}/{mark}.{name}")
+                with file:
                     file.write(body or b"")
                 store.move(f"{folder}/{mark}.{name}", f"{folder}/{name}")
         return WriterCommitMessage()
