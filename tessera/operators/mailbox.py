@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions import crypto
+from tessera.functions import crypto, udfs
 from tessera.operators import cdc, merge
 from tessera.schemas import EXCLUDED_FOLDERS
-from tessera.sources import object_store
+from tessera.sources import packs
 
 
 def backup(feed: DataFrame, folders: DataFrame, previous: DataFrame, stored: DataFrame, force: Column | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def backup(feed: DataFrame, folders: DataFrame, previous: DataFrame, stored: Dat
 
 def read_messages(entries: DataFrame, root: str, key: Column, keys: DataFrame, schema: str) -> DataFrame:
     """entries (tenant, storage_key and more) and message (a struct of the schema) of each whose object is there, can be opened and parsed. keys: tenant and the data keys, of which key is the column."""
-    found = object_store.get(entries, root, "storage_key").where("body is not null").join(keys, "tenant")
-    text = crypto.decrypt(F.col("body"), key).cast("string")
+    found = packs.get(entries, root, "storage_key").where("body is not null").join(keys, "tenant")
+    text = udfs.inflate(crypto.decrypt(F.col("body"), key)).cast("string")
     out = found.withColumn("message", F.from_json(text, schema)).where("message is not null")
     return out.select(*entries.columns, "message")

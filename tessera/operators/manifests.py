@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions import crypto
+from tessera.functions import crypto, udfs
 from tessera.schemas import ENTRY
 
 #: Schema of a stored snapshot document.
@@ -17,34 +17,34 @@ def document_key(owner: Column, snapshot: Column, prefix: str = "manifests/") ->
 
 def build(snapshots: DataFrame, previous_objects: Column | None = None) -> DataFrame:
     """Snapshots with their totals: bytes of entries and attachments, and objects, never fewer than before."""
-    from tessera.operators.stats import with_totals
+    from tessera.operators.stats import entry_totals
 
-    totals = with_totals(snapshots).select("snapshot_id", F.col("messages"), F.col("size_bytes").alias("total_size_bytes"))
-    out = snapshots.join(totals, "snapshot_id")
     before = F.lit(0) if previous_objects is None else F.coalesce(previous_objects, F.lit(0))
-    return out.withColumn("total_objects", F.greatest("messages", before).cast("long")).drop("messages")
+    out = snapshots.withColumn("_t", entry_totals(F.col("entries")))
+    out = out.withColumn("total_size_bytes", F.col("_t.size") + F.col("_t.att")).drop("_t")
+    return out.withColumn("total_objects", F.greatest(F.size("entries").cast("long"), before).cast("long"))
 
 
 def encode(built: DataFrame, key: Column, prefix: str = "manifests/") -> DataFrame:
-    """Columns key and body of each snapshot: its JSON, fields that are null left out, encrypted with a random IV."""
+    """Columns key and body of each snapshot: its JSON, fields that are null left out, compressed, and encrypted with a random IV."""
     links = F.col("delta_links") if "delta_links" in built.columns else F.create_map().cast("map<string,string>")
     document = F.struct("owner_id", "snapshot_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"), "total_objects", "total_size_bytes", links.alias("delta_links"), "entries")
-    return built.select(document_key(F.col("owner_id"), F.col("snapshot_id"), prefix).alias("key"), crypto.encrypt(F.to_json(document).cast("binary"), key).alias("body"))
+    return built.select(document_key(F.col("owner_id"), F.col("snapshot_id"), prefix).alias("key"), crypto.encrypt(udfs.deflate(F.to_json(document).cast("binary")), key).alias("body"))
 
 
 def save(built: DataFrame, key: Column, root: str, prefix: str = "manifests/", damaged: Column | None = None) -> None:
     """Write each snapshot's encrypted document under its key in a store. damaged (of column key): documents to which a byte is added, as a test needs them."""
-    from tessera.sources import object_store
+    from tessera.sources import packs
 
     x = encode(built, key, prefix)
     if damaged is not None:
         x = x.withColumn("body", F.when(damaged, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")))
-    object_store.put(x, root)
+    packs.put(x, root)
 
 
 def decode(store: DataFrame, key: Column, prefix: str = "manifests/") -> DataFrame:
     """The snapshots under a prefix; what can't be decrypted or parsed is left out. Columns: key and those of the document."""
-    text = crypto.decrypt(F.col("body"), key).cast("string")
+    text = udfs.inflate(crypto.decrypt(F.col("body"), key)).cast("string")
     x = store.where(F.col("key").startswith(prefix)).select("key", F.from_json(text, DOCUMENT).alias("d"))
     return x.where(F.col("d.snapshot_id").isNotNull()).select("key", "d.*")
 

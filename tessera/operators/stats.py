@@ -9,13 +9,17 @@ from tessera.operators.ordering import locale_key
 MEASURES = ("messages", "size_bytes", "attachments", "attachment_bytes")
 
 
-def with_totals(snapshots: DataFrame) -> DataFrame:
-    """Per snapshot: entries, their bytes with attachments, attachments, their bytes. A missing attachment list counts as empty."""
+def entry_totals(entries: Column) -> Column:
+    """Sums over an array of entries, as a struct: size (their bytes), n (attachments) and att (their bytes). A missing attachment list counts as empty."""
     count = lambda e: F.coalesce(F.size(e["attachments"]), F.lit(0))
     size = lambda e: F.aggregate(F.coalesce(e["attachments"], F.array().cast("array<struct<size_bytes:bigint>>")), F.lit(0).cast("long"), lambda a, x: a + x["size_bytes"])
     zero = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("att"))
-    total = F.aggregate("entries", zero, lambda a, e: F.struct((a["size"] + e["size_bytes"]).alias("size"), (a["n"] + count(e)).alias("n"), (a["att"] + size(e)).alias("att")))
-    out = snapshots.withColumn("_t", total)
+    return F.aggregate(entries, zero, lambda a, e: F.struct((a["size"] + e["size_bytes"]).alias("size"), (a["n"] + count(e)).alias("n"), (a["att"] + size(e)).alias("att")))
+
+
+def with_totals(snapshots: DataFrame) -> DataFrame:
+    """Per snapshot: entries, their bytes with attachments, attachments, their bytes."""
+    out = snapshots.withColumn("_t", entry_totals(F.col("entries")))
     return out.select("owner_id", "snapshot_id", "created_at", F.size("entries").cast("long").alias("messages"), (F.col("_t.size") + F.col("_t.att")).alias("size_bytes"), F.col("_t.n").alias("attachments"), F.col("_t.att").alias("attachment_bytes"))
 
 

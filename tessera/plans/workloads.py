@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.functions import crypto, scalars
+from tessera.functions import crypto, scalars, udfs
 from tessera.operators import catalog, cdc, limits, mailbox, manifests, merge, messages, profile, restore, scopes
 from tessera.plans.composed import _FILES, _OUT, _RECORD, _files, _keys, _KEYS, _opened, _records
 from tessera.plans.registry import _ITEMS, query
 from tessera.schemas import EXCLUDED_FOLDERS
 from tessera.session import shared_dir
-from tessera.sources import adapters, object_store
+from tessera.sources import adapters, packs
 
 #: Folders of the mail feeds that queries make of events, by event type; drafts are excluded, and one has no name.
 _FOLDERS = {"view": "Inbox", "click": "Archive", "signup": "Drafts", "purchase": "Sent", "error": None}
@@ -129,9 +129,9 @@ def read_message(spark, sf):
     root = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
     documents = messages.message_json(adapters.table(spark, sf, "conversations"))
     name = F.concat_ws("/", F.lit("data"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    sealed = documents.withColumn("tenant", F.lit("tenant")).join(keys, "tenant").select(name.alias("key"), "conv_id", "turn", crypto.encrypt(F.col("json").cast("binary"), F.col("data_key")).alias("body"))
+    sealed = documents.withColumn("tenant", F.lit("tenant")).join(keys, "tenant").select(name.alias("key"), "conv_id", "turn", crypto.encrypt(udfs.deflate(F.col("json").cast("binary")), F.col("data_key")).alias("body"))
     damaged = (F.col("conv_id") * 31 + F.col("turn")) % 11 == 4
-    object_store.put(sealed.select("key", F.when(damaged, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")).alias("body")), root)
+    packs.put(sealed.select("key", F.when(damaged, F.concat("body", F.lit(b"x"))).otherwise(F.col("body")).alias("body")), root)
     c = adapters.table(spark, sf, "conversations")
     entry = F.struct(F.col("turn"), F.col("role"), F.col("text"), F.col("turn").alias("object_id"), name.alias("storage_key"))
     snapshots = c.groupBy(F.col("conv_id").alias("snapshot_id")).agg(F.array_sort(F.collect_list(entry)).alias("entries")).withColumn("owner_id", F.col("snapshot_id"))
@@ -148,10 +148,10 @@ def replication_status_stored(spark, sf):
     records = _records(spark, sf, 1).drop("completed_at", "started_at")
     name = F.concat_ws("/", F.lit("_replication"), F.col("owner_id").cast("string"), F.col("snapshot_id").cast("string"), F.concat("target_id", F.lit(".json")))
     sealed = records.withColumn("tenant", F.lit("tenant")).join(keys, "tenant")
-    body = crypto.encrypt(F.to_json(F.struct(*records.columns)).cast("binary"), F.col("data_key"))
-    object_store.put(sealed.select(name.alias("key"), F.when(F.col("snapshot_id") % 13 == 5, F.lit(b"damaged")).otherwise(body).alias("body")), root)
-    there = _opened(object_store.objects(spark, root, "_replication/1"), keys)
-    parsed = F.from_json(crypto.decrypt(F.col("body"), F.col("data_key")).cast("string"), records.schema)
+    body = crypto.encrypt(udfs.deflate(F.to_json(F.struct(*records.columns)).cast("binary")), F.col("data_key"))
+    packs.put(sealed.select(name.alias("key"), F.when(F.col("snapshot_id") % 13 == 5, F.lit(b"damaged")).otherwise(body).alias("body")), root)
+    there = _opened(packs.objects(spark, root, "_replication/1"), keys)
+    parsed = F.from_json(udfs.inflate(crypto.decrypt(F.col("body"), F.col("data_key"))).cast("string"), records.schema)
     return there.select(parsed.alias("r")).where("r.snapshot_id is not null").select("r.*")
 
 
@@ -166,7 +166,7 @@ def file_manifest_store(spark, sf):
     built = manifests.build(heads).withColumn("tenant", F.lit("tenant")).join(keys, "tenant")
     for prefix in ("onedrive/manifests/", "sharepoint/manifests/"):
         manifests.save(built, F.col("data_key"), root, prefix)
-    x = manifests.decode(_opened(object_store.objects(spark, root, "sharepoint/"), keys), F.col("data_key"), "sharepoint/manifests/")
+    x = manifests.decode(_opened(packs.objects(spark, root, "sharepoint/"), keys), F.col("data_key"), "sharepoint/manifests/")
     return x.select("key", "owner_id", "snapshot_id", "total_objects")
 
 
