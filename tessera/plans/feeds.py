@@ -17,8 +17,8 @@ def _folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows of a page of the feeds that the queries write.
-PAGE = 400
+#: Rows of a page of the feeds that the queries write, and pages of a folder.
+PAGE, SHARED = 400, 256
 #: Links of a saved cursor: one drive goes on with its second page, one has a link that doesn't name its columns.
 SAVED = {"2": delta_feed.link(2, 1), "5": "/drives/5/root/delta?page=1"}
 
@@ -27,7 +27,7 @@ def _committed_feed(spark, sf):
     """A feed written from events, taken as a stream in three parts, with a stop and a new start between them; gives the folder of what it saved."""
     pages, out = _folder(spark, "feed-pages"), _folder(spark, "feed-saved")
     items = adapters.delta_items(spark, sf).withColumn("item_id", F.when(F.col("seq") % 101 != 7, F.col("item_id")))
-    delta_feed.write_pages(items, pages, PAGE)
+    delta_feed.write_pages(items, pages, PAGE, SHARED)
     most = spark.read.parquet(pages).agg(F.max("page")).first()[0]
     per_batch = ((0 if most is None else most) + 3) // 3
     while True:

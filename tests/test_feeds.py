@@ -67,6 +67,27 @@ def test_a_feed_that_is_stopped_killed_and_grows(spark, tmp_path):
     assert Counter((d, i, s) for d, i, s, _, _ in more) == Counter((r[0], r[1], 1000 + r[3]) for r in rows[90:] if r[1] is not None)
 
 
+def test_pages_that_share_folders(spark, tmp_path):
+    """The same rows, links and epochs as from a folder for each page, by few tasks; a batch may end amid a folder, and pages come in later."""
+    rows, one, few = made(600, seed=9), f"file://{tmp_path}/one", f"file://{tmp_path}/few"
+    items = spark.createDataFrame(rows, ITEMS)
+    delta_feed.write_pages(items, one, 10)
+    delta_feed.write_pages(items, few, 10, 8)
+    saved = {"1": delta_feed.link(1, 3), "2": "/drives/2/root/delta?page=1"}
+    for k, per_batch in enumerate((0, 5, 8)):
+        for name, pages in (("one", one), ("few", few)):
+            start(spark, pages, f"file://{tmp_path}/{name}-{k}", per_batch, saved).awaitTermination()
+        assert saved_rows(spark, f"file://{tmp_path}/few-{k}") == saved_rows(spark, f"file://{tmp_path}/one-{k}")
+    reader = delta_feed.DeltaFeedReader({"path": few})
+    end = reader.latestOffset()
+    assert end == delta_feed.DeltaFeedReader({"path": one}).latestOffset()
+    parts, pages = reader.partitions(reader.initialOffset(), end), len(list((tmp_path / "one").glob("drive_id=*/page=*")))
+    assert pages == sum(p.last - p.page + 1 for p in parts) and len(parts) <= pages / 8 + 3
+    (tmp_path / "few/drive_id=0" / f"page={delta_feed.page_of(end['links']['0'])}").mkdir()
+    late = [(p.drive, p.page, p.last) for p in reader.partitions(end, reader.latestOffset())]
+    assert late == [("0", delta_feed.page_of(end["links"]["0"]), delta_feed.page_of(end["links"]["0"]))]
+
+
 def test_links_that_are_stale_or_saved(tmp_path):
     for drive, n in (("0", 3), ("1", 2), ("10", 1)):
         for page in range(n):
