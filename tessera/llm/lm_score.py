@@ -6,7 +6,8 @@ in log space. A document's probability is the product over its words and the end
 prior of the piece probabilities; the expected counts of pieces in the training words, with forward and backward
 sums under those scores, are added to it.
 
-Words are counted over all training documents, and each distinct word is scored once. Frequent words, at most
+Words are counted over all training documents, and each distinct word is scored once; the lattices of many words are
+summed at once, as arrays (Lattices), and those of words of more than WIDE bytes one by one (Lattice). Frequent words, at most
 FREQUENT of them, of at most SHORT bytes each and SENT_BYTES in all, are sent to the tasks; the others of a document are joined with the table of words. So no key
 of that join is frequent, unless it is that of a long word.
 
@@ -20,13 +21,15 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from copy import copy
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import vocab
-from tessera.llm.common import STEP, crc_mod, lower_words, map_rows, name_of, read_documents
+from tessera.llm.common import STEP, crc_mod, lower_words, name_of, read_documents
 from tessera.session import cut
 
 #: Most bytes of a word that is sent to the tasks, and of all that are.
@@ -37,6 +40,10 @@ FREQUENT, FLUSH = 100_000, 250_000
 PRIOR = 1000.0
 #: Words of more bytes don't keep their pieces; parts of one in which expected counts, and in which sums of logarithms, are added up.
 LONG, UNIT, FINE = 4096, 1 << 40, 1 << 32
+#: Bytes of the longest words whose lattices are summed as arrays, and places (bytes of words, padded) in such arrays. No word has the byte NONE.
+WIDE, PLACES, NONE = 512, 1 << 15, 256
+#: Logarithm of what can't be reached: finite, so that differences are no NaN.
+NEVER = -1e300
 
 
 class Lattice:
@@ -103,6 +110,167 @@ class Lattice:
             b[start] = top
 
 
+class Lattices:
+    """The lattices of many words at once, as arrays; they give the sums of Lattice.
+
+    Pieces are found by a trie with one slot for each node: a node's child by a byte stands at base[node] + byte, if owner says that it is this node's.
+    Sums to and from a place are relative to the best single way to it, so that they neither vanish nor overflow, however improbable a word is
+    (a word of n bytes has at most 2 ** n ways). Each sum is made in the order of the starts, whatever words stand beside.
+    """
+
+    def __init__(self, scores: dict[bytes, float]):
+        self.pieces, self.scores, self.single = list(scores), np.fromiter(scores.values(), np.float64, len(scores)), None
+        self.number = {p: i for i, p in enumerate(self.pieces)}
+        children: dict[bytes, list[int]] = {}
+        for prefix in {p[:i] for p in scores for i in range(1, len(p) + 1)}:
+            children.setdefault(prefix[:-1], []).append(prefix[-1])
+        # Parents of many children first, each looking on from where the one before found room; those of one take what is left.
+        order = sorted(children, key=lambda p: (-len(children[p]), p))
+        several = [p for p in order if len(children[p]) > 1]
+        size = sum(map(len, children.values())) + 8 * NONE
+        free, bases, at = np.ones(2 * size, bool), {}, 1
+        for i, prefix in enumerate(several):
+            held = np.array(sorted(children[prefix]))
+            if i and len(held) < len(children[several[i - 1]]):
+                at = 1
+            while True:
+                if at + 5 * NONE > len(free):
+                    free = np.concatenate([free, np.ones(size, bool)])
+                room = free[at + held[0] : at + held[0] + NONE].copy()
+                for byte in held[1:]:
+                    room &= free[at + byte : at + byte + NONE]
+                found = int(room.argmax())
+                at += found if room[found] else NONE
+                if room[found]:
+                    break
+            free[at + held] = False
+            bases[prefix] = at
+        left = order[len(several) :]
+        if left:
+            free = np.concatenate([free, np.ones(size, bool)])
+            for prefix, slot in zip(left, (np.flatnonzero(free[NONE:]) + NONE).tolist()):
+                bases[prefix] = slot - children[prefix][0]
+        end = max(bases.values(), default=0) + 2 * NONE
+        self.base, self.owner, self.piece = np.zeros(end, np.int64), np.full(end, -1, np.int64), np.full(end, -1, np.int64)
+        slot = lambda p: bases[p[:-1]] + p[-1] if p else 0
+        for prefix, base in bases.items():
+            self.base[slot(prefix)] = base
+            self.owner[base + np.array(children[prefix])] = slot(prefix)
+        for p, i in self.number.items():
+            self.piece[slot(p)] = i
+
+    def with_scores(self, scores: dict[bytes, float]) -> Lattices:
+        """The same pieces with other scores."""
+        other = copy(self)
+        other.scores, other.single = np.array([scores[p] for p in self.pieces]), None
+        return other
+
+    def one(self) -> Lattice:
+        """The lattice for words of more than WIDE bytes, made when there is one."""
+        if self.single is None:
+            self.single = Lattice(dict(zip(self.pieces, self.scores.tolist())))
+        return self.single
+
+    def groups(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """Places in the list of words that are summed together: those of more than WIDE bytes alone, others with such of like length."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        end = len(order)
+        while end:
+            n = int(lengths[order[end - 1]]) + 1
+            start = max(0, end - (PLACES // n if n <= WIDE else 1))
+            yield order[start:end]
+            end = start
+
+    def sums(self, words: list[bytes]) -> tuple:
+        """Of each word with a leading space: length, logarithm of the best way, sum of all ways relative to it. Then the lattice: probabilities
+        by start, piece's length and word, sums to each place, and edges (length, start, piece, probability)."""
+        m = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, m) + 1
+        n = int(lengths.max())
+        rows = np.full((m, n), NONE, np.int64)
+        rows[:, 0] = 32
+        rows[:, 1:][np.arange(1, n) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        # A place is position * m + word.
+        text = rows.T.ravel()
+        at, node, found = np.arange(n * m), np.zeros(n * m, np.int64), []
+        for length in range(1, n + 1):
+            inside = np.searchsorted(at, (n - length + 1) * m)
+            at, node = at[:inside], node[:inside]
+            to = self.base[node] + text[at + (length - 1) * m]
+            fits = np.flatnonzero(self.owner[to] == node)
+            if not len(fits):
+                break
+            at, node = at[fits], to[fits]
+            ids = self.piece[node]
+            whole = np.flatnonzero(ids >= 0)
+            found.append((length, at[whole], ids[whole]))
+        longest = max(1, len(found))
+        cells = np.full((n, longest, m), NEVER)
+        # A cell is position * longest * m + (length - 1) * m + word.
+        cell = lambda length, at: at + at // m * ((longest - 1) * m) + (length - 1) * m
+        for length, at, ids in found:
+            cells.ravel()[cell(length, at)] = self.scores[ids]
+        best = np.full((n + 1, m), NEVER)
+        best[0] = 0.0
+        for start in range(n):
+            to = best[start + 1 : start + 1 + longest]
+            np.maximum(to, best[start] + cells[start, : len(to)], out=to)
+        cells[:] = 0.0
+        edges = []
+        for length, at, ids in found:
+            p = np.exp(best.ravel()[at] + self.scores[ids] - best.ravel()[at + length * m])
+            cells.ravel()[cell(length, at)] = p
+            edges.append((length, at, ids, p))
+        a = np.zeros((n + 1, m))
+        a[0] = 1.0
+        for start in range(n):
+            to = a[start + 1 : start + 1 + longest]
+            to += a[start] * cells[start, : len(to)]
+        each = np.arange(m)
+        return lengths, best[lengths, each], a[lengths, each], cells, a, edges
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        out = np.empty(len(words))
+        for group in self.groups(words):
+            some = [words[i] for i in group]
+            if len(some[-1]) >= WIDE:
+                out[group] = [self.one().log_probability(w) for w in some]
+            else:
+                _, best, total, *_ = self.sums(some)
+                out[group] = [b + math.log(x) if x else -math.inf for b, x in zip(best.tolist(), total.tolist())]
+        return out
+
+    def expect(self, words: list[bytes], times: list[int], into: tuple[np.ndarray, np.ndarray]) -> None:
+        """Add the expected number of each piece in the words, times `times`, to two arrays: whole ones, and parts in units of 1 / UNIT, fewer than UNIT."""
+        whole, parts = into
+        for group in self.groups(words):
+            some = [words[i] for i in group]
+            if len(some[-1]) >= WIDE:
+                found: Counter = Counter()
+                for i in group:
+                    self.one().expect(words[i], times[i], found)
+                for piece, units in found.items():
+                    whole[self.number[piece]] += units // UNIT
+                    parts[self.number[piece]] += units % UNIT
+            else:
+                lengths, _, total, cells, a, edges = self.sums(some)
+                m, longest = len(some), cells.shape[1]
+                b = np.zeros_like(a)
+                b[lengths, np.arange(m)] = 1.0
+                for start in range(len(a) - 2, -1, -1):
+                    for length in range(1, min(longest, len(a) - 1 - start) + 1):
+                        b[start] += cells[start, length - 1] * b[start + length]
+                share = np.divide([times[i] for i in group], total, out=np.zeros(m), where=total > 0)
+                for length, at, ids, p in edges:
+                    x = a.ravel()[at] * p * b.ravel()[at + length * m] * share[at % m]
+                    full = np.floor(x)
+                    np.add.at(whole, ids, full.astype(np.int64))
+                    np.add.at(parts, ids, ((x - full) * UNIT + 0.5).astype(np.int64))
+            whole += parts // UNIT
+            parts %= UNIT
+
+
 def word_counts(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
     """Columns word, c (in training rows), n (in all rows) for each distinct word; counted within partitions first."""
 
@@ -128,23 +296,25 @@ def word_counts(docs: DataFrame, text_col: str, train_col: str) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def piece_scores(words: DataFrame, prior: dict[bytes, float], ends: int, weight: float = PRIOR) -> tuple[dict[bytes, float], float]:
+def piece_scores(words: DataFrame, prior: Lattices, ends: int, weight: float = PRIOR) -> tuple[dict[bytes, float], float]:
     """Log probabilities of the pieces and of the end, from the words' counts; the vocabulary bounds their number."""
     shared = words.sparkSession.sparkContext.broadcast(prior)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, found = Lattice(shared.value), Counter()
+        lattices = shared.value
+        whole, parts = into = [np.zeros(len(lattices.pieces), np.int64) for _ in range(2)]
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lattice.expect(word, c, found)
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array([n // UNIT for n in found.values()], pa.int64()), pa.array([n % UNIT for n in found.values()], pa.int64())], names=["piece", "n", "parts"])
+            lattices.expect(batch.column(0).to_pylist(), batch.column(1).to_pylist(), into)
+        some = np.flatnonzero(whole | parts)
+        yield pa.RecordBatch.from_arrays([pa.array([lattices.pieces[i] for i in some], pa.binary()), pa.array(whole[some]), pa.array(parts[some])], names=["piece", "n", "parts"])
 
     rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece binary, n long, parts long").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("parts").alias("parts")).collect()
     expected = {bytes(r["piece"]): r["n"] + r["parts"] / UNIT for r in rows}
+    scores = dict(zip(prior.pieces, prior.scores.tolist()))
     if math.isinf(weight):
-        return {p: s for p, s in prior.items()}, math.log((ends + 0.5) / (ends + 0.5 + sum(expected.values())))
+        return scores, math.log((ends + 0.5) / (ends + 0.5 + sum(expected.values())))
     total = math.fsum(expected.values()) + weight + ends + 0.5
-    return {p: math.log((expected.get(p, 0.0) + weight * math.exp(s)) / total) for p, s in prior.items()}, math.log((ends + 0.5) / total)
+    return {p: math.log((expected.get(p, 0.0) + weight * math.exp(s)) / total) for p, s in scores.items()}, math.log((ends + 0.5) / total)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, vocab_path: str | None = None, weight: float = PRIOR) -> DataFrame:
@@ -160,15 +330,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     ends = rows.where("train").count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    pieces, end_score = piece_scores(words, vocab.load(vocab_path), ends, weight)
+    lattices = Lattices(vocab.load(vocab_path))
+    pieces, end_score = piece_scores(words, lattices, ends, weight)
     base_of = lambda c: math.log10((c + 0.5) / (n_train + 0.5 * (distinct + 1)))
-    shared = spark.sparkContext.broadcast(pieces)
+    shared = spark.sparkContext.broadcast(lattices.with_scores(pieces))
 
-    def per_word():
-        lattice = Lattice(shared.value)
-        return lambda word, c, n: (word, c, n, lattice.log_probability(word))
+    def add_scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("lp", pa.array(shared.value.log_probabilities(batch.column(0).to_pylist()), pa.float64()))
 
-    table = cut(map_rows(words, per_word, "word binary, c long, n long, lp double"), "lm-scores")
+    table = cut(words.mapInArrow(add_scores, "word binary, c long, n long, lp double"), "lm-scores")
     # The least count of the words to send: by steps of a twelfth of an octave, so that few rows come back.
     step = F.floor(F.log2("n") * 12).cast("long")
     short = table.where(F.octet_length("word") <= SHORT)

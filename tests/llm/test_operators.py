@@ -631,6 +631,57 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(sum(len(p) * x for p, x in into.items()) / lm_score.UNIT, 2.0 * (len(word) + 1))
 
 
+def test_lattices_of_many_words_at_once():
+    """Sums as arrays are those of single lattices, for words of any length, and don't depend on what words stand beside."""
+    import random
+
+    import numpy as np
+
+    mix = random.Random(8)
+    few = {b" ": -1.0, b"a": -1.5, b"b": -2.0, b" a": -1.2, b"ab": -0.7, b" ab": -3.0, b"ba": -2.5}
+    words = [b"", b"a", b"xyz", b"abxba"] + [bytes(mix.choices(b"ab", k=mix.randrange(1, 40))) for _ in range(300)] + ["Straße日本語🙂".encode(), bytes(range(256)), b"ab" * 255, b"ab" * 256, b"\xff" * 511, b"ba" * 3000]
+    times = [mix.choice([1, 7, 10**9]) for _ in words]
+    for scores in (few, vocab.load(None)):
+        one, many = lm_score.Lattice(scores), lm_score.Lattices(scores)
+        assert all(math.isclose(x, one.log_probability(w), rel_tol=1e-12) for x, w in zip(many.log_probabilities(words), words))
+        whole, parts = into = [np.zeros(len(scores), np.int64) for _ in range(2)]
+        many.expect(words, times, into)
+        want = Counter()
+        for w, n in zip(words, times):
+            one.expect(w, n, want)
+        assert all(abs(int(x) * lm_score.UNIT + int(y) - want[p]) <= 1e-9 * want[p] + 1e-3 * lm_score.UNIT for p, x, y in zip(many.pieces, whole, parts))
+        other = [np.zeros(len(scores), np.int64) for _ in range(2)]
+        order = mix.sample(range(len(words)), len(words))
+        for at in range(0, len(order), 7):
+            some = order[at : at + 7]
+            many.expect([words[i] for i in some], [times[i] for i in some], other)
+            assert list(many.log_probabilities([words[i] for i in some])) == list(many.log_probabilities(words)[some])
+        assert (whole == other[0]).all() and (parts == other[1]).all()
+    half = many.with_scores({p: x / 2 for p, x in scores.items()})
+    assert math.isclose(half.log_probabilities([b"lattice"])[0], lm_score.Lattice({p: x / 2 for p, x in scores.items()}).log_probability(b"lattice"))
+
+
+def test_words_are_scored_in_a_fraction_of_the_time(monkeypatch):
+    """What op8's tasks do for each distinct word takes less than a third of the time of a lattice for each word, and makes none."""
+    import random
+    import time
+
+    import numpy as np
+
+    mix = random.Random(3)
+    words = sorted({bytes(mix.choices(b"etaoinshrdlu", k=mix.randrange(4, 14))) for _ in range(10_000)})
+    one, many = lm_score.Lattice(vocab.load(None)), lm_score.Lattices(vocab.load(None))
+    started = time.process_time()
+    for w in words:
+        one.expect(w, 1, Counter())
+        one.log_probability(w)
+    single, started = time.process_time() - started, time.process_time()
+    monkeypatch.setattr(lm_score, "Lattice", None)
+    many.expect(words, [1] * len(words), [np.zeros(len(many.pieces), np.int64) for _ in range(2)])
+    many.log_probabilities(words)
+    assert time.process_time() - started < single / 3
+
+
 def test_scores_with_rare_words_joined(spark, rows, monkeypatch):
     one = {r.doc_id: r.score for r in lm_score.op8_lattice_score(spark, SF).collect()}
     monkeypatch.setattr(lm_score, "FREQUENT", 10)
