@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.operators import cdc, mailbox, restore, scopes
+from tessera.plans import composed
 
 ITEMS = "drive_id long, item_id long, ts timestamp_ntz, seq long, kind string, deleted boolean, path string, name string, etag string, storage_key string, size_bytes long"
 
@@ -20,6 +21,22 @@ def test_deleted_entries_count_with_their_sizes(spark):
     assert got == {1: (2, 1, 0, 1, 17), 2: (1, 0, 1, 0, 5)}
 
 
+def test_only_a_file_that_is_fetched_fails_its_drive(spark):
+    """Drives 1 to 3 have a mark on a folder, a deletion and an unchanged file; drive 4 has one on a changed file."""
+    rows = [(d, 10 * d + i, 10 * d + s, gone, e, f"k{d}{e}", 1) for d in (1, 2, 3, 4) for i, s, gone, e in ((0, 0, False, "e"), (1, 1, False, "e"), (1, 2, False, "e"), (1, 3, False, "x"), (1, 4, True, "x"))]
+    x = items(spark, rows).withColumn("kind", F.when(F.col("item_id") % 10 == 0, "folder").otherwise("file"))
+    plan = cdc.backup_plan(x, spark.createDataFrame([], "storage_key string"), F.col("seq").isin(10, 24, 32, 43))
+    got = {r.drive_id: (r.entries, r.stored, r.deduplicated, r.deleted, r.size_bytes, r.snapshot, r.cursor_saved) for r in plan.collect()}
+    assert got == {1: (3, 2, 0, 1, 3, True, True), 2: (3, 2, 0, 1, 3, True, True), 3: (3, 2, 0, 1, 3, True, True), 4: (0, 0, 0, 0, 0, False, False)}
+
+
+def test_marks_on_folders_and_unchanged_files_of_the_tables_drop_no_drive(spark):
+    """In drive 2 of sf0.001 only a folder is marked; of sf0.01, drives 0 and 7 have marks on unchanged files only."""
+    small, large = ({r.drive_id: r.entries for r in composed.backup_drive_plan(spark, f"/root/testdata/{sf}").collect()} for sf in ("sf0.001", "sf0.01"))
+    assert small == {0: 57, 1: 90, 2: 53, 3: 97, 4: 104, 5: 87, 6: 124, 7: 60}
+    assert large == {0: 781, 1: 0, 2: 0, 3: 0, 4: 786, 5: 995, 6: 0, 7: 989}
+
+
 def test_versions_only_where_the_blob_was_new(spark):
     x = items(spark, [(1, 1, 0, False, "e", "new", 1), (1, 2, 1, False, "e", "old", 1), (1, 3, 2, True, "e", "gone", 1)])
     versions = spark.createDataFrame([(1, f, f"v{f}{k}", "new" if k == 2 else f"b{k}", 10 * f + k, None) for f in (1, 2, 3) for k in range(3)], "drive_id long, file_id long, version_id string, storage_key string, seq long, status string")
